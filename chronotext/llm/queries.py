@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import fingerprint_documents
+from .secrets import digest_columns, scan_secrets
 from .url_filters import judge_urls
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -14,8 +16,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(scan_secrets(table(spark, sf_dir, "documents"), owner_col="source", repo_cols=["source", "lang"]))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op6_secret_scans": op6_secret_scans,
 }
 
 ORACLE = {
