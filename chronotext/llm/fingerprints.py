@@ -124,11 +124,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = _lane_pairs(F.col("piece"))
     none = F.col("piece").isNull()
     named = cut.select("id", "k", "v", "n", "next_id", "next_k", "edited_sha256", F.when(none, 0).otherwise(1).cast("long").alias("one"), *[F.when(none, F.lit(0).cast("long")).otherwise(p).alias(f"l{i}") for i, p in enumerate(pairs)])
-    summed = named.groupBy("id", "k", "v").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(pairs))], F.sum("one").alias("np"), *[F.first(c).alias(c) for c in ("n", "next_id", "next_k", "edited_sha256")])
-    lanes = F.array(*[f"l{i}" for i in range(len(pairs))])
-    per = summed.groupBy("id", "k").agg(
-        *[F.first(F.when(F.col("v") == v, c), ignorenulls=True).alias(f"{name}{v}") for v in (0, 1) for name, c in (("lanes", lanes), ("np", F.col("np")))],
-        *[F.first(c).alias(c) for c in ("n", "next_id", "next_k", "edited_sha256")],
+    # What one row of the pair already tells stands among the keys, so that the sums are all that a hash aggregate holds.
+    summed = named.groupBy("id", "k", "v", "n", "next_id", "next_k", "edited_sha256").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(pairs))], F.sum("one").alias("np"))
+    side = summed.select("id", "k", "v", "n", "next_id", "next_k", "edited_sha256", F.struct(F.array(*[f"l{i}" for i in range(len(pairs))]).alias("lanes"), "np").alias("s"))
+    per = side.groupBy("id", "k", "n", "next_id", "next_k", "edited_sha256").agg(F.array_sort(F.collect_list(F.struct("v", "s"))).alias("two")).select(
+        "id", "k", "n", "next_id", "next_k", "edited_sha256", *[F.col("two")[v]["s"][x].alias(f"{x}{v}") for v in (0, 1) for x in ("lanes", "np")]
     )
     f, g = per.alias("f"), per.select(F.col("id").alias("gid"), F.col("k").alias("gk"), F.col("lanes0").alias("next_lanes"), F.col("np0").alias("next_np")).alias("g")
     done = f.join(g, (F.col("next_id") == F.col("gid")) & (F.col("next_k") - F.col("gk") == 0))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import find_leaks
 from .fingerprints import fingerprint_documents
+from .pieces import digest_columns as piece_digests
+from .pieces import encode_documents
 from .secrets import digest_columns, scan_secrets
+from .toxicity import fit_toxicity, score_documents
 from .url_filters import judge_urls
 
+TOKENIZERS = "/opt/tokenizers"
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -20,14 +25,31 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(scan_secrets(table(spark, sf_dir, "documents"), owner_col="source", repo_cols=["source", "lang"]))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    model = f"{tokenizers}/piece_bpe_32k.model"
+    return piece_digests(encode_documents(table(spark, sf_dir, "documents"), model, dropout=0.1, seed=1), model)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_secret_scans": op6_secret_scans,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
