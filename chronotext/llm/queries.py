@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import find_leaks
 from .fingerprints import fingerprint_documents
+from .jaccard import jaccard_components
 from .pieces import digest_columns as piece_digests
 from .pieces import encode_documents
 from .secrets import digest_columns, scan_secrets
@@ -38,6 +39,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
     return piece_digests(encode_documents(table(spark, sf_dir, "documents"), model, dropout=0.1, seed=1), model)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n_words=4, p=85, q=100)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -49,10 +54,27 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_secret_scans": op6_secret_scans,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
+    "op9_ngram_jaccard_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) end as g from w),
+e as (select doc_id, len(g) as n, unnest(g) as g from s),
+pairs as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id < b.doc_id and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reach(doc_id, other) as (select doc_id, doc_id from s union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select s.doc_id, cast(len(g) as bigint) as n_shingles, c.component_id
+from s join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
+""",
     "op1_url_filters": r"""
 with parts as (
   select page_id, coalesce(case when instr(url, '://') > 0 then translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'),
