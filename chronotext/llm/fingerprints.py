@@ -33,22 +33,22 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
-def _lane_pairs(piece: Column) -> list[Column]:
-    """64 longs; each holds one hashed byte in its low half and one in its high half."""
-    out = []
-    for i in range(HASHES):
-        h = F.xxhash64(F.lit(i), piece)
-        out += [F.shiftrightunsigned(h, 8 * j).bitwiseAND(0xFF).bitwiseOR(F.shiftleft(F.shiftrightunsigned(h, 32 + 8 * j).bitwiseAND(0xFF), 32)) for j in range(4)]
-    return out
+def _sums(rows: DataFrame, keys: list[str], piece: str, counts: Column) -> DataFrame:
+    """``keys, lanes array<long>, np`` : a row for each of the hashes of a piece, so that the code for one stays small enough to be compiled."""
+    each = rows.select(*keys, counts.alias("one"), piece, F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("i"))
+    h = each.select(*keys, "one", "i", F.when(F.col("one") > 0, F.xxhash64("i", piece)).otherwise(0).alias("h"))
+    # Each long holds one hashed byte in its low half and one in its high half.
+    pair = [F.shiftrightunsigned("h", 8 * j).bitwiseAND(F.lit(_MASK)) for j in range(4)]
+    summed = h.groupBy(*keys, "i").agg(*[F.sum(p).alias(f"l{j}") for j, p in enumerate(pair)], F.sum("one").alias("np"))
+    lists = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "l0", "l1", "l2", "l3"))).alias("ls"), F.max("np").alias("np"))
+    return lists.select(*keys, F.flatten(F.transform("ls", lambda x: F.array(x["l0"], x["l1"], x["l2"], x["l3"]))).alias("lanes"), "np")
 
 
 def fingerprint(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys, lanes array<long>, n_pieces`` for each combination of keys; rows without any piece are not in it."""
-    exploded = rows.select(*keys, F.explode(pieces(F.col(text_col))).alias("piece"))
-    pairs = _lane_pairs(F.col("piece"))
-    named = exploded.select(*keys, *[p.alias(f"l{i}") for i, p in enumerate(pairs)])
-    summed = named.groupBy(*keys).agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(pairs))], F.count(F.lit(1)).alias("n_pieces"))
-    return summed.select(*keys, F.array(*[f"l{i}" for i in range(len(pairs))]).alias("lanes"), "n_pieces")
+    """``keys, lanes array<long>, np`` (the number of pieces) for each combination of keys; rows of equal keys add up."""
+    # An empty text keeps its row through a null piece, which counts nothing.
+    exploded = rows.select(*keys, F.explode(F.concat(F.array(F.lit(None).cast("string")), pieces(F.col(text_col)))).alias("piece"))
+    return _sums(exploded, keys, "piece", F.col("piece").isNotNull().cast("long"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -118,17 +118,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "x.id", "x.k", "x.n", "x.next_id", "x.next_k", "text", F.concat(F.expr("left(text, cast(n - n div 4 as int))"), F.col("head")).alias("edited")
     )
     both = edited.select("id", "k", "n", "next_id", "next_k", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("v"), "text"), F.struct(F.lit(1).alias("v"), F.col("edited").alias("text")))).alias("t"))
-    base = ["id", "k", "n", "next_id", "next_k"]
-    # An empty text keeps its row through an empty piece, which counts nothing.
-    cut = both.select(*base, "edited_sha256", F.col("t.v").alias("v"), F.explode(F.concat(F.array(F.lit(None).cast("string")), pieces(F.col("t.text")))).alias("piece"))
-    pairs = _lane_pairs(F.col("piece"))
-    none = F.col("piece").isNull()
-    named = cut.select("id", "k", "v", "n", "next_id", "next_k", "edited_sha256", F.when(none, 0).otherwise(1).cast("long").alias("one"), *[F.when(none, F.lit(0).cast("long")).otherwise(p).alias(f"l{i}") for i, p in enumerate(pairs)])
-    # What one row of the pair already tells stands among the keys, so that the sums are all that a hash aggregate holds.
-    summed = named.groupBy("id", "k", "v", "n", "next_id", "next_k", "edited_sha256").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(pairs))], F.sum("one").alias("np"))
-    side = summed.select("id", "k", "v", "n", "next_id", "next_k", "edited_sha256", F.struct(F.array(*[f"l{i}" for i in range(len(pairs))]).alias("lanes"), "np").alias("s"))
-    per = side.groupBy("id", "k", "n", "next_id", "next_k", "edited_sha256").agg(F.array_sort(F.collect_list(F.struct("v", "s"))).alias("two")).select(
-        "id", "k", "n", "next_id", "next_k", "edited_sha256", *[F.col("two")[v]["s"][x].alias(f"{x}{v}") for v in (0, 1) for x in ("lanes", "np")]
+    base = ["id", "k", "n", "next_id", "next_k", "edited_sha256"]
+    side = fingerprint(both.select(*base, F.col("t.v").alias("v"), F.col("t.text").alias("text")), [*base, "v"], "text")
+    per = side.groupBy(*base).agg(F.array_sort(F.collect_list(F.struct("v", "lanes", "np"))).alias("two")).select(
+        *base, *[F.col("two")[v][x].alias(f"{x}{v}") for v in (0, 1) for x in ("lanes", "np")]
     )
     f, g = per.alias("f"), per.select(F.col("id").alias("gid"), F.col("k").alias("gk"), F.col("lanes0").alias("next_lanes"), F.col("np0").alias("next_np")).alias("g")
     done = f.join(g, (F.col("next_id") == F.col("gid")) & (F.col("next_k") - F.col("gk") == 0))
