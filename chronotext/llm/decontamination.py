@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import words_of
@@ -178,13 +178,11 @@ def leaks_of(text: str | None, index: Index, min_question: float, min_answer: fl
     return list(best.values())
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.4, min_question: float = 0.5, min_answer: float = 0.3, min_whole: float = 0.6) -> DataFrame:
-    """One row per document and leaked item; ``score`` is the share of the threshold, 1 or more."""
-    spark = docs.sparkSession
+def index_blocks(items: DataFrame, min_score: float) -> Iterator:
+    """Broadcast indexes of at most about INDEX_BLOCK pieces each; statistics are those of all items."""
+    spark = items.sparkSession
     pieces = _pieces(items)
     n, mean_len = pieces.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
-    out = spark.createDataFrame([], OUT)
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = -(-n // INDEX_BLOCK)
     number = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, blocks)))
     freq = pieces.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count()
@@ -192,13 +190,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         mine = pieces.where(number == block)
         rows = sorted((r["item_id"], r["words"]) for r in mine.collect())
         here = mine.select(F.explode("words").alias("w")).distinct()
-        index = spark.sparkContext.broadcast(build_index(rows, {r["w"]: r["count"] for r in freq.join(here, "w").collect()}, n, mean_len, min_score))
+        yield spark.sparkContext.broadcast(build_index(rows, {r["w"]: r["count"] for r in freq.join(here, "w").collect()}, n, mean_len, min_score))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.4, min_question: float = 0.5, min_answer: float = 0.3, min_whole: float = 0.6) -> DataFrame:
+    """One row per document and leaked item; ``score`` is the share of the threshold, 1 or more."""
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = []
+    for index in index_blocks(items, min_score):
 
         def query(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                found = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in leaks_of(t, index.value, min_question, min_answer, min_whole)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start"]).astype({"doc_id": "Int64"})
-
-        out = out.unionByName(asked.mapInPandas(query, OUT))
+                rows = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in leaks_of(t, index.value, min_question, min_answer, min_whole)]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start"]).astype({"doc_id": "Int64"})
+
+        found.append(asked.mapInPandas(query, OUT))
+    if len(found) < 2:
+        return found[0] if found else docs.sparkSession.createDataFrame([], OUT)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     # Pieces of one item may lie in different blocks.
-    return out if blocks < 2 else out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")], F.min("start").alias("start"))
+    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")], F.min("start").alias("start"))
+
+
+def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text", min_score: float = 0.4, min_question: float = 0.5, min_answer: float = 0.3, min_whole: float = 0.6) -> DataFrame:
+    """The rows whose text leaks no item, with all their columns."""
+
+    def clean(index) -> Column:
+        @F.pandas_udf("boolean")
+        def no_leak(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: not leaks_of(t, index.value, min_question, min_answer, min_whole)).astype(bool)
+
+        return no_leak(F.col(text_col))
+
+    for index in index_blocks(items, min_score):
+        docs = docs.where(clean(index))
+    return docs

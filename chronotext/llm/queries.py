@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import table
 from .decontamination import find_leaks
 from .fingerprints import fingerprint_documents
 from .jaccard import jaccard_components
+from .packing import digest_columns as packed_digests
+from .packing import pack_documents
 from .pieces import digest_columns as piece_digests
 from .pieces import encode_documents
+from .resampling import resample
 from .secrets import digest_columns, scan_secrets
+from .substrings import digest_columns as repeat_digests
+from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_documents
 from .url_filters import judge_urls
 
@@ -26,6 +33,15 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn sample alone."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +50,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_columns(scan_secrets(table(spark, sf_dir, "documents"), owner_col="source", repo_cols=["source", "lang"]))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return packed_digests(pack_documents(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.tiktoken"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     model = f"{tokenizers}/piece_bpe_32k.model"
     return piece_digests(encode_documents(table(spark, sf_dir, "documents"), model, dropout=0.1, seed=1), model)
@@ -49,16 +69,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_url_filters": op1_url_filters,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_secret_scans": op6_secret_scans,
+    "op7_token_packing": op7_token_packing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
+    "op3_substring_dedup": r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 49], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)),
+least as (select x, min(doc_id) as d from win group by x having min(doc_id) < max(doc_id)),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as j from win join least using (x) where d < doc_id),
+g as (select doc_id, list(j) as js, count(*) as n from gone group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
+  sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, i: not list_contains(js, i)) end, ' ')) as kept_sha256
+from w left join g using (doc_id)
+""",
     "op9_ngram_jaccard_join": r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -52,24 +52,25 @@ def _looks_random(value: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, owner_col: str, repo_cols: list[str], id_col: str = "doc_id", text_col: str = "text", copied_from: int = 3) -> DataFrame:
-    """``row_id, doc_id, base, spans, n_live, n_copied``-style rows; see :func:`scan_secrets` columns below.
+    """``row_id, doc_id, text_hash, base_spans, all_spans, n_live, n_copied`` for every row.
 
-    ``base_spans`` and ``all_spans`` are arrays of (start, kind, end); the strings and digests derive from them.
+    Spans are arrays of (start, kind, end) by start, then kind; the strings and digests derive from them.
     """
     found = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(owner_col).cast("string"), F.lit("\0"))).alias("owner"),
         F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in repo_cols]).alias("repo"),
+        F.xxhash64(text_col).alias("text_hash"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     found = found.select(
-        "row_id", "doc_id", "owner", "repo",
+        "row_id", "doc_id", "text_hash", "owner", "repo",
         F.concat(F.filter(_matches(F.col("text"), ASSIGN, 2, 0), lambda m: F.char_length(m["value"]) >= 8), _matches(F.col("text"), ACCESS, 0, 1), _matches(F.col("text"), HEX, 0, 2)).alias("base"),
         _matches(F.col("text"), GENERIC, 0, 3).alias("generic"),
     )
     apart = F.filter("generic", lambda g: _looks_random(g["value"]) & ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-    found = cut(found.select("row_id", "doc_id", "owner", "repo", "base", apart.alias("generic")))
+    found = cut(found.select("row_id", "doc_id", "text_hash", "owner", "repo", "base", apart.alias("generic")))
 
     each = found.select("row_id", "owner", "repo", F.explode(F.concat("base", "generic")).alias("m")).select(
         "row_id", "owner", "repo", "m.start", "m.kind", "m.end", F.sha2("m.value", 256).alias("hash"), _looks_random(F.col("m.value")).alias("random")
@@ -88,7 +89,7 @@ def scan_secrets(docs: DataFrame, owner_col: str, repo_cols: list[str], id_col:
     plain = lambda a: F.transform(a, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return found.join(status, "row_id", "left").select(
-        "row_id", "doc_id",
+        "row_id", "doc_id", "text_hash",
         F.array_sort(plain("base")).alias("base_spans"),
         F.array_sort(F.concat(plain("base"), F.coalesce("added", none))).alias("all_spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
@@ -109,8 +110,8 @@ def digest_columns(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` (with the row_id of :func:`scan_secrets`) whose spans are replaced by ``[SECRET]``; overlapping spans become one."""
+def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each span of :func:`scan_secrets` replaced by ``[SECRET]``; overlapping spans become one."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
 
@@ -119,5 +120,9 @@ def redact(docs: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataF
         piece = F.substring(text, acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece, F.lit("[SECRET]"))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("all_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return docs.join(scanned.select("row_id", "all_spans"), "row_id").withColumn(text_col, F.when(F.size("all_spans") > 0, clean).otherwise(text)).drop("all_spans")
+    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    # Only texts with spans; those with equal id and text have equal spans.
+    spans = scanned.where(F.size("all_spans") > 0).select(key("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("all_spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
+    joined = docs.join(spans, (key(id_col) == F.col("__id")) & (F.xxhash64(text_col).bitwiseXOR(F.col("__hash")) == 0), "left")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).drop("__id", "__hash", "__spans")
