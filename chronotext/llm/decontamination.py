@@ -3,10 +3,12 @@
 Items are cut into pieces of at most ``PIECE`` words and indexed in blocks of ``INDEX_BLOCK`` pieces; statistics (piece
 frequency of terms, average length) always cover all of them. Each document is read whole as overlapping passages, each at
 least twice as long as a piece, and each passage is a query: a disjunction of its distinct terms, each scored for the piece by
-BM25. A piece is retrieved when it reaches ``min_score`` of the score that it would give its own text. Cursors
-move by WAND: documents' terms are sorted by their cursors, upper bounds add up to a pivot, and the maxima of the
-postings' blocks skip pieces that cannot reach the threshold. Retrieved pieces are verified: shared word shingles must cover
-the piece's question (its first three quarters) and its answer (the rest), or nearly all of it.
+BM25. A piece is retrieved when it reaches ``min_score`` of the score that it would give its own text. The
+blocks' maxima, added up for all passages of a document at once, tell which blocks can reach the threshold; only those are
+opened, and within one the terms' bounds, from the largest down, decide which pieces are still worth scoring. So pieces
+that cannot reach the threshold are skipped, as in block-max WAND, and none that can is lost. Retrieved pieces are
+verified: shared word shingles must cover the piece's question (its first three quarters) and its answer (the rest), or
+most of it.
 
 The documents are never shuffled. An index block is broadcast (its size is bounded by ``INDEX_BLOCK``); more items are
 indexed in more blocks, and all documents run against each.
@@ -18,6 +20,7 @@ the threshold is returned. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,81 +30,67 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
-
 PIECE, PASSAGE, STRIDE = 64, 128, 64
-INDEX_BLOCK, POSTING_BLOCK = 20_000, 32
+INDEX_BLOCK, POSTING_BLOCK = 5_000, 4
 K1, B_LEN, SHINGLE = 1.2, 0.75, 3
 OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start int"
 
 
 @dataclass
 class Index:
-    """Postings: term -> (piece numbers, impacts, block maxima); impacts are already divided by the piece's threshold."""
+    """Postings in blocks of POSTING_BLOCK pieces; impacts are already divided by the piece's threshold.
+
+    ``first[t] : first[t + 1]`` are a term's entries in ``block`` (ascending) and ``most`` (the block's largest impact);
+    ``postings[b][t]`` lists the (piece, impact) pairs of a term within a block.
+    """
 
     terms: dict[str, int]
-    pieces: list[np.ndarray]
-    impacts: list[np.ndarray]
-    maxima: list[np.ndarray]
     top: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    postings: list[dict[int, list[tuple[int, float]]]]
     item: list[int]
     question: list[frozenset]
     answer: list[frozenset]
 
-    def wand(self, terms: list[int]) -> dict[int, float]:
-        """Every piece whose impacts over these distinct terms add up to 1 or more, with the sum."""
-        end = 1 << 60
-        lists = [[int(self.pieces[t][0]), t, 0] for t in terms]  # piece under the cursor, term, cursor
-        found: dict[int, float] = {}
-        while True:
-            lists.sort()
-            bound, pivot = 0.0, -1
-            for i, (piece, t, _) in enumerate(lists):
-                if piece == end:
-                    break
-                bound += self.top[t]
-                if bound >= 1:
-                    pivot = i
-                    break
-            if pivot < 0:
-                return found
-            at = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == at:
-                pivot += 1
-            block_bound, jump = 0.0, lists[pivot + 1][0] if pivot + 1 < len(lists) else end
-            for entry in lists[: pivot + 1]:
-                ps = self.pieces[entry[1]]
-                block = int(ps.searchsorted(at)) // POSTING_BLOCK  # where the pivot would stand
-                if block < len(self.maxima[entry[1]]):
-                    block_bound += self.maxima[entry[1]][block]
-                    last = min(len(ps), (block + 1) * POSTING_BLOCK) - 1
-                    jump = min(jump, int(ps[last]) + 1)
-            if block_bound < 1:
-                self._move(lists[: pivot + 1], max(jump, at + 1), end)
-            elif lists[0][0] == at:
-                score = 0.0
-                for entry in lists[: pivot + 1]:
-                    score += float(self.impacts[entry[1]][entry[2]])
-                if score >= 1:
-                    found[at] = score
-                self._move(lists[: pivot + 1], at + 1, end)
-            else:
-                self._move(lists[:pivot], at, end)
-
-    def _move(self, entries: list[list], to: int, end: int) -> None:
-        for entry in entries:
-            if entry[0] < to:
-                ps = self.pieces[entry[1]]
-                entry[2] = int(ps.searchsorted(to))
-                entry[0] = int(ps[entry[2]]) if entry[2] < len(ps) else end
+    def open_blocks(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs where the block's maxima over the passage's distinct terms add up to 1 or more."""
+        counts = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        blocks = len(self.postings)
+        bound = np.bincount(np.repeat(passage, counts) * blocks + self.block[at], weights=self.most[at], minlength=n * blocks)
+        hit = np.flatnonzero(bound >= 1)
+        return hit // blocks, hit % blocks
+
+    def scores(self, block: int, terms: list[int]) -> dict[int, float]:
+        """Pieces of an open block with a score of 1 or more.
+
+        The terms' lists are walked from the largest bound down; a piece is skipped for good once its score and the bounds
+        still to come stay below 1.
+        """
+        held = self.postings[block]
+        lists = sorted(((max(s for _, s in held[t]), held[t]) for t in terms if t in held), key=lambda x: -x[0])
+        rest = sum(m for m, _ in lists)
+        score: dict[int, float] = {}
+        for most, pairs in lists:
+            for piece, s in pairs:
+                if (old := score.get(piece, 0.0)) + rest >= 1:
+                    score[piece] = old + s
+            rest -= most
+        return {p: s for p, s in score.items() if s >= 1}
 
 
 def _shingles(words: list[str]) -> frozenset:
     return frozenset(tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))) if words else frozenset()
 
 
+_TERM = re.compile(r"[^\W_]+")
+
+
 def _term_words(text: str | None) -> list[str]:
-    return [x for w in words_of(text, lower=True) if (x := w.strip(".,;:!?\"'()[]|*%&$#"))]
+    """Runs of letters and digits, lower-cased."""
+    return _TERM.findall(text.lower()) if text else []
 
 
 def _pieces(items: DataFrame) -> DataFrame:
@@ -138,10 +127,15 @@ def build_index(rows: list[tuple[int, list[str]]], df: dict[str, int], n_pieces:
         item.append(int(item_id))
         question.append(_shingles(words[:split]))
         answer.append(_shingles(words[split:] if len(words) - split >= SHINGLE else words[-SHINGLE:]))
-    pieces = [np.array([p for p, _ in x], np.int64) for x in postings]
-    impacts = [np.array([s for _, s in x]) for x in postings]
-    maxima = [np.array([x[i : i + POSTING_BLOCK].max() for i in range(0, len(x), POSTING_BLOCK)]) for x in impacts]
-    return Index(terms, pieces, impacts, maxima, np.array([x.max() for x in impacts]), item, question, answer)
+    blocks: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(-(-len(rows) // POSTING_BLOCK))]
+    for t, x in enumerate(postings):
+        for at, s in x:
+            blocks[at // POSTING_BLOCK].setdefault(t, []).append((at, s))
+    entries = [[(b, max(s for at, s in x if at // POSTING_BLOCK == b)) for b in dict.fromkeys(at // POSTING_BLOCK for at, _ in x)] for x in postings]
+    first = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int64)
+    flat = [e for x in entries for e in x]
+    top = np.array([max(s for _, s in x) for x in postings])
+    return Index(terms, top, first, np.array([b for b, _ in flat], np.int64), np.array([m for _, m in flat]), blocks, item, question, answer)
 
 
 def leaks_of(text: str | None, index: Index, min_question: float, min_answer: float, min_whole: float) -> list[tuple]:
@@ -154,18 +148,21 @@ def leaks_of(text: str | None, index: Index, min_question: float, min_answer: fl
     at = np.flatnonzero(ids >= 0)
     if not len(at):
         return []
-    total = np.concatenate([[0.0], np.cumsum(index.top[ids[at]])])
+    n, t = max(1, -(-(len(words) - STRIDE) // STRIDE)), len(index.terms)
+    place = at // STRIDE  # a word lies in the passage that starts at its stride and in the one before
+    pairs = np.concatenate([place * t + ids[at], (place - 1) * t + ids[at]])
+    pairs = np.unique(pairs[(pairs >= 0) & (pairs < n * t)])
+    passage, term = pairs // t, pairs % t
+    near = np.bincount(passage, weights=index.top[term], minlength=n) >= 1
+    keep = near[passage]
+    passage, term = passage[keep], term[keep]
     best: dict[int, tuple] = {}
-    starts = np.arange(0, max(1, len(words) - PASSAGE + STRIDE), STRIDE)
-    low, high = at.searchsorted(starts), at.searchsorted(starts + PASSAGE)
-    for k in np.flatnonzero(total[high] - total[low] >= 1):  # else even with repeats no piece is within reach
-        known = np.unique(ids[at[low[k] : high[k]]])
-        if index.top[known].sum() < 1:
-            continue
-        hits = index.wand(known.tolist())
+    for k, block in zip(*index.open_blocks(passage, term, n), strict=True):
+        lo, hi = passage.searchsorted([k, k + 1])
+        hits = index.scores(int(block), term[lo:hi].tolist())
         if not hits:
             continue
-        start = int(starts[k])
+        start = int(k) * STRIDE
         here = _shingles(words[start : start + PASSAGE])
         for piece, score in hits.items():
             q, a = index.question[piece], index.answer[piece]
