@@ -41,10 +41,11 @@ def shingles(text: Column, n: int) -> Column:
 def containing(passages: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame:
     """``item_id, doc_id``: the texts that contain a passage as it stands. Candidates share the passage's second word run (its first word may be cut by what precedes it)."""
     w = F.filter(F.split("passage", r"\s+"), lambda x: x != "")
-    p = passages.select("item_id", F.col("text").alias("passage")).withColumn("key", F.array_join(F.slice(w, 2, n), " "))
-    t = texts.select("doc_id", "text").withColumn("key", F.explode(shingles(F.col("text"), n)))
-    keys = t.join(p.select("key").distinct(), "key", "left_semi")
-    return keys.join(p, "key").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
+    p = passages.select("item_id", F.col("text").alias("passage")).withColumn("key", F.xxhash64(F.array_join(F.slice(w, 2, n), " ")))
+    # Hashes of word runs travel, texts only for the candidates.
+    t = texts.select("doc_id", F.explode(F.array_distinct(F.transform(shingles(F.col("text"), n), lambda x: F.xxhash64(x)))).alias("key"))
+    pairs = t.join(p.select("key", "item_id"), "key").select("item_id", "doc_id").distinct()
+    return texts.select("doc_id", "text").join(pairs, "doc_id").join(p.drop("key"), "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
 
 
 def replace_keywords(lines: DataFrame, keywords: list[tuple[str, list[str]]]) -> DataFrame:
@@ -78,12 +79,13 @@ def correct_by_chat(lines: DataFrame, chat: DataFrame, width_ms: int = 8000, low
 def assign_lyrics(lines: DataFrame, lyrics: DataFrame, least: float = 0.55, top: int = 8, back: int = 30) -> DataFrame:
     """Places lyric rows of a document on lines of a recording, in lyric order.
 
-    Candidates share a word and are close in length; each lyric row keeps its ``top`` best; a line is used once, and a row may
+    Candidates share two neighbouring words and are close in length; each lyric row keeps its ``top`` best; a line is used once, and a row may
     not go more than ``back`` lines behind the last placed. ``doc, lyric_idx, rec_id, line_idx, score``.
     """
-    a = lyrics.select("doc", "lyric_idx", F.col("text").alias("lt"), F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    b = lines.select("rec_id", "line_idx", F.col("text").alias("tt"), F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    near = a.join(b, "w").where((F.length("w") > 3) & (F.abs(F.length("lt") - F.length("tt")) <= F.greatest(F.lit(10), F.length("tt")))).select("doc", "lyric_idx", "lt", "rec_id", "line_idx", "tt").distinct()
+    pairs = F.explode(shingles(F.lower("text"), 2)).alias("w")
+    a = lyrics.select("doc", "lyric_idx", F.col("text").alias("lt"), pairs)
+    b = lines.select("rec_id", "line_idx", F.col("text").alias("tt"), pairs)
+    near = a.join(b, "w").where(F.abs(F.length("lt") - F.length("tt")) <= F.greatest(F.lit(10), F.length("tt"))).select("doc", "lyric_idx", "lt", "rec_id", "line_idx", "tt").distinct()
     s = near.withColumn("score", similarity_udf("lt", "tt")).where(F.col("score") >= least)
     w = Window.partitionBy("doc", "rec_id", "lyric_idx").orderBy(F.desc(F.round("score", 2)), F.abs(F.length("lt") - F.length("tt")), "line_idx")
     best = s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)

@@ -200,7 +200,7 @@ def chat_correction(spark, d):
     """Candidate lines corrected by what a chat said: here the reference lines, each said twice near its time."""
     said = ref_line(spark, d).select("rec_id", F.col("start_ms").alias("t_ms"), "text", F.col("line_idx").alias("ord"))
     chat = said.unionByName(said.withColumn("t_ms", F.col("t_ms") + 500))
-    return mt.correct_by_chat(hyp_line(spark, d), chat)
+    return mt.correct_by_chat(hyp_line(spark, d), chat, high=1.0)
 
 
 def _atoms(spark, d):
