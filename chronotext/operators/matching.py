@@ -32,10 +32,11 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def shingles(text: Column, n: int) -> Column:
-    """Distinct runs of n words (all words, if fewer)."""
+    """Distinct runs of n words (all words, if fewer): shifted copies of the word list, side by side."""
     w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    k = F.greatest(F.lit(1), F.size(w) - n + 1)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    runs = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w) - n + 1, F.lit(0))).alias(f"w{i}") for i in range(n)])
+    joined = F.transform(runs, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(n)]))
+    return F.array_distinct(F.when(F.size(w) >= n, joined).otherwise(F.array(F.array_join(w, " "))))
 
 
 def containing(passages: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame:
