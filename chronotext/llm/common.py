@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LOWER = str.maketrans(UPPER, LOWER)
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 _own_dir: list[str] = []
 
 
@@ -26,13 +24,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def words_of(text: str | None, lower: bool = False) -> list[str]:
-    """The words of a text; null or empty text has none."""
+def word_bytes(text: str | None, lower: bool = False) -> list[bytes]:
+    """The words of a text in UTF-8 (which bytes.split and bytes.lower treat by exactly the ASCII rules wanted here); null or empty text has none."""
     if not text:
         return []
-    if lower:
-        text = text.translate(_LOWER) if not text.isascii() else text.lower()
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    raw = text.encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
+
+
+def words_of(text: str | None, lower: bool = False) -> list[str]:
+    return [w.decode("utf-8", "surrogatepass") for w in word_bytes(text, lower)]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -72,19 +73,19 @@ class WordHashes:
     def __init__(self, keep: int = 400_000):
         self.keep, self.known = keep, {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        known, of = self.known, xxhash.xxh3_64_intdigest
+        known = self.known
         if len(known) > self.keep:
             known.clear()
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                known[w] = h = of(w.encode("utf-8", "surrogatepass"))
-            out[i] = h
-        return out
+        found = list(map(known.get, words))
+        if None in found:
+            of = xxhash.xxh3_64_intdigest
+            for i, h in enumerate(found):
+                if h is None:
+                    known[words[i]] = found[i] = of(words[i])
+        return np.fromiter(found, np.uint64, len(found))
 
 
 def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix64, partitions, shingle_hashes, words_of
+from .common import WordHashes, cut, mix64, partitions, shingle_hashes, word_bytes
 from .components import components
 
 BLOCK = 256
@@ -39,7 +39,7 @@ _NULL_ID = -(1 << 63)
 
 def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    words = words_of(text, lower=True)
+    words = word_bytes(text, lower=True)
     if not words:
         return np.empty(0, np.uint64)
     h = hashes(words)

@@ -22,14 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix64, words_of
+from .common import WordHashes, cut, mix64, word_bytes
 
 BUCKETS, SCALE = 1 << 15, 100
 
 
 def buckets(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Bucket of each word and each pair of neighbouring words."""
-    h = hashes(words_of(text, lower=True))
+    h = hashes(word_bytes(text, lower=True))
     if not len(h):
         return np.empty(0, np.int64)
     with np.errstate(over="ignore"):

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix64, partitions, shingle_hashes, words_of
+from .common import WordHashes, cut, mix64, partitions, shingle_hashes, word_bytes, words_of
 
 WINDOW, K, HOT, SHARD_WORDS = 50, 8, 500, 400_000
 _NULL_ID = -(1 << 63)
@@ -196,7 +196,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, found = [], []
         for d, t in zip(pdf["id"], pdf["text"], strict=True):
-            w = hashes(words_of(t))
+            w = hashes(word_bytes(t))
             if len(w) < WINDOW:
                 continue
             a = np.unique(_governed(w)[0])
@@ -212,7 +212,7 @@ def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for r, d, t, kept, hot in zip(pdf["row"], pdf["id"], pdf["text"], pdf["kept"], pdf["hot"], strict=True):
-            w = hashes(words_of(t))
+            w = hashes(word_bytes(t))
             if len(w) < WINDOW:
                 continue
             a, at = _governed(w)
@@ -281,12 +281,12 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for d, t, spans in zip(pdf["id"], pdf["text"], pdf["spans"], strict=True):
-            words = words_of(t)
+            words = word_bytes(t)
             gone = np.zeros(len(words), bool)
             for s in spans if spans is not None else ():
                 gone[s["start"] : s["end"]] = True
-            kept = " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else " ".join(words)
-            out.append((d, len(words), int(gone.sum()), kept))
+            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
+            out.append((d, len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass")))
         yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"])
 
 
