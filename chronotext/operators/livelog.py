@@ -47,4 +47,4 @@ def suppress_repeats(rows: DataFrame, keys: list[str], text_key: str, within_ms:
         F.expr("cast(array() as array<struct<start_ms:bigint,ord:bigint,end_ms:bigint>>)"),
         lambda acc, x: F.when(F.exists(acc, lambda p: (p["end_ms"] <= x["start_ms"]) & (x["start_ms"] - p["end_ms"] <= within_ms)), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    return rows.groupBy(*keys, text_key).agg(fold.alias("k")).select(*keys, text_key, F.explode("k").alias("x")).select(*keys, text_key, "x.ord", "x.start_ms", "x.end_ms")
+    return rows.groupBy(*keys, text_key).agg(fold.alias("__k")).select(*keys, text_key, F.explode("__k").alias("__x")).select(*keys, text_key, "__x.ord", "__x.start_ms", "__x.end_ms")
