@@ -52,14 +52,19 @@ class WaveletMatrix:
             self.zeros.append(int(len(bit) - bit.sum()))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
 
+        # Where each symbol's occurrences begin on the last level: the path of position 0.
+        self.base = self._path(np.arange(alphabet), np.zeros(alphabet, np.int64))
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
-        low, high = np.zeros(len(at), np.int64), at.astype(np.int64)
+        return self._path(symbol, at.astype(np.int64)) - self.base[symbol]
+
+    def _path(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k in range(self.bits):
-            one = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
-            a, b = self._ones(k, low), self._ones(k, high)
-            low, high = np.where(one, self.zeros[k] + a, low - a), np.where(one, self.zeros[k] + b, high - b)
-        return high - low
+            one = (symbol >> (self.bits - 1 - k)) & 1
+            ones = self._ones(k, at)
+            at = np.where(one, self.zeros[k] + ones, at - ones)
+        return at
 
     def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
         word, bit = at >> 6, (at & 63).astype(np.uint64)
@@ -79,38 +84,28 @@ class FMIndex:
         at = np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)
         text[at] = codes + 1
         rank, step = text.copy(), 1
-        while step < depth:  # doubles the sorted depth
+
+        def joined(rank: np.ndarray, ahead: int) -> np.ndarray:
             nxt = np.zeros(n, np.int64)
-            nxt[: n - step] = rank[step:] + 1
-            nxt[text == 0] = 0  # what follows an end does not matter
-            key = rank * (n + 2) + nxt
-            _, rank = np.unique(key, return_inverse=True)
-            step *= 2
+            nxt[: n - ahead] = rank[ahead:] + 1
+            return np.unique(rank * (n + 2) + nxt, return_inverse=True)[1]
+
+        while 2 * step <= depth:  # doubles the sorted depth
+            rank, step = joined(rank, step), 2 * step
+        if step < depth:
+            rank = joined(rank, depth - step)  # two overlapping halves
         order = np.argsort(rank, kind="stable")
         self.doc = doc[order]
         sigma = len(self.alphabet) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.wavelet = WaveletMatrix(text[order - 1], sigma)
-        # Least common prefix classes at exactly ``depth`` words: equal hashes of the next ``depth`` words.
-        self.order, self.n = order, n
-        self.text = text
-        self.group_start, self.group_end = self._classes(order)
+        self.n = n
+        # For each suffix in order, the interval of those that share its first ``depth`` words.
+        starts = np.flatnonzero(np.diff(rank[order], prepend=-1))
+        number = rank[order]
+        self.group_start, self.group_end = starts[number], np.append(starts[1:], n)[number]
         self.least = self._least_table()
 
-    def _classes(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix in order, the interval of those that share its first ``depth`` words."""
-        pad = np.concatenate([self.text, np.zeros(self.depth, np.int64)]).astype(np.uint64)
-        h = np.zeros(self.n, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(self.depth):
-                h = mix64(h * np.uint64(0x100000001B3) ^ pad[j : j + self.n], j)
-        h = h[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]])
-        number = np.cumsum(first) - 1
-        starts = np.flatnonzero(first)
-        ends = np.concatenate([starts[1:], [self.n]])
-        return starts[number], ends[number]
-
     def _least_table(self) -> list[np.ndarray]:
         table, width = [self.doc], 1
         while 2 * width <= self.n:
@@ -149,8 +144,8 @@ class FMIndex:
         for step in range(lanes.shape[1]):
             on = np.flatnonzero(lanes[:, step] >= 0)
             s = lanes[on, step]
-            a = self.before[s] + self.wavelet.rank(s, low[on])
-            b = self.before[s] + self.wavelet.rank(s, high[on])
+            both = self.wavelet.rank(np.concatenate([s, s]), np.concatenate([low[on], high[on]])) + np.tile(self.before[s], 2)
+            a, b = both[: len(on)], both[len(on) :]
             size = length[on] + 1
             full = size >= self.depth
             a, b = np.where(full, self.group_start[a], a), np.where(full, self.group_end[a], b)
@@ -233,21 +228,24 @@ def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _search_shard(keys: list[int], rows: list[int], ids: list[int], starts: list[int], segments: list[np.ndarray]) -> pd.DataFrame:
-    """Windows of the shard's segments that also start in a smaller document, as runs (row, start, end) of words."""
-    out = []
+    """Windows of the shard's segments that also start in a smaller document, as runs (row, start, end) of words.
+
+    Equal segments are indexed and searched once, with their least document.
+    """
+    copies: dict[bytes, list[int]] = {}
+    for i, seg in enumerate(segments):
+        copies.setdefault(seg.tobytes(), []).append(i)
+    groups, out = list(copies.values()), []
     if len(segments) > 1:
-        docs = np.array(ids, np.int64)
-        index = FMIndex(segments, docs, WINDOW)
-        for b in range(0, len(segments), 4096):
-            for i, (low, high) in enumerate(index.search(segments[b : b + 4096]), b):
-                bad = index.least_doc(low, high) < ids[i]
-                if bad.any():
-                    at = (len(segments[i]) - WINDOW - np.arange(len(low)))[bad] + starts[i]
-                    at.sort()
-                    cuts = np.flatnonzero(np.diff(at) > WINDOW)
-                    for x, y in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(at) - 1]]), strict=True):
-                        # starts within a segment are dense, but a run is only a union of windows
-                        out += _runs(rows[i], at[x : y + 1])
+        own = [segments[g[0]] for g in groups]
+        index = FMIndex(own, np.array([min(ids[i] for i in g) for g in groups], np.int64), WINDOW)
+        for b in range(0, len(own), 4096):
+            for g, (low, high) in zip(groups[b : b + 4096], index.search(own[b : b + 4096]), strict=True):
+                least = index.least_doc(low, high)
+                at = len(segments[g[0]]) - WINDOW - np.arange(len(low))
+                for i in g:
+                    if (bad := least < ids[i]).any():
+                        out += _runs(rows[i], np.sort(at[bad]) + starts[i])
     return pd.DataFrame(out, columns=["row", "start", "end"], dtype="int64")
 
 
