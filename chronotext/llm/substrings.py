@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, mix64, partitions, shingle_hashes, word_bytes, words_of
 
-WINDOW, K, HOT, SHARD_WORDS = 50, 8, 500, 400_000
+WINDOW, K, HOT, SHARD_WORDS = 50, 8, 5000, 300_000
 _NULL_ID = -(1 << 63)
 
 
