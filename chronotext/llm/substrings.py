@@ -189,16 +189,14 @@ def _governed(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for pdf in batches:
-        ids, found = [], []
-        for d, t in zip(pdf["id"], pdf["text"], strict=True):
+        sizes, found = [], []
+        for t in pdf["text"]:
             w = hashes(word_bytes(t))
-            if len(w) < WINDOW:
-                continue
-            a = np.unique(_governed(w)[0])
+            a = np.unique(_governed(w)[0]) if len(w) >= WINDOW else np.empty(0, np.uint64)
             found.append(a.view(np.int64))
-            ids.append(np.full(len(a), d, np.int64))
-        if ids:
-            yield pd.DataFrame({"anchor": np.concatenate(found), "id": np.concatenate(ids)})
+            sizes.append(len(a))
+        if sizes:
+            yield pd.DataFrame({"anchor": np.concatenate(found), "id": np.repeat(pdf["id"].to_numpy(), sizes), "row": np.repeat(pdf["row"].to_numpy(), sizes)})
 
 
 def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,11 +292,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     # A row's own number: rows that share an id and a text get equal results, so (id, hash of text) will do.
     rows = rows.withColumn("row", F.xxhash64("id", "text"))
-    found = rows.mapInPandas(_anchor_rows, "anchor long, id long")
+    found = cut(rows.mapInPandas(_anchor_rows, "anchor long, id long, row long"))
     held = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     held = cut(held.select("anchor", (F.col("n") > HOT).alias("hot")))
-    mine = rows.select("row", "id", "text").mapInPandas(_anchor_rows_by_row, "anchor long, row long")
-    by_row = mine.join(held, "anchor").groupBy("row").agg(
+    by_row = found.select("anchor", "row").join(held, "anchor").groupBy("row").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("kept"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
     )
     by_row = cut(by_row)
@@ -315,11 +312,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
 
 
-def _anchor_rows_by_row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _anchor_rows(b.assign(id=b["row"]) for b in batches):
-        yield pdf.rename(columns={"id": "row"})
-
-
 def digest_columns(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
