@@ -118,12 +118,13 @@ def _label_model(model: ToxicityModel, moments: np.ndarray, n: float) -> None:
     cov = moments / n - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
     skip = np.eye(m, dtype=bool)
+    tied = cov / np.outer(sd, sd) > 0.05  # a triplet of voters that hardly move together tells nothing
     for _ in range(2):
         v = np.zeros(m)
         for i in range(m):
-            j, k = np.nonzero(~skip & ~skip[i][:, None] & ~skip[i][None, :] & (cov > 1e-9))
+            j, k = np.nonzero(~skip & ~skip[i][:, None] & ~skip[i][None, :] & tied & tied[i][:, None] & tied[i][None, :])
             if len(j):
-                v[i] = np.sqrt(max(0.0, float(np.median(cov[i, j] * cov[i, k] / cov[j, k])))) * np.sign(np.median(cov[i, :LEXICONS]))
+                v[i] = np.sqrt(max(0.0, float(np.median(cov[i, j] * cov[i, k] / cov[j, k]))))
         residue = np.abs(cov - np.outer(v, v)) / np.outer(sd, sd)
         skip = np.eye(m, dtype=bool) | (residue > CORRELATED)
     model.correlated = [(i, j) for i in range(m) for j in range(i) if skip[i, j]]
