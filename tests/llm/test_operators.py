@@ -255,6 +255,20 @@ def test_pieces(spark, texts):
     assert pc.encode_documents(docs.limit(0), MODEL).count() == 0
 
 
+def test_pieces_draw_each_occurrence():
+    """Words are drawn anew in each document and place, at the rate, and as the plain form says."""
+    codec, word = pc.PieceCodec(MODEL, 0.1, 1), " international"
+    drawn = [codec.encode((word * 5)[1:], d) for d in range(200)]
+    assert len(set(drawn)) > 100
+    whole = pc.PieceCodec(MODEL).encode("a")  # with the leading space: one merge
+    assert 0.08 < sum(codec.encode("a", d) != whole for d in range(4000)) / 4000 < 0.12
+    for text in ("  a  b\n\n c ▁▁ x", "日本 𝒳 é" * 30 + "z" * 300, "\ud800 x", "The quick brown fox, re-tokenised. " * 9):
+        key = int(pc.mix64(np.array([7], np.uint64), 1)[0])
+        keys = (pc.mix64(np.uint64(key) + np.arange(len(text) + 1, dtype=np.uint64)) >> np.uint64(32)).tolist()
+        want = [i for c, k in zip(pc.CHUNK.findall(" " + text), keys) for i in codec.segment(c, k)]
+        assert np.frombuffer(codec.encode(text, 7), np.uint16).tolist() == want
+
+
 def plain_components(texts, n, p, q_):
     sets = {}
     for d, t in texts:
