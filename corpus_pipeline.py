@@ -2,8 +2,8 @@
 
 Each stage takes what its predecessor kept (written as Parquet and read again) and lets its decisions take effect: toxic
 documents go; of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more, linked in any chain) the
-one with the smallest id stays; documents that hold a benchmark item go; secrets are replaced by ``[SECRET]`` and
-``n_chars`` follows; the last stage returns the encoded documents. Documents with null text or id stay.
+row with the smallest id stays (a null id sorts first; of rows with that id, one), whatever other rows share its id;
+documents that hold a benchmark item go; secrets are replaced by ``[SECRET]`` and ``n_chars`` follows; the last stage returns the encoded documents. Documents with null text stay.
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_components(docs, n_words=5, p=80, q=100)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(cut(others), "doc_id", "left_anti").select(docs.columns)
+    """Rows are known by a number of their own, as ids may be null or repeat."""
+    rows = cut(docs.withColumn("row_no", F.monotonically_increasing_id()))
+    groups = jaccard_components(rows, n_words=5, p=80, q=100, id_col="row_no").select(F.col("doc_id").alias("row_no"), "component_id")
+    groups = cut(groups.join(rows.select("row_no", "doc_id"), "row_no"))
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_no")).alias("least")).select("least.row_no")
+    others = groups.select("row_no").join(first, "row_no", "left_anti")
+    return rows.join(cut(others), "row_no", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,13 @@ def test_stages(spark):
     out = cp.encoding(spark, before, SF).collect()
     codec = pc.PieceCodec(cp.PIECES)
     assert {r.doc_id: codec.decode(bytes(r.ids)) for r in out} == kept[-1]
+
+
+def test_near_duplicates_by_row(spark):
+    """Null and repeated ids: one row of each group stays, and no row goes for another that shares its id."""
+    text = lambda k, last="end": " ".join(f"w{k}x{i}" for i in range(60)) + " " + last
+    rows = [(None, text(1)), (5, text(1, "near")), (6, text(1)), (None, text(1)), (7, text(2)), (7, text(2)), (8, text(3)), (9, text(3)), (9, text(4)), (None, text(5)), (None, text(6)), (10, None), (10, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()]
+    want = [(None, text(1)), (7, text(2)), (8, text(3)), (9, text(4)), (None, text(5)), (None, text(6)), (10, None), (10, None), (None, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
