@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spent
 
 
 def _least_to(edges: DataFrame, keep_larger: bool) -> DataFrame:
@@ -23,19 +23,21 @@ def _least_to(edges: DataFrame, keep_larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of longs -> ``node, component`` for each node that has a link; component is the least node reached.
 
     Null ends, self-links and repeated links change nothing. Ends when a round changes nothing.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = cut(edges)
-    before = None
-    for _ in range(max_rounds):
+    before = now = None
+    while now is None or now != before:
+        last, before = edges, now
         edges = cut(_least_to(_least_to(edges, True), False))
-        # Sums of both ends as a fingerprint of the edge set, which is distinct.
+        spent(last)
+        # Count and hash of the edges, which are distinct.
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    out = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    spent(edges)
+    return out

@@ -1,39 +1,48 @@
 """N-gram Jaccard join: blocked products of the document by n-gram incidence matrix.
 
 1. Each document becomes the set of its distinct word shingles (64-bit hashes); equal sets are one class, known by 128
-   bits of set hash, with the smallest doc_id as its representative.
+   bits of set hash.
 2. Size-derived bounds: linked sets of sizes a <= b have b <= a / t and differ in at most D = (a + b)(1 - t)/(1 + t)
    shingles. Sizes fall in bands of ratio 1/t; for each pair of neighbouring bands the hash space is cut into more
-   parts than D, so linked sets agree on a part. A set emits one signature for each part that is not empty (and
-   one common signature if so many parts are empty that the agreement could be on empty ones). This loses no link.
-3. Sets that share a signature are candidates; their connected components are the diagonal blocks of the matrix outside
-   which no product can reach the bound. A block of more than ``BLOCK`` sets is cut further, by size band and hash,
-   and each pair of cuts with compatible sizes is a task of bounded size.
-4. A task multiplies its rows with each other: columns that many rows share by a dense product, the others by counting
-   pairs. Overlaps below the bound are dropped; the rest are links, and a spanning forest of them leaves the task.
-5. Components of the links; each document gets the smallest doc_id that it reaches.
-
-A group of near copies that are all different costs a product for each pair of its cuts; exact copies cost nothing.
+   parts than D, so linked sets agree on a part. A set emits one signature for each part that is not empty.
+   Shingles that many documents share (boilerplate; a bounded list) are left out of the parts, which adds no difference;
+   a set of which too little is left emits the signatures of all its shingles too, and if even these are too few for an
+   agreement on one that is not empty, a common one. This loses no link, whatever is on the list.
+3. Sets that share a signature are a group; groups of equal members are one. Each set first meets a single partner: of the
+   least members of its groups the one that it shares the most signatures with. What links so, a large group of near
+   copies above all, is one component already, and costs a comparison for each set.
+4. Groups that still hold several components are compared by histograms of the shingles, a 32nd of their bytes: two sets
+   differ in at least the L1 distance of theirs, so nearly all pairs of different texts are beyond the bound. The
+   components of the pairs that are not are the diagonal blocks of the matrix. A group or block of more than ``BLOCK`` sets
+   (or of more than ``BLOCK_GRAMS`` shingles) is cut, and each pair of cuts is a task of bounded size.
+5. A block's task multiplies its rows with each other: columns that many rows share by a dense product, the others by
+   counting pairs. Overlaps below the bound are dropped; the rest are links, and a spanning forest of them leaves the task.
+6. Components of all links; each document gets the smallest doc_id that it reaches.
+
+A large group of near copies that first partners leave in several components costs a product for each pair of its cuts.
 
 Defined results: null, empty or blank text has an empty set (0 shingles) and links with nothing; a text with fewer words
-than a shingle is one shingle; repeated rows are equal sets; a null doc_id sorts first, so what links with it has a
-null component. Other columns are ignored.
+than a shingle is one shingle; repeated rows are equal sets, and travel as one; a null doc_id sorts first, so what links
+with it has a null component. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix64, partitions, shingle_hashes, word_bytes
+from .common import WordHashes, cut, mix64, partitions, shingle_hashes, spent, word_bytes
 from .components import components
 
-BLOCK = 256
+BLOCK, BLOCK_GRAMS = 256, 4_000_000
+FREQUENT, LIST = 200_000, 50_000  # shingles on the list, nodes of a list at most
 _NULL_ID = -(1 << 63)
 
 
@@ -72,39 +81,88 @@ class Bands:
         return most, most + most // 8 + 4
 
 
-def signatures(grams: np.ndarray, bands: Bands) -> np.ndarray:
-    """A set's signatures for its own band and for the one below."""
+def signatures(grams: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
+    """A set's signatures for its own band and for the one below; ``frequent`` is sorted."""
     own, out = bands.of(len(grams)), []
-    with np.errstate(over="ignore"):
-        for band in (own, own - 1):
-            if band < 0:
-                continue
-            most, parts = bands.parts(band)
-            if most == 0:
-                continue  # only equal sets can link
-            part = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the grams are sorted
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(mix64(grams, 17), first)
-            out.append(mix64(sums ^ mix64(part[first] + np.uint64(band << 40), 19), 23))
-            if parts - len(first) >= parts - most:
-                out.append(mix64(np.array([band], np.uint64), 29))
+    rare = grams
+    if len(frequent):
+        at = np.minimum(frequent.searchsorted(grams), len(frequent) - 1)
+        rare = grams[frequent[at] != grams]
+    for band in (own, own - 1):
+        most, parts = bands.parts(band) if band >= 0 else (0, 0)
+        if most == 0:
+            continue  # only equal sets can link
+        for some in (rare, grams) if len(rare) < len(grams) else (grams,):
+            filled = 0
+            if len(some):
+                part = ((some >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the grams are sorted
+                first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                filled = len(first)
+                with np.errstate(over="ignore"):
+                    sums = np.add.reduceat(mix64(some, 17), first)
+                    out.append(mix64(sums ^ mix64(part[first] + np.uint64(band << 40), 19), 23))
+            if filled > most:  # an agreement cannot be on empty parts alone
+                break
+        else:
+            out.append(mix64(np.array([band], np.uint64), 29))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """How many shingles fall in each of some n / 4 buckets; empty, and so without a bound, if a count leaves a byte."""
+    size = 16
+    while size * 4 < len(grams):
+        size *= 2
+    h = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return h.astype(np.uint8).tobytes() if h.max(initial=0) < 256 else b""
+
+
+def near(hists: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with different labels that may link: their histograms are no farther apart than linked sets' can be."""
+    out, m = [], len(sizes)
+    bounded = np.array([len(h) > 0 for h in hists])
+    width = min((len(h) for h in hists if len(h)), default=0)
+    table = np.zeros((m, width), np.int16)
+    for i, h in enumerate(hists):
+        if len(h):
+            table[i] = h.reshape(-1, width).sum(0, dtype=np.int16)
+    tree = np.arange(m)
+    for i in range(m - 1):
+        j = np.arange(i + 1, m)
+        j = j[(label[j] != label[i]) & (tree[j] != tree[i]) & (q * np.minimum(sizes[j], sizes[i]) >= p * np.maximum(sizes[j], sizes[i]))]
+        if len(j):
+            apart = np.abs(table[j] - table[i]).sum(1, dtype=np.int64) * (bounded[j] & bounded[i])
+            j = j[apart * (q + p) <= (sizes[j] + sizes[i]) * (q - p)]
+            trees, first = np.unique(tree[j], return_index=True)
+            out += [(i, int(k)) for k in j[first]]
+            tree[np.isin(tree, trees)] = tree[i]
+    return out
+
+
 def _sets(n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each text; and for each shingle that at least 16, and one in 500, of a batch's sets hold, with how many as -n."""
         hashes = WordHashes()
+        names = ["id", "n", "h1", "h2", "hist"]
         for pdf in batches:
-            rows = []
+            rows, seen, grams = [], set(), []
             for d, t in zip(pdf["id"], pdf["text"], strict=True):
                 g = shingle_set(t, n_words, hashes)
-                rows.append((d, len(g), *(set_hash(g))))
-            yield pd.DataFrame(rows, columns=["id", "n", "h1", "h2"])
+                h = set_hash(g)
+                rows.append((d, len(g), *h, histogram(g)))
+                if h not in seen:
+                    seen.add(h)
+                    grams.append(g)
+            yield pd.DataFrame(rows, columns=names)
+            if grams:
+                g, n = np.unique(np.concatenate(grams), return_counts=True)
+                many = n >= max(16, len(seen) // 500)
+                yield pd.DataFrame({"id": 0, "n": -n[many], "h1": g[many].view(np.int64), "h2": 0, "hist": None}, columns=names)
 
     return run
 
 
-def _signature_rows(n_words: int, p: int, q: int):
+def _signature_rows(n_words: int, p: int, q: int, frequent: Broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, bands, seen = WordHashes(), Bands(p, q), set()
         for pdf in batches:
@@ -116,7 +174,7 @@ def _signature_rows(n_words: int, p: int, q: int):
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
-                s = signatures(g, bands)
+                s = signatures(g, bands, frequent.value)
                 sigs.append(s.view(np.int64))
                 nodes.append(np.full(len(s), node, np.int64))
                 if len(sigs) >= 500:
@@ -128,20 +186,36 @@ def _signature_rows(n_words: int, p: int, q: int):
     return run
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by signature: each node links to the first of its signature's run, which may span batches."""
-    sig, head = None, None
-    for pdf in batches:
-        s, v = pdf["sig"].to_numpy(), pdf["node"].to_numpy()
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by signature and node -> ``gid, node`` of signatures with two nodes or more; equal lists of nodes have one gid.
+
+    The last list of a batch is carried over to the next; one of over ``LIST`` nodes goes out as it comes, its signature as gid.
+    """
+    s = v = np.empty(0, np.int64)
+    long = None
+    for pdf in chain(batches, [None]):
+        if pdf is not None:
+            s, v = np.concatenate([s, pdf["sig"].to_numpy(np.int64)]), np.concatenate([v, pdf["node"].to_numpy(np.int64)])
         if not len(s):
             continue
-        first = np.concatenate([[s[0] != sig], s[1:] != s[:-1]])
-        start = np.maximum.accumulate(np.where(first, np.arange(len(s)), -1))
-        heads = np.where(start >= 0, v[np.maximum(start, 0)], head if head is not None else 0)
-        sig, head = s[-1], heads[-1]
-        keep = heads != v
-        if keep.any():
-            yield pd.DataFrame({"a": v[keep], "b": heads[keep]}).drop_duplicates()
+        fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (v[1:] != v[:-1])])
+        s, v = s[fresh], v[fresh]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        size = np.diff(np.append(first, len(s)))
+        as_long = np.full(len(first), False) if long is None else s[first] == long
+        if pdf is not None and size[-1] > LIST:
+            long, as_long[-1] = s[-1], True
+        carried = pdf is not None and not as_long[-1]
+        with np.errstate(over="ignore"):
+            gid = mix64(np.add.reduceat(mix64(v.view(np.uint64), 43), first), 47).view(np.int64)
+        gid = np.where(as_long, s[first], gid)
+        keep = (size > 1) | as_long
+        keep[-1] &= not carried
+        rows = np.repeat(keep, size)
+        if rows.any():
+            yield pd.DataFrame({"gid": np.repeat(gid, size)[rows], "node": v[rows]})
+        start = first[-1] if carried else len(s)
+        s, v = s[start:], v[start:]
 
 
 def linked(rows: list[np.ndarray], p: int, q: int) -> np.ndarray:
@@ -151,10 +225,15 @@ def linked(rows: list[np.ndarray], p: int, q: int) -> np.ndarray:
     at = np.repeat(np.arange(m), sizes)
     many = freq >= (2 if m <= 24 else 16)
     number = np.cumsum(many) - 1
-    dense = np.zeros((m, int(many.sum())), np.float32)
     heavy = many[inverse]
-    dense[at[heavy], number[inverse[heavy]]] = 1
-    overlap = np.rint(dense @ dense.T).astype(np.int64)
+    overlap = np.zeros((m, m), np.int64)
+    r, c = at[heavy], number[inverse[heavy]]
+    width = max(1, (1 << 24) // m)  # columns of one product, so that its matrix stays bounded
+    for low in range(0, int(many.sum()), width):
+        here = (c >= low) & (c < low + width)
+        dense = np.zeros((m, width), np.float32)
+        dense[r[here], c[here] - low] = 1
+        overlap += np.rint(dense @ dense.T).astype(np.int64)
     light = ~heavy & (freq[inverse] >= 2)
     if light.any():
         order = np.argsort(inverse[light], kind="stable")
@@ -191,79 +270,164 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(p: int, q: int):
+def _stars(p: int, q: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by task key; a task's rows are bounded."""
+        """Rows sorted by task key, the head first: links of the others with it."""
+        key, head, grams, before = None, 0, None, None
+        for pdf in batches:
+            out = []
+            for k, member, node, g in zip(pdf["key"], pdf["member"], pdf["node"], pdf["grams"], strict=True):
+                g = np.frombuffer(g, np.uint64)
+                if not member:
+                    key, head, grams, before = k, node, g, None
+                elif k == key and node != before:
+                    before = node
+                    o = int((grams[np.minimum(grams.searchsorted(g), len(grams) - 1)] == g).sum())
+                    if q * o >= p * (len(g) + len(grams) - o):
+                        out.append((node, head))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
-        def done(ids: list[int], grams: list[np.ndarray]) -> pd.DataFrame:
-            edges = forest(linked(grams, p, q)) if len(ids) > 1 else []
-            return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
 
-        key, ids, grams = None, [], []
+def _tasks(columns: list[str], names: list[str], of_task):
+    """Rows sorted by key and node; ``of_task`` gets each key's rows, a repeated node once. Tasks are bounded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rows = None, []
         for pdf in batches:
-            for k, i, g in zip(pdf["key"], pdf["id"], pdf["grams"], strict=True):
-                if k != key and ids:
-                    yield done(ids, grams)
-                    ids, grams = [], []
+            for k, *row in zip(*(pdf[c] for c in ("key", *columns)), strict=True):
+                if k != key and rows:
+                    if len(rows) > 1:
+                        yield pd.DataFrame(of_task(key, rows), columns=names, dtype="int64")
+                    rows = []
                 key = k
-                ids.append(i)
-                grams.append(np.frombuffer(g, np.uint64))
-        if ids:
-            yield done(ids, grams)
+                if not rows or rows[-1][0] != row[0]:
+                    rows.append(row)
+        if len(rows) > 1:
+            yield pd.DataFrame(of_task(key, rows), columns=names, dtype="int64")
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n_words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row; sets link when q * intersection >= p * union."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    sets = cut(rows.mapInPandas(_sets(n_words), "id long, n long, h1 long, h2 long"))
-
-    sigs = rows.select("text").mapInPandas(_signature_rows(n_words, p, q), "sig long, node long")
-    stars = sigs.repartition(parts, "sig").sortWithinPartitions("sig").mapInPandas(_stars, "a long, b long")
-    clusters = cut(components(stars))
-
-    classes = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"))
-    classes = cut(classes)
-    inside = classes.join(clusters.select(F.col("node").alias("h1"), F.col("component").alias("cluster")), "h1")
-    bands = Bands(p, q)
-    bands.of(1 << 32)
-    band = F.lit(0)
-    for low in bands.low[1:]:
-        band = band + (F.col("n") >= low).cast("int")
-    inside = cut(inside.select("cluster", "id", "h1", "h2", "n", band.alias("band")))
-    counts = inside.groupBy("cluster", "band").count()
-    total = counts.groupBy("cluster").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))).alias("blocks"))
-    placed = inside.join(cut(total.where("total > 1")), "cluster")
-
-    # Keys of the tasks that a set takes part in: the cluster alone, or each pair of its own cut with a compatible one.
-    mine = F.pmod(F.xxhash64("id", "h1"), F.col("blocks")[F.col("band")]).cast("int")
-    with_band = lambda b: F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks")[b], F.lit(1)) - 1), lambda j: F.struct(b.alias("band"), j.alias("block")))
-    other = F.filter(F.concat(with_band(F.col("band") - 1), with_band(F.col("band")), with_band(F.col("band") + 1)), lambda o: F.map_contains_key("blocks", o["band"]))
-    own = F.struct(F.col("band").alias("band"), F.col("mine").alias("block"))
-    keys = F.transform(other, lambda o: F.xxhash64(F.col("cluster"), F.least(own, o), F.greatest(own, o)))
-    tasks = placed.withColumn("mine", mine).select("id", "h1", "h2", F.when(F.col("total") <= BLOCK, F.array(F.xxhash64("cluster"))).otherwise(keys).alias("keys"))
+def _bounded(p: int, q: int):
+    def of_task(key: int, rows: list) -> list[tuple]:
+        pairs = near([np.frombuffer(r[2], np.uint8) for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), p, q)
+        return [(rows[i][0], rows[j][0]) for i, j in pairs]
+
+    return _tasks(["node", "n", "hist", "label"], ["a", "b"], of_task)
+
+
+def _products(p: int, q: int):
+    def of_task(key: int, rows: list) -> list[tuple]:
+        return [(rows[i][0], rows[j][0]) for i, j in forest(linked([np.frombuffer(r[1], np.uint64) for r in rows], p, q))]
+
+    return _tasks(["node", "grams"], ["a", "b"], of_task)
+
+
+def _with_grams(rows: DataFrame, tasks: DataFrame, n_words: int, order: list[str]) -> DataFrame:
+    """``key, member, node, grams`` for each of ``tasks(id, h1, h2, key, member)``, sorted within partitions."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, names = WordHashes(), ["key", "member", "node", "grams"]
+        text, g, h, sent = None, np.empty(0, np.uint64), None, set()
         for pdf in batches:
             out = []
-            for i, t, h1, h2, keys in zip(pdf["id"], pdf["text"], pdf["h1"], pdf["h2"], pdf["keys"], strict=True):
-                g = shingle_set(t, n_words, hashes)
-                if set_hash(g) == (h1, h2):  # another row may share the id
-                    out += [(k, i, h2, g.tobytes()) for k in keys]
+            for t, h1, h2, k, member in zip(*(pdf[c] for c in ("text", "h1", "h2", "key", "member")), strict=True):
+                if t != text:
+                    text, g = t, shingle_set(t, n_words, hashes)
+                    h = set_hash(g)
+                if h != (h1, h2) or (k, h1) in sent:
+                    continue  # another row shares the id
+                if len(sent) > 200_000:
+                    sent.clear()
+                sent.add((k, h1))
+                out.append((k, member, h1, g.tobytes()))
                 if len(out) > 200:
-                    yield pd.DataFrame(out, columns=["key", "id", "h2", "grams"])
+                    yield pd.DataFrame(out, columns=names)
                     out = []
-            yield pd.DataFrame(out, columns=["key", "id", "h2", "grams"])
+            yield pd.DataFrame(out, columns=names)
+
+    loaded = rows.join(tasks, "id").mapInPandas(grams, "key long, member boolean, node long, grams binary")
+    return loaded.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions(*order)
 
-    loaded = rows.join(tasks, "id").mapInPandas(grams, "key long, id long, h2 long, grams binary")
-    links = loaded.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_verify(p, q), "a long, b long")
-    joined = cut(components(links))
 
-    named = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
-    out = sets.join(cut(named), ["h1", "h2", "n"], "left")
+def _star_links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
+    """``a, b``: each node's link with its first partner, if there is one."""
+    least = groups.groupBy("gid").agg(F.min("node").alias("head"))
+    shared = groups.join(least, "gid").where("node <> head").groupBy("node", "head").agg(F.sum("n_sigs").alias("n"))
+    best = shared.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
+    mine, its = (classes.select(F.col("h1").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("h2", "id", "n", "hist")]) for k in ("node", "head"))
+
+    def may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pair = zip(*(pdf[f"{k}_{c}"] for c in ("hist", "n") for k in ("node", "head")), strict=True)
+            ok = [near([np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)], np.array([m, n], np.int64), np.arange(2), p, q) for x, y, m, n in pair]
+            yield pdf.loc[np.array([len(x) > 0 for x in ok], bool), ["node", "head", "node_h2", "node_id", "head_h2", "head_id"]]
+
+    edges = best.join(mine, "node").join(its, "head").mapInPandas(may_link, "node long, head long, node_h2 long, node_id long, head_h2 long, head_id long")
+    edges = cut(edges)
+    many = edges.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
+    dealt = edges.join(many, "head").withColumn("key", F.xxhash64("head", F.pmod(F.xxhash64("node"), "cuts")))
+    nodes = dealt.select(F.col("node_id").alias("id"), F.col("node").alias("h1"), F.col("node_h2").alias("h2"), "key", F.lit(True).alias("member"))
+    heads = dealt.select(F.col("head_id").alias("id"), F.col("head").alias("h1"), F.col("head_h2").alias("h2"), "key", F.lit(False).alias("member")).distinct()
+    tasks = cut(nodes.unionByName(heads))
+    links = cut(_with_grams(rows, tasks, n_words, ["key", "member", "node"]).mapInPandas(_stars(p, q), "a long, b long"))
+    spent(edges, tasks)
+    return links
+
+
+def _blocks(members: DataFrame, by: str) -> DataFrame:
+    """``node, key`` from ``by, node, n``: each group is a task, or is cut by hash of the node, with a task for each pair of cuts."""
+    sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
+    cuts = cut(sizes.where("m > 1").select(by, F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("cuts")))
+    mine = F.pmod(F.xxhash64("node"), "cuts").cast("int")
+    placed = members.join(cuts, by).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return placed.withColumn("key", F.xxhash64(by, F.least("i", "j"), F.greatest("i", "j"))).drop("i", "j", "cuts")
+
+
+def _block_links(rows: DataFrame, groups: DataFrame, classes: DataFrame, known: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
+    """``a, b``: the links between components ``known(node, component)`` within the groups."""
+    parts = partitions(rows.sparkSession)
+    sets = classes.select(F.col("h1").alias("node"), "n", "h2", "id", "hist")
+    named = cut(groups.join(known, "node", "left").join(sets.select("node", "n"), "node").select("gid", "node", "n", F.coalesce("component", "node").alias("label")))
+    mixed = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("gid")
+    keyed = _blocks(named.join(cut(mixed), "gid"), "gid").select("key", "node", "label").join(sets.select("node", "n", "hist"), "node")
+    may = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInPandas(_bounded(p, q), "a long, b long").distinct())
+    # What may link is near copies, so its components are small blocks; each set travels to one, however many signatures it shares.
+    clusters = components(may)
+    tasks = _blocks(clusters.join(sets.select("node", "n"), "node"), "component").select("key", "node").join(sets.select("node", "h2", "id"), "node")
+    tasks = cut(tasks.select("id", F.col("node").alias("h1"), "h2", "key", F.lit(True).alias("member")))
+    links = cut(_with_grams(rows, tasks, n_words, ["key", "node"]).mapInPandas(_products(p, q), "a long, b long"))
+    spent(named, may, clusters, tasks)
+    return links
+
+
+def jaccard_components(docs: DataFrame, n_words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row; sets link when q * intersection >= p * union."""
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    found = cut(rows.mapInPandas(_sets(n_words), "id long, n long, h1 long, h2 long, hist binary"))
+    sets = found.where("n >= 0")
+    often = found.where("n < 0").groupBy("h1").agg(F.sum("n").alias("n")).orderBy("n", "h1").limit(FREQUENT).select("h1").toPandas()
+    frequent = spark.sparkContext.broadcast(np.sort(often["h1"].to_numpy(np.int64).view(np.uint64)))
+    classes = cut(sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("hist").alias("hist")))
+
+    sigs = rows.select("text").mapInPandas(_signature_rows(n_words, p, q, frequent), "sig long, node long")
+    together = sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node").mapInPandas(_groups, "gid long, node long")
+    groups = cut(together.groupBy("gid", "node").agg(F.count(F.lit(1)).alias("n_sigs")))
+    frequent.unpersist()
+
+    stars = _star_links(rows, groups, classes, n_words, p, q)
+    known = components(stars)
+    blocks = _block_links(rows, groups, classes, known, n_words, p, q)
+    joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(blocks))
+    spent(stars, blocks, known, groups)
+
+    named = classes.join(joined.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "n", "id", F.coalesce("component", "h1").alias("component"))
+    named = cut(named)
+    least = cut(named.groupBy("component").agg(F.min("id").alias("least")))
+    out = sets.select("id", "n", "h1", "h2").join(cut(named.join(least, "component").select("h1", "h2", "n", "least")), ["h1", "h2", "n"], "left")
+    spent(classes, joined, named, least)
     shown = lambda c: F.when(c != _NULL_ID, c)
-    return out.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("component", "id")).alias("component_id"))
+    return out.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("least", "id")).alias("component_id"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,16 +299,37 @@ def test_jaccard(spark, texts, n, p):
 
 
 def test_jaccard_blocks(spark, texts, monkeypatch):
-    """A cluster cut into many blocks links as before."""
+    """Groups cut into many blocks link as before, and so without the first partners."""
     monkeypatch.setattr(jc, "BLOCK", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jc.jaccard_components(frame(spark, texts), 4, 85, 100).collect()}
     assert got == plain_components(texts, 4, 85, 100)
     assert jc.jaccard_components(frame(spark, texts).limit(0), 4, 85, 100).count() == 0
+    monkeypatch.setattr(jc, "_star_links", lambda rows, *_: jc.cut(rows.sparkSession.createDataFrame([], "a long, b long")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jc.jaccard_components(frame(spark, texts), 4, 85, 100).collect()}
+    assert got == plain_components(texts, 4, 85, 100)
+
+
+def test_jaccard_families(spark):
+    """Large groups of distinct near copies, with boilerplate that all texts share, and an id that many rows repeat."""
+    r = random.Random(12)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    line = words(25)
+    bases = [words(90) for _ in range(3)]
+    rows = []
+    for d in range(500):
+        w = list(bases[d % 3]) if d < 400 else words(60)
+        for _ in range(r.randrange(5)):
+            w[r.randrange(len(w))] = f"e{d}"
+        rows.append((d, " ".join(w + line)))
+    rows += [(500, " ".join(bases[0] + line))]
+    again = [rows[-1]] * 3000
+    got = jc.jaccard_components(frame(spark, rows + again).repartition(3), 5, 80, 100).distinct().collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == plain_components(rows, 5, 80, 100)
 
 
 def test_signatures_lose_no_link():
     r, bands = random.Random(2), jc.Bands(85, 100)
-    for _ in range(400):
+    for k in range(1200):
         a = {r.getrandbits(64) for _ in range(r.randint(1, 120))}
         b = set(a)
         for _ in range(r.randint(0, max(1, len(a) // 10))):
@@ -316,8 +338,25 @@ def test_signatures_lose_no_link():
             else:
                 b.add(r.getrandbits(64))
         x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        often = np.array(sorted(r.sample(sorted(a | b), len(a | b) * (k % 5) // 4)), np.uint64)
         if a and b and a != b and 100 * len(a & b) >= 85 * len(a | b):
-            assert np.intersect1d(jc.signatures(x, bands), jc.signatures(y, bands)).size
+            assert np.intersect1d(jc.signatures(x, bands, often), jc.signatures(y, bands, often)).size
+            hists = [np.frombuffer(jc.histogram(s), np.uint8) for s in (x, y)]
+            assert jc.near(hists, np.array([len(x), len(y)]), np.arange(2), 85, 100)
+
+
+def test_groups_stream(monkeypatch):
+    """Lists over many batches, long ones too, come out whole."""
+    monkeypatch.setattr(jc, "LIST", 7)
+    r = random.Random(5)
+    rows = sorted((s, v) for s in range(60) for v in r.sample(range(200), r.choice([1, 2, 3, 5, 30])))
+    rows = sorted(rows + r.sample(rows, 50))
+    batches = [pd.DataFrame(rows[i : i + 13], columns=["sig", "node"]) for i in range(0, len(rows), 13)]
+    got = pd.concat(jc._groups(iter(batches)))
+    lists = {}
+    for s, v in rows:
+        lists.setdefault(s, set()).add(v)
+    assert {frozenset(g["node"]) for _, g in got.groupby("gid")} == {frozenset(x) for x in lists.values() if len(x) > 1}
 
 
 def test_components(spark):
