@@ -37,12 +37,14 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import WordHashes, cut, mix64, partitions, shingle_hashes, spent, word_bytes
 from .components import components
 
 BLOCK, BLOCK_GRAMS = 256, 4_000_000
 FREQUENT, LIST = 200_000, 50_000  # shingles on the list, nodes of a list at most
+BITMAP = 1 << 26  # bits of a filter of ids at most: 8 MB
 _NULL_ID = -(1 << 63)
 
 
@@ -88,18 +90,19 @@ def signatures(grams: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndar
     if len(frequent):
         at = np.minimum(frequent.searchsorted(grams), len(frequent) - 1)
         rare = grams[frequent[at] != grams]
+    sets = [(some, mix64(some, 17)) for some in ((rare, grams) if len(rare) < len(grams) else (grams,))]
     for band in (own, own - 1):
         most, parts = bands.parts(band) if band >= 0 else (0, 0)
         if most == 0:
             continue  # only equal sets can link
-        for some in (rare, grams) if len(rare) < len(grams) else (grams,):
+        for some, mixed in sets:
             filled = 0
             if len(some):
                 part = ((some >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the grams are sorted
                 first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 filled = len(first)
                 with np.errstate(over="ignore"):
-                    sums = np.add.reduceat(mix64(some, 17), first)
+                    sums = np.add.reduceat(mixed, first)
                     out.append(mix64(sums ^ mix64(part[first] + np.uint64(band << 40), 19), 23))
             if filled > most:  # an agreement cannot be on empty parts alone
                 break
@@ -120,22 +123,27 @@ def histogram(grams: np.ndarray) -> bytes:
 def near(hists: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with different labels that may link: their histograms are no farther apart than linked sets' can be."""
     out, m = [], len(sizes)
+    if q * int(sizes.min()) < p * int(sizes.max()) and m == 2:
+        return out
     bounded = np.array([len(h) > 0 for h in hists])
     width = min((len(h) for h in hists if len(h)), default=0)
     table = np.zeros((m, width), np.int16)
     for i, h in enumerate(hists):
         if len(h):
-            table[i] = h.reshape(-1, width).sum(0, dtype=np.int16)
+            table[i] = h if len(h) == width else h.reshape(-1, width).sum(0, dtype=np.int16)
     tree = np.arange(m)
-    for i in range(m - 1):
-        j = np.arange(i + 1, m)
-        j = j[(label[j] != label[i]) & (tree[j] != tree[i]) & (q * np.minimum(sizes[j], sizes[i]) >= p * np.maximum(sizes[j], sizes[i]))]
-        if len(j):
-            apart = np.abs(table[j] - table[i]).sum(1, dtype=np.int64) * (bounded[j] & bounded[i])
-            j = j[apart * (q + p) <= (sizes[j] + sizes[i]) * (q - p)]
-            trees, first = np.unique(tree[j], return_index=True)
-            out += [(i, int(k)) for k in j[first]]
-            tree[np.isin(tree, trees)] = tree[i]
+    rows = max(1, (1 << 20) // max(1, m * width))  # rows that are compared with all others at once
+    for low in range(0, m - 1, rows):
+        i = np.arange(low, min(low + rows, m))[:, None]
+        may = (np.arange(m) > i) & (label != label[i]) & (q * np.minimum(sizes, sizes[i]) >= p * np.maximum(sizes, sizes[i]))
+        if not may.any():
+            continue
+        apart = np.abs(table[i] - table).sum(2, dtype=np.int64) * (bounded & bounded[i])
+        x, y = np.nonzero(may & (apart * (q + p) <= (sizes + sizes[i]) * (q - p)))
+        for a, b in zip((x + low).tolist(), y.tolist(), strict=True):
+            if tree[a] != tree[b]:
+                tree[tree == tree[b]] = tree[a]
+                out.append((a, b))
     return out
 
 
@@ -325,6 +333,24 @@ def _products(p: int, q: int):
     return _tasks(["node", "grams"], ["a", "b"], of_task)
 
 
+def _perhaps(rows: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The rows whose id may be one of the tasks', so that few other texts are shuffled: a hashed bitmap of at most ``BITMAP`` bits, with which all rows pass once it is full."""
+    spark = rows.sparkSession
+    bits = min(BITMAP, max(64, 1 << (16 * tasks.count()).bit_length()))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = tasks.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf(BooleanType())
+    def held(place: pd.Series) -> pd.Series:
+        x = place.to_numpy(np.int64)
+        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return rows.where(held(at))
+
+
 def _with_grams(rows: DataFrame, tasks: DataFrame, n_words: int, order: list[str]) -> DataFrame:
     """``key, member, node, grams`` for each of ``tasks(id, h1, h2, key, member)``, sorted within partitions."""
 
@@ -348,7 +374,7 @@ def _with_grams(rows: DataFrame, tasks: DataFrame, n_words: int, order: list[str
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    loaded = rows.join(tasks, "id").mapInPandas(grams, "key long, member boolean, node long, grams binary")
+    loaded = _perhaps(rows, tasks).join(tasks, "id").mapInPandas(grams, "key long, member boolean, node long, grams binary")
     return loaded.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions(*order)
 
 

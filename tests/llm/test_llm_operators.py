@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -131,22 +132,43 @@ def test_fm_index_counts():
 
 
 def test_resampling(spark, texts):
+    """Weights against plain sums of log ratios over all words and pairs of words."""
     docs = frame(spark, [(d, t) for d, t in texts])
-    labels = spark.createDataFrame([(d, 1 if d % 6 == 2 else 0, 0) for d in range(60)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    good = {d for d in range(60) if d % 6 == 2}
+    labels = spark.createDataFrame([(d, int(d in good), 0) for d in range(60)] + [(None, 1, 0), (7, None, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     out = {r.doc_id: r for r in rs.resample(docs, labels, share=0.4).collect()}
     assert len(out) == len(texts) and sum(r.kept for r in out.values()) == int(0.4 * len(texts))
     keys = sorted((-r.key, d) for d, r in out.items())
     assert {d for _, d in keys[: int(0.4 * len(texts))]} == {d for d, r in out.items() if r.kept}
-    by_text = {}
-    for d, t in texts:
-        by_text.setdefault(t, set()).add(out[d].log_weight)
-    assert all(len(x) == 1 for x in by_text.values())
     hashes = rs.WordHashes()
-    raw = np.bincount(np.concatenate([rs.buckets(t, hashes) for _, t in texts]), minlength=rs.BUCKETS)
-    assert (rs.ngram_counts(docs) == raw).all()
+    bucket = {d: rs.buckets(t, hashes).tolist() for d, t in texts}
+    raw, target = Counter(), Counter()
+    for d, bs in bucket.items():
+        words = words_of(dict(texts)[d], lower=True)
+        assert len(bs) == out[d].n_grams == max(0, 2 * len(words) - 1)
+        raw.update(bs)
+        if d in good:
+            target.update(bs)
+    share = lambda c, b: (c[b] + 1) / (sum(c.values()) + rs.BUCKETS)
+    for d, bs in bucket.items():
+        assert out[d].log_weight == pytest.approx(sum(np.log(share(target, b) / share(raw, b)) for b in bs), abs=1e-6)
     assert rs.resample(docs.limit(0), labels).count() == 0
 
 
+def test_resampling_ties(spark):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    same = spark.createDataFrame([(1, "a b c")] * 6 + [(None, "x")] * 4 + [(None, None)] * 5, "doc_id long, text string").repartition(4)
+    for share, n in ((0.2, 3), (0.5, 7), (0.8, 12), (1.0, 15), (0.0, 0)):
+        kept = rs.resample(same, labels, share=share).where("kept").collect()
+        assert len(kept) == n and sum(r.n_grams > 0 for r in kept) == min(n, 10)
+    empty = spark.createDataFrame([(1, None), (2, ""), (None, "")], "doc_id long, text string")
+    assert rs.resample(empty, labels, share=0.4).where("kept").count() == 1
+    r = random.Random(3)
+    values = [r.choice([0.5, -2.0, r.gauss(0, 1e6), rs._LAST]) for _ in range(3000)]
+    f = spark.createDataFrame([(x,) for x in values], "x double")
+    assert [rs.kth_largest(f, k) for k in (1, 700, 1500, 3000)] == [sorted(values)[-k] for k in (1, 700, 1500, 3000)]
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     vocab = [f"v{i}" for i in range(300)]
