@@ -1,15 +1,17 @@
 """Quality classifier by importance resampling (Xie et al., 2023): hashed n-gram models of target and raw text.
 
 Words and word pairs hash into ``BUCKETS``; two smoothed bag-of-n-grams models are estimated, of the target text (documents
-labelled good) and of all raw text, by counting every document whole (bounded arrays of partial counts are what is
-shuffled). A document's log importance weight is the mean log ratio of the two models over its n-grams times
-``min(n-grams, SCALE)``, so that a long text is not favoured for its length alone. Gumbel noise, keyed by seed and
-document, is added, and the documents with the largest sums are the sample: Gumbel top-k draws k without replacement in
-proportion to the weights. The k-th largest sum comes from a distributed quantile search, not from a global sort.
-
-Defined results: null or empty text has no n-grams, weight 0 and is never sampled before any text; ties at the threshold
-are broken by smaller doc_id, then hash of text; repeated rows draw the same noise; null labels and labels without a
-document are ignored; without any target text all weights are 0. Other columns are ignored.
+labelled good, at most ``max_labelled`` of them by hash of the id, so that their ids can be broadcast) and of all raw text, by
+counting every document whole, both in one reading (bounded arrays of partial counts are what is shuffled). A
+document's log importance weight is the log ratio of its likelihoods under the two models: the sum over its n-grams. Gumbel
+noise, keyed by seed, document and text, is added, and the documents with the largest sums are the sample: Gumbel top-k
+draws k without replacement in proportion to the weights. The k-th largest sum comes from a distributed search by
+histograms, not from a sort; no text is shuffled.
+
+Defined results: null or empty text has no n-grams, weight 0, and is sampled only after all texts; repeated rows draw the same
+noise, and of rows that tie at the threshold so many are kept that k are, whichever; null labels and labels without
+a document are ignored, a document with any good label is good; without any target text all weights are 0. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, mix64, word_bytes
 
-BUCKETS, SCALE = 1 << 15, 100
+BUCKETS = 1 << 15
+_LAST = -1e300  # the key that stands for a row without text
 
 
 def buckets(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -37,22 +40,25 @@ def buckets(text: str | None, hashes: WordHashes) -> np.ndarray:
     return (np.concatenate([mix64(h, 37), pairs]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def ngram_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of the buckets over all rows of ``text``; each task sends at most BUCKETS numbers."""
+def ngram_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the buckets over the rows of ``text, good`` that are good, and over all; each task sends at most BUCKETS rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        hashes, total = WordHashes(), np.zeros((2, BUCKETS), np.int64)
         for pdf in batches:
-            for t in pdf["text"]:
-                total += np.bincount(buckets(t, hashes), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
-
-    rows = texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BUCKETS, np.int64)
+            for t, good in zip(pdf["text"], pdf["good"], strict=True):
+                n = np.bincount(buckets(t, hashes), minlength=BUCKETS)
+                total[1] += n
+                if good:
+                    total[0] += n
+        at = np.flatnonzero(total[1])
+        yield pd.DataFrame({"bucket": at, "good": total[0][at], "n": total[1][at]})
+
+    rows = texts.select("text", "good").mapInPandas(count, "bucket int, good long, n long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
+    out = np.zeros((2, BUCKETS), np.int64)
     for r in rows:
-        out[r["bucket"]] = r["n"]
-    return out
+        out[:, r["bucket"]] = r["good"], r["n"]
+    return out[0], out[1]
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -62,7 +68,7 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """``doc_id, text_hash, n_grams, log_weight, key`` for every row."""
+    """``row_no, doc_id, n_grams, log_weight, key`` for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -71,54 +77,61 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
             for t in pdf["text"]:
                 b = buckets(t, hashes)
                 n.append(len(b))
-                w.append(float(ratio[b].mean() * min(len(b), SCALE)) if len(b) else 0.0)
-            u = (mix64(pdf["doc_id"].fillna(0).astype("int64").to_numpy().view(np.uint64), seed) >> np.uint64(11)).astype(float) / (1 << 53)
-            gumbel = -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
-            key = np.where(np.array(n) > 0, np.array(w) + gumbel, -np.inf)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "n_grams": n, "log_weight": w, "key": key}).astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInPandas(run, "doc_id long, text_hash long, n_grams long, log_weight double, key double")
+                w.append(float(ratio[b].sum()))
+            h = mix64(pdf["doc_id"].fillna(0).astype("int64").to_numpy().view(np.uint64), seed) ^ pdf["text_hash"].to_numpy(np.int64).view(np.uint64)
+            u = ((mix64(h, 53) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+            key = np.where(np.array(n) > 0, np.array(w) - np.log(-np.log(u)), -np.inf)
+            yield pd.DataFrame({"row_no": pdf["row_no"], "doc_id": pdf["doc_id"], "n_grams": n, "log_weight": w, "key": key}).astype({"doc_id": "Int64"})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInPandas(run, "row_no long, doc_id long, n_grams long, log_weight double, key double")
+
+
+def kth_largest(frame: DataFrame, k: int) -> float:
+    """The k-th largest of the doubles in ``x``, 1 <= k <= rows: each step counts 256 bins of what is left of the range."""
+    low, high = frame.agg(F.min("x"), F.max("x")).first()
+    while low < high:
+        width = (high / 256 - low / 256) or (high - low)
+        bin_of = F.least(F.floor((F.col("x") - low) / width), F.lit(255))
+        bins = frame.where(F.col("x").between(low, high)).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: -r["bin"]):
+            low, high = r["low"], r["high"]
+            if r["n"] >= k:
+                break
+            k -= r["n"]
+        else:
+            raise ValueError("k exceeds the number of rows")
+    return low
 
 
 def top_k(weighed: DataFrame, k: int) -> DataFrame:
-    """Adds ``kept``: whether a row is among the k with the largest keys."""
+    """Adds ``kept``: whether a row is among the k with the largest keys; exactly k are (or all, if there are fewer)."""
     if k <= 0:
         return weighed.withColumn("kept", F.lit(False))
-    n = weighed.count()
-    if k >= n:
+    if k >= weighed.count():
         return weighed.withColumn("kept", F.lit(True))
-    low, high = (float(x) for x in weighed.where(F.col("key") > -math.inf).agg(F.min("key"), F.max("key")).first() or (0, 0))
-    low -= 1.0
-    for _ in range(60):  # narrows to the smallest (low, high] that still holds the k-th key
-        edges = [low + (high - low) * i / 256 for i in range(257)]
-        if edges[1] <= low or edges[-2] >= high:
-            break
-        bin_of = F.ceil((F.col("key") - low) / ((high - low) / 256)).cast("int")
-        counts = dict(weighed.where((F.col("key") > low) & (F.col("key") <= high)).groupBy(F.least(F.greatest(bin_of, F.lit(1)), F.lit(256)).alias("b")).count().collect())
-        above = weighed.where(F.col("key") > high).count()
-        b = 256
-        while b > 1 and above + counts.get(b, 0) < k:
-            above += counts.get(b, 0)
-            b -= 1
-        low, high = edges[b - 1], edges[b]
-        if counts.get(b, 0) <= 1000:
+    # Row numbers are 31 bits of partition over 33 bits of place, and a double holds either whole.
+    kept = F.lit(False)
+    rest = F.lit(True)
+    for x in (F.greatest("key", F.lit(_LAST)), -F.shiftright("row_no", 33).cast("double"), -F.col("row_no").bitwiseAND((1 << 33) - 1).cast("double")):
+        among = weighed.where(rest).select(x.alias("x"))
+        at = kth_largest(among, k)
+        kept = kept | (rest & (x > at))
+        more, ties = among.agg(F.count(F.when(F.col("x") > at, 1)), F.count(F.when(F.col("x") == at, 1))).first()
+        rest, k = rest & (x == at), k - more
+        if ties == k:
             break
-    above = weighed.where(F.col("key") > high).count()
-    edge = weighed.where((F.col("key") > low) & (F.col("key") <= high))
-    order = Window.orderBy(F.desc("key"), "doc_id", "text_hash")
-    taken = edge.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k - above).agg(F.max(F.struct(-F.col("key"), "doc_id", "text_hash")).alias("m")).first()["m"]
-    if taken is None:
-        return weighed.withColumn("kept", F.col("key") > high)
-    last = F.struct(F.lit(taken[0]).alias("x"), F.lit(taken[1]).cast("long").alias("y"), F.lit(taken[2]).cast("long").alias("z"))
-    return weighed.withColumn("kept", F.struct((-F.col("key")).alias("x"), F.col("doc_id").alias("y"), F.col("text_hash").alias("z")) <= last)
+    return weighed.withColumn("kept", kept | rest)
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1, max_labelled: int = 20_000) -> DataFrame:
     """``doc_id, n_grams, log_weight, key, kept`` for every row; ``share`` of the rows (by default the labels' share of good ones) are kept."""
     if share is None:
         share = labels.agg(F.avg("quality")).first()[0] or 0.0
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    target = ngram_counts(docs.join(good, "doc_id", "left_semi"))
-    weighed = cut(weigh(docs, log_ratio(target, ngram_counts(docs)), seed))
-    return top_k(weighed, math.floor(share * weighed.count())).drop("text_hash")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
+    good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(max_labelled)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    told = texts.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
+    target, raw = ngram_counts(told)
+    weighed = cut(weigh(texts, log_ratio(target, raw), seed))
+    return top_k(weighed, math.floor(share * weighed.count())).drop("row_no")
