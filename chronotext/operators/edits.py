@@ -105,24 +105,81 @@ def line_stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def current_version(log: DataFrame) -> DataFrame:
-    """State after a log of save, undo and redo: a pointer into the saved versions, per project.
+def insert_line(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds ``rec_id, start_ms, end_ms, text`` lines that end after they start; the table is sorted by start."""
+    fresh = new.where("end_ms > start_ms").select("rec_id", F.lit(-1).cast("long").alias("line_idx"), "start_ms", "end_ms", "text", F.lit(1).alias("p"))
+    return reindex(rows.select(*LINE, F.lit(0).alias("p")).unionByName(fresh), "start_ms", "p", "line_idx").select(*LINE)
+
+
+def retime_edge(rows: DataFrame, which: Column, start: Column | None = None, end: Column | None = None, least_ms: int = 200) -> DataFrame:
+    """Moves one edge of the chosen lines, whatever the neighbours, leaving ``least_ms``; ``words`` keep their share of the line's time."""
+    s0 = F.greatest(F.lit(0), F.col("start_ms") if start is None else start)
+    e0 = F.col("end_ms") if end is None else end
+    short = e0 - s0 < least_ms
+    s = F.when(short, F.greatest(F.lit(0), e0 - least_ms)).otherwise(s0) if start is not None else s0
+    e = F.when(short, s0 + least_ms).otherwise(e0) if start is None else e0
+    t = rows.withColumn("__s", F.when(which, s).otherwise(F.col("start_ms")).cast("long")).withColumn("__e", F.when(which, e).otherwise(F.col("end_ms")).cast("long"))
+    at = lambda x: (F.col("__s") + F.floor((x - F.col("start_ms")) * (F.col("__e") - F.col("__s")) / F.greatest(F.lit(1), F.col("end_ms") - F.col("start_ms")) + 0.5)).cast("long")
+    if "words" in rows.columns:
+        t = t.withColumn("words", F.transform("words", lambda w: F.struct(w["text"].alias("text"), at(w["start_ms"]).alias("start_ms"), at(w["end_ms"]).alias("end_ms"))))
+    return t.withColumn("start_ms", F.col("__s")).withColumn("end_ms", F.col("__e")).drop("__s", "__e")
+
+
+def shift_words(words: Column, delta_ms: int) -> Column:
+    """Words moved, never below 0; each lasts 10 ms at least. A shift under 20 ms is none."""
+    if abs(delta_ms) < 20:
+        return words
+    s = lambda w: F.greatest(F.lit(0).cast("long"), w["start_ms"] + delta_ms)
+    return F.transform(words, lambda w: F.struct(w["text"].alias("text"), s(w).alias("start_ms"), F.greatest(s(w) + 10, w["end_ms"] + delta_ms).alias("end_ms")))
+
+
+def retime_words(words: Column, num: int, den: int) -> Column:
+    return F.transform(words, lambda w: F.struct(w["text"].alias("text"), F.floor(w["start_ms"] * num / den).cast("long").alias("start_ms"), F.floor(w["end_ms"] * num / den).cast("long").alias("end_ms")))
+
+
+def set_style(rows: DataFrame, which: Column, style: dict[str, str]) -> DataFrame:
+    """A style of its own for the chosen lines, in place of what they had; an empty one takes it away."""
+    new = F.create_map(*[F.lit(x) for kv in style.items() for x in kv]) if style else F.lit(None).cast("map<string,string>")
+    return rows.withColumn("style", F.when(which, new).otherwise(F.col("style")))
+
+
+def replace_text(rows: DataFrame, text: Column, end: Column) -> DataFrame:
+    """A new text, with one word for the line's whole time, as the old words' times say nothing of it."""
+    return rows.withColumn("text", text).withColumn("end_ms", end).withColumn("words", F.array(F.struct("text", "start_ms", "end_ms")))
+
+
+def current_version(log: DataFrame, most: int = 60) -> DataFrame:
+    """State after a log of save, undo and redo: a pointer into the saved versions, per project; the last ``most`` are held.
 
     A save drops the versions beyond the pointer and appends; undo and redo move the pointer within bounds.
     """
     # acc: versions, then how many of them are in force
     zero = F.struct(F.expr("cast(array() as array<string>)").alias("v"), F.lit(0).alias("p"))
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("seq", "op", "payload"))),
-        zero,
-        lambda acc, x: F.when(x["op"] == "save", F.struct(F.concat(F.slice(acc["v"], F.lit(1), acc["p"]), F.array(x["payload"])).alias("v"), (acc["p"] + 1).alias("p")))
-        .when(x["op"] == "undo", F.struct(acc["v"].alias("v"), F.greatest(F.lit(0), acc["p"] - 1).alias("p")))
-        .otherwise(F.struct(acc["v"].alias("v"), F.least(F.size(acc["v"]), acc["p"] + 1).alias("p"))),
-    )
-    s = log.groupBy("project").agg(fold.alias("s"))
+
+    def step(acc, x):
+        v = F.concat(F.slice(acc["v"], F.lit(1), acc["p"]), F.array(x["payload"]))
+        v = F.when(F.size(v) > most, F.slice(v, F.lit(2), F.lit(most))).otherwise(v)
+        return (
+            F.when(x["op"] == "save", F.struct(v.alias("v"), F.least(F.lit(most), acc["p"] + 1).alias("p")))
+            .when(x["op"] == "undo", F.struct(acc["v"].alias("v"), F.greatest(F.lit(0), acc["p"] - 1).alias("p")))
+            .otherwise(F.struct(acc["v"].alias("v"), F.least(F.size(acc["v"]), acc["p"] + 1).alias("p")))
+        )
+
+    s = log.groupBy("project").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "op", "payload"))), zero, step).alias("s"))
     return s.select("project", F.col("s.p").cast("long").alias("version"), F.size("s.v").cast("long").alias("n_versions"), F.when(F.col("s.p") > 0, F.element_at("s.v", F.greatest(F.lit(1), F.col("s.p")))).alias("payload"))
 
 
+def autosaves(log: DataFrame, quiet_ms: int = 1500) -> DataFrame:
+    """``project, seq`` of the changes (``project, seq, t_ms, forced``) that are saved: forced ones, and those that no other follows within ``quiet_ms``."""
+    nxt = F.lead("t_ms").over(Window.partitionBy("project").orderBy("t_ms", "seq"))
+    return log.withColumn("__n", nxt).where(F.col("forced") | F.col("__n").isNull() | (F.col("__n") - F.col("t_ms") >= quiet_ms)).select("project", "seq")
+
+
+def old_drafts(projects: DataFrame, now: int, ttl: int) -> DataFrame:
+    """Drafts that were last changed over ``ttl`` ago."""
+    return projects.where(F.col("draft") & (F.lit(now) - F.col("updated") > ttl)).select("project")
+
+
 def evict(files: DataFrame, older_than: int, capacity: int, by: str) -> DataFrame:
     """Files to remove: those last used before ``older_than``; of the others the oldest, until the rest fits the capacity.
 

@@ -48,11 +48,11 @@ def islands(rows: DataFrame, keys: list[str], gap_ms: int, order: Iterable[str]
     return rows.withColumn("__n", fresh).withColumn("island", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__n")
 
 
-def gap_merge(rows: DataFrame, keys: list[str], gap_ms: int, min_ms: int = 0, pad_ms: int = 0) -> DataFrame:
-    """Merged runs ``keys, start_ms, end_ms, n``; runs shorter than ``min_ms`` go, before padding by ``pad_ms`` (never below 0)."""
+def gap_merge(rows: DataFrame, keys: list[str], gap_ms: int, min_ms: int = 0, pad_ms: int = 0, limit: Column | None = None) -> DataFrame:
+    """Merged runs ``keys, start_ms, end_ms, n``; runs shorter than ``min_ms`` go, before padding by ``pad_ms`` (never below 0, nor beyond ``limit``)."""
     runs = islands(rows, keys, gap_ms).groupBy(*keys, "island").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.count(F.lit(1)).alias("n"))
     kept = runs.where(F.col("e") - F.col("s") >= min_ms)
-    return kept.select(*keys, F.greatest(F.lit(0), F.col("s") - pad_ms).cast("long").alias("start_ms"), (F.col("e") + pad_ms).cast("long").alias("end_ms"), "n")
+    return kept.select(*keys, F.greatest(F.lit(0), F.col("s") - pad_ms).cast("long").alias("start_ms"), (F.col("e") + pad_ms if limit is None else F.least(limit, F.col("e") + pad_ms)).cast("long").alias("end_ms"), "n")
 
 
 def split_windows(rows: DataFrame, width_ms: int, min_ms: int) -> DataFrame:
@@ -76,16 +76,6 @@ def plan_chunks(durations: DataFrame, chunk_ms: int, overlap_ms: int) -> DataFra
     )
 
 
-def thin(rows: DataFrame, keys: list[str], time_col: str, gap: int) -> DataFrame:
-    """Keeps a time when it is more than ``gap`` after the last *kept* one: an ordered fold in the JVM, per key."""
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(time_col)),
-        F.expr("cast(array() as array<bigint>)"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, F.when(F.size(acc) == 0, 1).otherwise(-1)) > gap), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return rows.groupBy(*keys).agg(kept.alias("__k")).select(*keys, F.explode("__k").alias(time_col))
-
-
 def runs_of_lines(rows: DataFrame, keys: list[str], order: str, most: int = 3) -> DataFrame:
     """Every run of 1..``most`` consecutive rows with its joined text and time range."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -94,3 +84,24 @@ def runs_of_lines(rows: DataFrame, keys: list[str], order: str, most: int = 3) -
     runs = held.select("*", F.explode(F.sequence(F.lit(1), F.size(F.filter("__a", lambda x: x.isNotNull())))).alias("n_lines"))
     part = F.slice("__a", F.lit(1), F.col("n_lines"))
     return runs.select(*keys, order, "n_lines", "start_ms", F.element_at(part, -1)["end_ms"].alias("end_ms"), F.array_join(F.transform(part, lambda x: x["text"]), "").alias("text"))
+
+
+def keep_inside(rows: DataFrame, kept: DataFrame, key: str, bin_ms: int) -> DataFrame:
+    """Rows that overlap a kept interval; a key without kept intervals keeps all its rows."""
+    some = kept.select(key).distinct()
+    return overlap_join(rows, kept, key, bin_ms, "left_semi").unionByName(rows.join(some, key, "left_anti"))
+
+
+def kept_seconds(rows: DataFrame, kept: Column) -> DataFrame:
+    """``rec_id, kept_s, total_s``: lengths of the kept intervals and of all."""
+    span = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")) / 1000
+    return rows.groupBy("rec_id").agg(F.round(F.sum(F.when(kept, span).otherwise(0.0)), 3).alias("kept_s"), F.round(F.sum(span), 3).alias("total_s"))
+
+
+def best_span(rows: DataFrame, spans: DataFrame, key: str, row_id: str) -> DataFrame:
+    """``key, row_id, span_start, span_end``: the span with the largest overlap, else the one whose middle is nearest; of equals the earliest. A key's spans are few."""
+    s = spans.select(key, F.col("start_ms").alias("span_start"), F.col("end_ms").alias("span_end"))
+    common = F.least("end_ms", "span_end") - F.greatest("start_ms", "span_start")
+    apart = F.abs(F.col("span_start") + F.col("span_end") - F.col("start_ms") - F.col("end_ms"))
+    rank = F.struct((-F.greatest(F.lit(0), common)).alias("c"), F.when(common > 0, 0).otherwise(apart).alias("a"), "span_start", "span_end")
+    return rows.select(key, row_id, "start_ms", "end_ms").join(s, key).groupBy(key, row_id).agg(F.min(rank).alias("r")).select(key, row_id, "r.span_start", "r.span_end")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hotwords(log: DataFrame, k: int = 20, least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
-    """Weighted terms per recording: a chat term counts 1, a gift's 2; the best 4k are taken first, then filtered, then k; ties by first use."""
-    w = F.when(F.col("kind") == "chat", 1).otherwise(2)
-    n = log.groupBy("rec_id", "term").agg(F.sum(w).cast("long").alias("score"), F.min("ord").alias("first"))
+def ranked_terms(weighted: DataFrame, k: int = 20, least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
+    """``rec_id, term, score, rank`` of ``rec_id, term, weight, first``: the best 4k are taken first, then filtered, then k; ties by first use."""
+    n = weighted.groupBy("rec_id", "term").agg(F.sum("weight").cast("long").alias("score"), F.min("first").alias("first"))
     order = Window.partitionBy("rec_id").orderBy(F.desc("score"), "first")
     top = n.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * k)
     ok = (F.col("score") >= least) & ~F.col("term").rlike("^[0-9]+$") & F.length("term").between(2, 12)
@@ -18,6 +17,25 @@ def hotwords(log: DataFrame, k: int = 20, least: int = 2, stop: tuple[str, ...]
     return top.where(ok).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("rec_id", "term", "score", "rank")
 
 
+def hotwords(log: DataFrame, k: int = 20, least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted terms per recording: a chat term counts 1, a gift's 2."""
+    return ranked_terms(log.select("rec_id", "term", F.when(F.col("kind") == "chat", 1).otherwise(2).alias("weight"), F.col("ord").alias("first")), k, least, stop)
+
+
+def log_hotwords(log: DataFrame, words: Column, k: int = 60, least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
+    """The same for a log with senders and texts (``rec_id, ord, kind, user_name, text, gift``): a chat's sender counts 3, each of its ``words`` 1, a gift's name 2, its sender 2."""
+    chat = log.where("kind = 'chat'")
+    at = lambda i: F.struct(F.col("kind") != "chat", "ord", i.cast("int"))
+    row = lambda t, term, w, i: t.select("rec_id", term.alias("term"), F.lit(w).alias("weight"), at(i).alias("first")).where("term <> ''")
+    said = chat.select("*", F.posexplode(words).alias("__i", "__w"))
+    gifts = log.where("kind <> 'chat'")
+    parts = [row(chat, F.trim("user_name"), 3, F.lit(0)), row(said, F.col("__w"), 1, F.col("__i") + 1), row(gifts, F.col("gift"), 2, F.lit(0)), row(gifts, F.col("user_name"), 2, F.lit(1))]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return ranked_terms(every, k, least, stop)
+
+
 def top_sender(log: DataFrame, by: str, sender: str) -> DataFrame:
     """The most frequent sender; of equals, the one seen first."""
     n = log.groupBy(by, sender).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
@@ -40,11 +58,34 @@ def merge_logs(logs: list[DataFrame]) -> DataFrame:
     return first.unionByName(rows.where("kind <> 'chat'")).drop("src")
 
 
-def suppress_repeats(rows: DataFrame, keys: list[str], text_key: str, within_ms: int) -> DataFrame:
-    """Drops a row whose text was kept before, ending at most ``within_ms`` before it and not overlapping it: an ordered fold per text."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start_ms", "ord", "end_ms"))),
-        F.expr("cast(array() as array<struct<start_ms:bigint,ord:bigint,end_ms:bigint>>)"),
-        lambda acc, x: F.when(F.exists(acc, lambda p: (p["end_ms"] <= x["start_ms"]) & (x["start_ms"] - p["end_ms"] <= within_ms)), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return rows.groupBy(*keys, text_key).agg(fold.alias("__k")).select(*keys, text_key, F.explode("__k").alias("__x")).select(*keys, text_key, "__x.ord", "__x.start_ms", "__x.end_ms")
+def merged_headers(headers: list[DataFrame], fields: list[str]) -> DataFrame:
+    """``rec_id`` and each field's first value that is not empty, in the sources' order."""
+    rows = None
+    for i, h in enumerate(headers):
+        one = h.select("rec_id", F.lit(i).alias("src"), *fields)
+        rows = one if rows is None else rows.unionByName(one)
+    first = lambda c: F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("src")))
+    return rows.groupBy("rec_id").agg(*[F.coalesce(first(c), F.lit("")).alias(c) for c in fields])
+
+
+def prompt_terms(sources: list[DataFrame]) -> DataFrame:
+    """``rec_id, terms`` of ``rec_id, rank, term`` sources: ordered union, each term where it comes first."""
+    rows = None
+    for i, s in enumerate(sources):
+        one = s.select("rec_id", F.struct(F.lit(i), F.col("rank").cast("long")).alias("at"), "term")
+        rows = one if rows is None else rows.unionByName(one)
+    first = rows.where("term <> ''").groupBy("rec_id", "term").agg(F.min("at").alias("at"))
+    return first.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]), " ").alias("terms"))
+
+
+def song_titles(requests: DataFrame, chat: DataFrame, titles: DataFrame, norm) -> DataFrame:
+    """``rec_id, titles``: requested names in order (``rec_id, at, name``), then the library's titles (``ord, title``) that a chat text contains.
+
+    The titles are a stated list; a recording's chat texts are counted once each.
+    """
+    asked = requests.where("name <> ''").groupBy("rec_id", F.col("name").alias("title")).agg(F.min(F.struct(F.lit(0), F.col("at").cast("long"))).alias("at"))
+    said = chat.select("rec_id", norm(F.col("text")).alias("n")).distinct()
+    known = titles.select("ord", "title", norm(F.col("title")).alias("t")).where("t <> ''")
+    found = said.join(F.broadcast(known) if known.count() <= 10_000 else known, F.col("n").contains(F.col("t"))).groupBy("rec_id", "title").agg(F.min(F.struct(F.lit(1), F.col("ord").cast("long"))).alias("at"))
+    both = asked.unionByName(found).groupBy("rec_id", "title").agg(F.min("at").alias("at"))
+    return both.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]), "|").alias("titles"))

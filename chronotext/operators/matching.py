@@ -1,24 +1,55 @@
-"""Matching of passages and correction of lines by evidence."""
+"""Matching of lines with lyrics and passages, and correction of lines by evidence."""
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from ..functions.scalars import closest_part, lcs_length
+from ..functions.text import normal_alnum
 
-def similarity(a: str, b: str) -> float:
-    """Of normalised texts: 0 for an empty one, 1 for containment, else the larger of the matched share of ``a`` and the ratio; 4 places."""
+LEAST_CHARS, LYRIC_BLOCK, BUCKETS = 3, 5_000, 64
+
+
+def matched_chars(a: str, b: str, need: float = 0.0) -> int:
+    """Characters in matching blocks (the longest first, then what lies on either side of it); -1 as soon as ``need`` is out of reach."""
+    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    regions, total, left = [(0, len(a), 0, len(b))], 0, min(len(a), len(b))
+    while regions:
+        a0, a1, b0, b1 = regions.pop()
+        left -= min(a1 - a0, b1 - b0)
+        i, j, n = m.find_longest_match(a0, a1, b0, b1)
+        if not n:
+            if total + left < need:
+                return -1
+            continue
+        total += n
+        for part in ((a0, i, b0, j), (i + n, a1, j + n, b1)):
+            if (size := min(part[1] - part[0], part[3] - part[2])) > 0:
+                regions.append(part)
+                left += size
+        if total + left < need:
+            return -1
+    return total
+
+
+def similarity(a: str, b: str, least: float = 0.0) -> float:
+    """Of N2 forms: 0 for an empty one, 1 for containment, else the matched characters over the shorter of ``a`` and the mean length; 4 places. May be 0 where it is below ``least``."""
     if not a or not b:
         return 0.0
     if a in b or b in a:
         return 1.0
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    matched = sum(x.size for x in m.get_matching_blocks())
-    return round(max(matched / len(a), m.ratio()), 4)
+    base = min(len(a), (len(a) + len(b)) / 2)
+    need = (least - 1e-4) * base
+    if need > 0 and lcs_length(a, b) < need:  # blocks are a common subsequence
+        return 0.0
+    return round(max(0, matched_chars(a, b, need)) / base, 4)
 
 
 @F.pandas_udf(DoubleType())
@@ -49,60 +80,201 @@ def containing(passages: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame:
     return texts.select("doc_id", "text").join(pairs, "doc_id").join(p.drop("key"), "item_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id").distinct()
 
 
-def replace_keywords(lines: DataFrame, keywords: list[tuple[str, list[str]]]) -> DataFrame:
-    """Aliases become their word, one after the other in dictionary order (each sees what the last one left); ``changed`` tells which lines did."""
-    out = F.col("text")
+# ---- keywords ----
+
+
+def keyword_map(keywords: list[tuple[str, list[str]]]) -> list[tuple[str, str]]:
+    """(written form in N2, word) in dictionary order; of equal forms the later word counts, in the first one's place."""
+    n2 = lambda t: "".join(c for c in t if c.isalnum()).lower()
+    out: dict[str, str] = {}
     for word, aliases in keywords:
-        for a in aliases:
-            out = F.replace(out, F.lit(a), F.lit(word))
-    return lines.withColumn("fixed", out).withColumn("changed", F.col("fixed") != F.col("text"))
+        for t in (word, *aliases):
+            if n2(t):
+                out[n2(t)] = word
+    return list(out.items())
+
+
+def correct_by_keywords(lines: DataFrame, keywords: list[tuple[str, list[str]]], least: float = 0.72) -> DataFrame:
+    """``lines`` with ``fixed`` and ``changed``: a known wrong form in a line becomes its word (the last that applies counts); else a line that is
+    like a whole word (similarity of ``least``, lengths within 4) becomes it. The dictionary is a stated list, of a size to ship with the plan."""
+    text, n2 = F.col("text"), normal_alnum(F.coalesce("text", F.lit("")))
+    forms = [(f, w) for f, w in keyword_map(keywords) if f != "".join(c for c in w if c.isalnum()).lower()]
+    fixed = text
+    if forms:
+        zero = F.struct(text.alias("fixed"), n2.alias("n2"))
+
+        def step(acc: Column, k: Column) -> Column:
+            hit = acc["n2"].contains(k["form"]) & ~text.contains(k["word"]) & text.contains(k["form"])
+            new = F.replace(text, k["form"], k["word"])
+            return F.struct(F.when(hit, new).otherwise(acc["fixed"]).alias("fixed"), F.when(hit, normal_alnum(new)).otherwise(acc["n2"]).alias("n2"))
+
+        fixed = F.aggregate(F.array(*[F.struct(F.lit(f).alias("form"), F.lit(w).alias("word")) for f, w in forms]), zero, step, lambda acc: acc["fixed"])
+    words = [("".join(c for c in w if c.isalnum()).lower(), w) for w in sorted({w for w, _ in keywords})]
+
+    @F.pandas_udf(StringType())
+    def whole_word(texts: pd.Series) -> pd.Series:
+        def best(t: str | None) -> str | None:
+            near = [(similarity(t, n), -i) for i, (n, _) in enumerate(words) if abs(len(n) - len(t or "")) <= 4] if t else []
+            top = max(near, default=(0.0, 0))
+            return words[-top[1]][1] if top[0] >= least else None
+
+        return texts.map(best)
+
+    long = F.length(n2) >= 2
+    out = lines.withColumn("fixed", F.when(long, fixed).otherwise(text))
+    out = out.withColumn("fixed", F.when(long & (F.col("fixed") == text), F.coalesce(whole_word(n2), text)).otherwise(F.col("fixed")))
+    return out.withColumn("changed", F.col("fixed") != text)
+
+
+# ---- chat evidence ----
+
 
+def phrase_counts(evidence: DataFrame) -> DataFrame:
+    """``rec_id, phrase, n``: chat texts of 3 to 12 letters in N2 form, gift names, and names of senders twice, of ``rec_id, kind, text, gift, user_name``."""
+    said = evidence.where("kind = 'chat'").select("rec_id", normal_alnum(F.col("text")).alias("phrase"), F.lit(1).alias("n")).where(F.length("phrase").between(LEAST_CHARS, 12))
+    gifts = evidence.where("gift <> ''").select("rec_id", normal_alnum(F.col("gift")).alias("phrase"), F.lit(1).alias("n"))
+    names = evidence.where("user_name <> ''").select("rec_id", normal_alnum(F.col("user_name")).alias("phrase"), F.lit(2).alias("n"))
+    return said.unionByName(gifts).unionByName(names).groupBy("rec_id", "phrase").agg(F.sum("n").cast("long").alias("n"))
 
-def correct_by_chat(lines: DataFrame, chat: DataFrame, width_ms: int = 8000, low: float = 0.55, high: float = 0.985, least: int = 2) -> DataFrame:
-    """Each line's best chat evidence: texts of near time buckets, alike but not equal, said ``least`` times at least.
 
-    ``rec_id, line_idx, text, fixed, score``; the whole pass is given up for a recording with 20 lines or more when over half would change.
+@F.pandas_udf(StructType([StructField("part", StringType()), StructField("score", DoubleType())]))
+def _evidence(text: pd.Series, cand: pd.Series) -> pd.DataFrame:
+    """The part of the evidence that is compared with a line, and its ratio."""
+    out = []
+    for t, c in zip(text, cand, strict=True):
+        c = closest_part(c, t) if len(c) > 1.8 * len(t) else c
+        near = abs(len(c) - len(t)) <= max(4, len(t) // 2)
+        out.append((c, difflib.SequenceMatcher(None, t, c).ratio() if near else 0.0))
+    return pd.DataFrame(out, columns=["part", "score"])
+
+
+def correct_by_chat(lines: DataFrame, evidence: DataFrame, width_ms: int = 12_000, low: float = 0.55, high: float = 0.985, least: int = 2) -> DataFrame:
+    """``rec_id, line_idx, text, fixed, score, kind``: each line's best evidence, from ``rec_id, ord, t_ms, kind, text, gift, user_name``.
+
+    Evidence lies in time buckets within one and a half widths of the line's start, is alike but not equal, and is a paid text or a gift's name or
+    counts ``least`` in :func:`phrase_counts`. A recording of 20 lines or more of which over half would change is left alone.
     """
-    bucket = lambda c: (F.rint(c / width_ms) * width_ms).cast("long")
-    said = chat.groupBy("rec_id", bucket(F.col("t_ms")).alias("bucket"), F.col("text").alias("said")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
-    first = F.ceil((F.col("start_ms") - 1.5 * width_ms) / width_ms).cast("long")
-    last = F.floor((F.col("start_ms") + 1.5 * width_ms) / width_ms).cast("long")
-    near = lines.withColumn("bucket", F.explode(F.sequence(first, last))).withColumn("bucket", F.col("bucket") * width_ms)
-    c = near.join(said, ["rec_id", "bucket"]).where(F.abs(F.length("said") - F.length("text")) <= F.greatest(F.lit(2), F.length("text") / 3))
-    c = c.groupBy("rec_id", "line_idx", "text", "said").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= least)
-    s = c.withColumn("score", ratio_udf("text", "said")).where((F.col("score") >= low) & (F.col("score") < high))
-    best = s.groupBy("rec_id", "line_idx", "text").agg(F.max_by(F.struct(F.col("said").alias("fixed"), "score"), F.struct("score", -F.col("first"))).alias("b")).select("rec_id", "line_idx", "text", "b.fixed", F.round("b.score", 4).alias("score"))
+    bucket = (F.rint(F.col("t_ms") / width_ms) * width_ms).cast("long")
+    said = evidence.where("text <> ''").select("rec_id", bucket.alias("bucket"), F.when(F.col("kind") == "chat", "chat").otherwise("sc").alias("kind"), F.col("text").alias("said"), F.struct(F.col("kind") != "chat", "ord", F.lit(0)).alias("at"))
+    gifts = evidence.where("gift <> ''").select("rec_id", bucket.alias("bucket"), F.lit("gift").alias("kind"), F.col("gift").alias("said"), F.struct(F.lit(True), "ord", F.lit(1)).alias("at"))
+    pool = said.unionByName(gifts).withColumn("nc", normal_alnum(F.col("said"))).where(F.length("nc") >= F.when(F.col("kind") == "gift", 2).otherwise(LEAST_CHARS))
+    # Of what a bucket holds many times over, the first counts.
+    pool = pool.groupBy("rec_id", "bucket", "kind", "said", "nc").agg(F.min("at").alias("at"))
+    pool = pool.join(pool.groupBy("rec_id", "bucket").agg(F.min("at").alias("opened")), ["rec_id", "bucket"]).where(F.length("nc") >= LEAST_CHARS)
+    first, last = F.ceil((F.col("start_ms") - 1.5 * width_ms) / width_ms).cast("long"), F.floor((F.col("start_ms") + 1.5 * width_ms) / width_ms).cast("long")
+    near = lines.select("rec_id", "line_idx", "text", normal_alnum(F.col("text")).alias("nt"), F.explode(F.sequence(first, last)).alias("bucket")).where(F.length("nt") >= LEAST_CHARS).withColumn("bucket", F.col("bucket") * width_ms)
+    c = near.join(pool, ["rec_id", "bucket"]).withColumn("e", _evidence("nt", "nc")).where((F.col("e.score") >= low) & (F.col("e.score") < high))
+    n = phrase_counts(evidence).where(F.col("n") >= least).select("rec_id", F.col("phrase").alias("part"), F.lit(True).alias("known"))
+    c = c.withColumn("part", F.col("e.part")).join(n, ["rec_id", "part"], "left").where(F.col("kind").isin("sc", "gift") | F.col("known"))
+    w = Window.partitionBy("rec_id", "line_idx").orderBy(F.desc("e.score"), "opened", "at")
+    best = c.withColumn("r", F.row_number().over(w)).where("r = 1").select("rec_id", "line_idx", "text", F.trim("said").alias("fixed"), F.round("e.score", 4).alias("score"), "kind")
+    best = best.where(normal_alnum(F.col("fixed")) != normal_alnum(F.col("text")))
     share = lines.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_lines")).join(best.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_fixed")), "rec_id")
     ok = share.where(~((F.col("n_lines") >= 20) & (2 * F.col("n_fixed") > F.col("n_lines")))).select("rec_id")
     return best.join(ok, "rec_id", "left_semi")
 
 
-def assign_lyrics(lines: DataFrame, lyrics: DataFrame, least: float = 0.55, top: int = 8, back: int = 30) -> DataFrame:
-    """Places lyric rows of a document on lines of a recording, in lyric order.
+# ---- lyrics ----
+
+
+def subtitle_rows(lines: DataFrame) -> DataFrame:
+    """``rec_id, line_idx, n2, start_ms, end_ms`` of the lines with three letters or digits or more."""
+    return lines.select("rec_id", "line_idx", normal_alnum(F.col("text")).alias("n2"), "start_ms", "end_ms").where(F.length("n2") >= LEAST_CHARS)
+
+
+def line_windows(rows: DataFrame, most: int = 3) -> DataFrame:
+    """``rec_id, first, last, wtext``: each run of 1 to ``most`` neighbouring rows."""
+    w = Window.partitionBy("rec_id").orderBy("line_idx")
+    part = F.array(*[F.struct(F.lead("line_idx", k).over(w).alias("last"), F.lead("n2", k).over(w).alias("t")) for k in range(most)])
+    runs = rows.select("rec_id", F.col("line_idx").alias("first"), part.alias("p")).select("rec_id", "first", "p", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k"))
+    runs = runs.where(F.get("p", F.col("k") - 1)["last"].isNotNull())
+    return runs.select("rec_id", "first", F.get("p", F.col("k") - 1)["last"].alias("last"), F.array_join(F.transform(F.slice("p", F.lit(1), F.col("k")), lambda x: x["t"]), "").alias("wtext"))
+
+
+def _histograms(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), BUCKETS), np.int16)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % BUCKETS, minlength=BUCKETS)
+    return out
 
-    Candidates share two neighbouring words and are close in length; each lyric row keeps its ``top`` best; a line is used once, and a row may
-    not go more than ``back`` lines behind the last placed. ``doc, lyric_idx, rec_id, line_idx, score``.
+
+def window_scores(windows: DataFrame, lyrics: DataFrame, least: float = 0.55) -> DataFrame:
+    """``rec_id, first, last, wlen, doc, lyric_idx, llen, score`` of the windows and lyric rows (``doc, lyric_idx, n2``) that are alike.
+
+    The lyric rows are the stated set: blocks of ``LYRIC_BLOCK`` of them are broadcast, and all windows run against each. Of the pairs
+    within the length band, those whose common characters cannot reach the score are skipped unseen; the score decides on the rest.
     """
-    pairs = F.explode(shingles(F.lower("text"), 2)).alias("w")
-    a = lyrics.select("doc", "lyric_idx", F.col("text").alias("lt"), pairs)
-    b = lines.select("rec_id", "line_idx", F.col("text").alias("tt"), pairs)
-    near = a.join(b, "w").where(F.abs(F.length("lt") - F.length("tt")) <= F.greatest(F.lit(10), F.length("tt"))).select("doc", "lyric_idx", "lt", "rec_id", "line_idx", "tt").distinct()
-    s = near.withColumn("score", similarity_udf("lt", "tt")).where(F.col("score") >= least)
-    w = Window.partitionBy("doc", "rec_id", "lyric_idx").orderBy(F.desc(F.round("score", 2)), F.abs(F.length("lt") - F.length("tt")), "line_idx")
-    best = s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, last, out = set(), None, []
-        for _, rows in pdf.sort_values(["lyric_idx", "r"]).groupby("lyric_idx", sort=True):
-            for x in rows.itertuples():
-                if x.line_idx not in used and (last is None or x.line_idx >= last - back):
-                    used.add(x.line_idx)
-                    last = x.line_idx
-                    out.append((x.doc, x.lyric_idx, x.rec_id, x.line_idx, x.score))
-                    break
-        return pd.DataFrame(out, columns=["doc", "lyric_idx", "rec_id", "line_idx", "score"])
-
-    return best.groupBy("doc", "rec_id").applyInPandas(place, "doc long, lyric_idx long, rec_id long, line_idx long, score double")
+    spark = windows.sparkSession
+    numbered = lyrics.where(F.length("n2") >= LEAST_CHARS)
+    blocks = -(-numbered.count() // LYRIC_BLOCK)
+    out = "rec_id long, first long, last long, wlen int, doc long, lyric_idx long, llen int, score double"
+    found = None
+    windows = windows.select("rec_id", "first", "last", "wtext").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rec_id", "first", "last")
+    for b in range(blocks):
+        mine = numbered.where(F.pmod(F.xxhash64("doc", "lyric_idx"), F.lit(blocks)) == b).select("doc", "lyric_idx", "n2").collect()
+        shared = spark.sparkContext.broadcast([(r["doc"], r["lyric_idx"], r["n2"]) for r in mine])
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            rows = shared.value
+            held, size = _histograms([r[2] for r in rows]), np.array([len(r[2]) for r in rows])
+            for pdf in batches:
+                got = []
+                for rec, first, last, t, h in zip(pdf["rec_id"], pdf["first"], pdf["last"], pdf["wtext"], _histograms(pdf["wtext"].tolist()), strict=True):
+                    n = len(t)
+                    near = np.flatnonzero(np.abs(size - n) <= max(10, n))
+                    common = np.minimum(held[near], h).sum(1)
+                    may = (common >= (least - 1e-4) * np.minimum(n, (size[near] + n) / 2)) | (common == np.minimum(size[near], n))
+                    for k in near[may].tolist():
+                        doc, lyric, text = rows[k]
+                        if (s := similarity(t, text, least)) >= least:
+                            got.append((rec, first, last, n, doc, lyric, len(text), s))
+                yield pd.DataFrame(got, columns=[c.split(" ")[0] for c in out.split(", ")])
+
+        part = windows.mapInPandas(run, out)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], out)
+
+
+def assign_lyrics(scores: DataFrame, lyrics: DataFrame, top: int = 8, back: int = 30) -> DataFrame:
+    """``doc, rec_id, lyric_idx, line_idx, merged_to, score``: lyric rows placed on windows, in lyric order.
+
+    Each row keeps its ``top`` best windows (score to two places, then closeness of length, then place); it takes the first whose line no row
+    has taken and, unless its text came before in the document, that is not more than ``back`` lines behind the last one placed.
+    """
+    two = F.floor(F.col("score") * 100 + 0.5)
+    w = Window.partitionBy("doc", "rec_id", "lyric_idx").orderBy(F.desc(two), F.abs(F.col("wlen") - F.col("llen")), "first", "last")
+    best = scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).join(lyrics.select("doc", "lyric_idx", "n2"), ["doc", "lyric_idx"])
+    order = ["doc", "rec_id", "lyric_idx", "r"]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = row = None
+        lines, texts, furthest = set(), set(), -1
+        for pdf in batches:
+            got = []
+            for x in pdf.itertuples(index=False):
+                if (x.doc, x.rec_id) != at:
+                    at, row, lines, texts, furthest = (x.doc, x.rec_id), None, set(), set(), -1
+                if x.lyric_idx != row:
+                    row, repeat, placed = x.lyric_idx, x.n2 in texts, False
+                    texts.add(x.n2)
+                if placed or x.first in lines or (not repeat and x.first < furthest - back):
+                    continue
+                placed = True
+                lines.add(x.first)
+                furthest = furthest if repeat else max(furthest, x.first)
+                got.append((x.doc, x.rec_id, x.lyric_idx, x.first, x.last, x.score))
+            yield pd.DataFrame(got, columns=["doc", "rec_id", "lyric_idx", "line_idx", "merged_to", "score"])
+
+    dealt = best.select(*order, "first", "last", "score", "n2").repartition("doc", "rec_id").sortWithinPartitions(*order)
+    return dealt.mapInPandas(place, "doc long, rec_id long, lyric_idx long, line_idx long, merged_to long, score double")
+
+
+def dedupe_by_line(matches: DataFrame) -> DataFrame:
+    """The best match of each window, then of each line (of equals the first lyric row)."""
+    for keys in (["doc", "rec_id", "line_idx", "merged_to"], ["doc", "rec_id", "line_idx"]):
+        w = Window.partitionBy(*keys).orderBy(F.desc("score"), "lyric_idx", "merged_to")
+        matches = matches.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return matches
 
 
 def match_reports(placed: DataFrame, gap: int = 6) -> DataFrame:
@@ -111,5 +283,166 @@ def match_reports(placed: DataFrame, gap: int = 6) -> DataFrame:
     run = F.sum(F.when(F.col("line_idx") - F.lag("line_idx").over(w) > gap, 1).otherwise(0)).over(w)
     r = placed.withColumn("run", run).groupBy("doc", "rec_id", "run").agg(F.avg("score").alias("avg"), F.count(F.lit(1)).alias("n"))
     full = F.least(F.lit(1.0), F.col("n") / 3)
-    best = r.groupBy("doc", "rec_id").agg(F.max_by(F.struct("avg", "n"), F.struct(F.col("avg") * full, -F.col("run"))).alias("b"))
-    return best.select("doc", "rec_id", F.round(F.col("b.avg") * (0.7 + 0.3 * F.least(F.lit(1.0), F.col("b.n") / 3)), 4).alias("score"))
+    best = r.groupBy("doc", "rec_id").agg(F.max_by(F.struct("avg", "n"), F.struct(F.col("avg") * full, -F.col("run"))).alias("b"), F.sum("n").alias("n_matches"))
+    return best.select("doc", "rec_id", F.round(F.col("b.avg") * (0.7 + 0.3 * F.least(F.lit(1.0), F.col("b.n") / 3)), 4).alias("score"), "n_matches")
+
+
+def best_documents(reports: DataFrame) -> DataFrame:
+    """``rec_id, doc, score``: each recording's document with the largest score, the first of equals."""
+    return reports.groupBy("rec_id").agg(F.max_by(F.struct("doc", "score"), F.struct("score", -F.col("doc"))).alias("b")).select("rec_id", "b.doc", "b.score")
+
+
+def titled(docs: DataFrame, titles: list[str]) -> DataFrame:
+    """The documents whose title equals, contains or lies in one of the stated titles, in N2 form; all of them without titles."""
+    n2 = normal_alnum(F.col("title"))
+    wanted = [t for t in ("".join(c for c in x if c.isalnum()).lower() for x in titles) if t]
+    hit = F.lit(not wanted)
+    for t in wanted:
+        hit = hit | n2.contains(t) | F.lit(t).contains(n2)
+    return docs.where(hit)
+
+
+def lyric_plans(lines: DataFrame, matches: DataFrame, lyrics: DataFrame, least: float = 0.75, alike: float = 0.45) -> DataFrame:
+    """``rec_id, line_idx, last, fixed, end_ms``: which runs of lines become which lyric row.
+
+    Of the matches with a score of ``least`` in line order: lines are used once, and so is each lyric text; it must be no shorter than
+    what it replaces, not equal to it, and alike (``alike`` or more).
+    """
+    m = matches.where(F.col("score") >= least).select("rec_id", "doc", "lyric_idx", F.col("line_idx").alias("first"), F.greatest("merged_to", "line_idx").alias("last"))
+    m = m.join(lyrics.select("doc", "lyric_idx", F.trim("text").alias("fixed"), normal_alnum(F.col("text")).alias("nf")), ["doc", "lyric_idx"])
+    each = m.withColumn("line_idx", F.explode(F.sequence("first", "last"))).join(lines.select("rec_id", "line_idx", "text", "end_ms"), ["rec_id", "line_idx"])
+    old = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), "")
+    whole = each.groupBy("rec_id", "first", "last", "fixed", "nf").agg(normal_alnum(old).alias("old"), F.max_by("end_ms", "line_idx").alias("end_ms"))
+    ok = whole.where((F.col("nf") != "") & (F.length("nf") >= F.length("old")) & (F.col("nf") != F.col("old"))).where(similarity_udf("old", "nf") >= alike)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rec, until, texts = None, -1, set()
+        for pdf in batches:
+            keep = []
+            for r, first, last, nf in zip(pdf["rec_id"], pdf["first"], pdf["last"], pdf["nf"], strict=True):
+                if r != rec:
+                    rec, until, texts = r, -1, set()
+                free = first > until and nf not in texts
+                keep.append(free)
+                if free:
+                    until = last
+                    texts.add(nf)
+            yield pdf.loc[np.array(keep, bool), ["rec_id", "first", "last", "fixed", "end_ms"]]
+
+    dealt = ok.select("rec_id", "first", "last", "fixed", "end_ms", "nf").repartition("rec_id").sortWithinPartitions("rec_id", "first", "last", "fixed")
+    return dealt.mapInPandas(choose, "rec_id long, first long, last long, fixed string, end_ms long").withColumnRenamed("first", "line_idx")
+
+
+def apply_plans(lines: DataFrame, plans: DataFrame) -> DataFrame:
+    """``rec_id, line_idx, start_ms, end_ms, text``: a planned run becomes one line with its lyric; the rest stays. Numbered anew."""
+    gone = plans.withColumn("line_idx", F.explode(F.sequence(F.col("line_idx"), F.col("last")))).select("rec_id", "line_idx", "last", F.lit(True).alias("in_run"))
+    heads = plans.select("rec_id", "line_idx", "fixed", F.col("end_ms").alias("plan_end"))
+    t = lines.join(gone, ["rec_id", "line_idx"], "left").join(heads, ["rec_id", "line_idx"], "left").where(F.col("in_run").isNull() | F.col("fixed").isNotNull())
+    n = F.row_number().over(Window.partitionBy("rec_id").orderBy("line_idx")) - 1
+    return t.select("rec_id", n.cast("long").alias("line_idx"), "start_ms", F.coalesce("plan_end", "end_ms").alias("end_ms"), F.coalesce("fixed", "text").alias("text"))
+
+
+def match_lyrics(lines: DataFrame, lyrics: DataFrame, least: float = 0.55) -> DataFrame:
+    """Windows, scores and placing in one: the matches of every document with every recording. ``lyrics``: ``doc, lyric_idx, text``."""
+    normal = lyrics.select("doc", "lyric_idx", normal_alnum(F.col("text")).alias("n2"))
+    return dedupe_by_line(assign_lyrics(window_scores(line_windows(subtitle_rows(lines)), normal, least), normal))
+
+
+def post_correct(lines: DataFrame, keywords: list[tuple[str, list[str]]], evidence: DataFrame, lyrics: DataFrame) -> DataFrame:
+    """Keywords first, then chat evidence, then the best document's lyrics; each sees what the last one left. ``rec_id, line_idx, start_ms, end_ms, text``."""
+    plain = ["rec_id", "line_idx", "start_ms", "end_ms", "text"]
+    one = correct_by_keywords(lines.select(plain), keywords).withColumn("text", F.col("fixed")).select(plain)
+    told = correct_by_chat(one, evidence).select("rec_id", "line_idx", "fixed")
+    two = one.join(told, ["rec_id", "line_idx"], "left").withColumn("text", F.coalesce("fixed", "text")).select(plain)
+    matches = match_lyrics(two, lyrics)
+    mine = matches.join(best_documents(match_reports(matches)).select("rec_id", "doc"), ["rec_id", "doc"], "left_semi")
+    return apply_plans(two, lyric_plans(two, mine, lyrics))
+
+
+# ---- evidence for line breaks ----
+
+
+def lyric_hints(atoms: list[str], lyric: list[str]) -> list[int]:
+    """The atoms (in N2 form) before which a lyric row begins, as places of the atoms that end a line; never the first or last."""
+    full, words = "".join(atoms), [x for x in lyric if x]
+    if len(full) < LEAST_CHARS or not words:
+        return []
+    starts = set(np.cumsum([0, *map(len, words)])[:-1].tolist())
+    at = np.cumsum([0, *map(len, atoms)])[:-1].tolist()
+    to = {m.a + k: m.b + k for m in difflib.SequenceMatcher(None, full, "".join(words), autojunk=False).get_matching_blocks() for k in range(m.size)}
+    ends = [i - 1 for i in range(1, len(atoms)) if to.get(at[i]) in starts]
+    return [i for i in ends if 0 < i < len(atoms) - 1]
+
+
+def chat_hints(atoms: list[str], said: list[str]) -> list[int]:
+    """The atoms that end where a chat text ends within their joined text; never the last."""
+    full = "".join(atoms)
+    end_of: dict[int, int] = {}
+    for i, e in enumerate(np.cumsum([len(a) for a in atoms]).tolist()):
+        end_of.setdefault(e, i)
+    out = set()
+    for t in {x for x in said if len(x) >= LEAST_CHARS} if len(full) >= LEAST_CHARS else ():
+        at = full.find(t)
+        while at >= 0:
+            i = end_of.get(at + len(t))
+            if i is not None and i < len(atoms) - 1:
+                out.add(i)
+            at = full.find(t, at + len(t))
+    return sorted(out)
+
+
+def _hint_udf(f):
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(atoms: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([f(list(a), list(o) if o is not None else []) for a, o in zip(atoms, other, strict=True)])
+
+    return run
+
+
+def boundary_hints(atoms: DataFrame, lyrics: DataFrame, chat: DataFrame, window_ms: int = 12_000) -> DataFrame:
+    """``atoms`` with ``hint``: 2 before a lyric row of the stretch's document (``rec_id, block, lyric_idx, text``), 1 after a chat text said near it (``rec_id, t_ms, text``), else 0."""
+    w = atoms.groupBy("rec_id", "block").agg(F.array_sort(F.collect_list(F.struct("pos", normal_alnum(F.col("text")).alias("t")))).alias("a"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
+    texts = F.transform("a", lambda x: x["t"])
+    lyr = lyrics.groupBy("rec_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("lyric_idx", normal_alnum(F.col("text")).alias("t")))), lambda x: x["t"]).alias("lyric"))
+    near = w.select("rec_id", "block", "s", "e").join(chat.select("rec_id", "t_ms", normal_alnum(F.col("text")).alias("t")), "rec_id").where(F.col("t_ms").between(F.col("s") - window_ms, F.col("e") + window_ms))
+    said = near.groupBy("rec_id", "block").agg(F.collect_set("t").alias("said"))
+    both = w.join(lyr, ["rec_id", "block"], "left").join(said, ["rec_id", "block"], "left")
+    both = both.select("rec_id", "block", "a", _hint_udf(lyric_hints)(texts, F.col("lyric")).alias("ly"), _hint_udf(chat_hints)(texts, F.col("said")).alias("ch"))
+    place = both.select("rec_id", "block", F.posexplode("a").alias("i", "x"), "ly", "ch")
+    hint = F.when(F.array_contains("ly", F.col("i")), 2).when(F.array_contains("ch", F.col("i")), 1).otherwise(0)
+    return atoms.join(place.select("rec_id", "block", F.col("x.pos").alias("pos"), hint.alias("hint")), ["rec_id", "block", "pos"])
+
+
+def library_lookup(wanted: DataFrame, docs: DataFrame, least: float = 0.7) -> DataFrame:
+    """``want_id, doc, tier``: for ``want_id, title, artist``, the document of equal title and artist, else the first of equal title, else the title most alike."""
+    n2 = lambda c: normal_alnum(F.coalesce(F.col(c), F.lit("")))
+    d = docs.select("doc", F.col("title").alias("dt"), n2("title").alias("t"), n2("artist").alias("a"))
+    w = wanted.select("want_id", "title", n2("title").alias("t"), n2("artist").alias("a"))
+    exact = w.join(d.select("doc", "t", "a"), ["t", "a"]).select("want_id", F.lit(1).alias("tier"), "doc", F.lit(1.0).alias("score"))
+    same = w.join(d.select("doc", F.col("dt").alias("title")), "title").select("want_id", F.lit(2).alias("tier"), "doc", F.lit(1.0).alias("score"))
+    found = exact.unionByName(same)
+    rest = w.where("t <> ''").join(found.select("want_id").distinct(), "want_id", "left_anti")
+    scored = window_scores(rest.select(F.col("want_id").alias("rec_id"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"), F.col("t").alias("wtext")), d.select("doc", F.lit(0).cast("long").alias("lyric_idx"), F.col("t").alias("n2")), least)
+    alike = scored.select(F.col("rec_id").alias("want_id"), F.lit(3).alias("tier"), "doc", "score")
+    w1 = Window.partitionBy("want_id").orderBy("tier", F.desc("score"), "doc")
+    return found.unionByName(alike).withColumn("r", F.row_number().over(w1)).where("r = 1").select("want_id", "doc", "tier")
+
+
+def ranked_lyrics(transcripts: DataFrame, docs: DataFrame, top: int = 5) -> DataFrame:
+    """``rec_id, rank, doc, score``: each transcript's ``top`` documents by (score, title), of ``doc, title, text``; a stated set of documents, in pairs with every transcript."""
+    a = transcripts.select("rec_id", normal_alnum(F.col("text")).alias("q")).where("q <> ''")
+    b = docs.select("doc", "title", normal_alnum(F.col("text")).alias("body")).where("body <> ''")
+    s = a.join(F.broadcast(b) if b.count() <= LYRIC_BLOCK else b).withColumn("score", similarity_udf("q", "body"))
+    w = Window.partitionBy("rec_id").orderBy(F.desc("score"), "title", "doc")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("rec_id", "rank", "doc", "score")
+
+
+def longest_hit_run(hits: list[float], least: float = 0.6) -> list[int]:
+    """Places of the longest run of lines with a hit ratio of ``least``, one miss between two allowed; the first of equals."""
+    runs: list[list[int]] = []
+    for i in [i for i, h in enumerate(hits) if h >= least]:
+        if runs and i - runs[-1][-1] <= 2:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    return max(runs, key=len, default=[])

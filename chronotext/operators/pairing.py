@@ -2,61 +2,80 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import lcs_udf
+from ..functions.text import cer
 from .intervals import islands, overlap_join
+from .matching import ratio_udf
 
 PAIRS = "rec_id long, i long, j long, overlap_ms long"
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Largest overlap first, ties by (i, j); each line once."""
-    used_i, used_j, out = set(), set(), []
-    for r, i, j, ov in pdf.sort_values(["overlap_ms", "i", "j"], ascending=[False, True, True])[["rec_id", "i", "j", "overlap_ms"]].itertuples(index=False):
-        if i not in used_i and j not in used_j:
-            used_i.add(i)
-            used_j.add(j)
-            out.append((r, i, j, ov))
-    return pd.DataFrame(out, columns=["rec_id", "i", "j", "overlap_ms"])
+def _first_free(by: list[str]):
+    """Sweep over rows sorted by ``by`` and rank: within each ``by``, a row is a pair when both its lines are still free."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, taken = None, set()
+        for pdf in batches:
+            keep = []
+            for key, i, j in zip(pdf[by].itertuples(index=False, name=None), pdf["i"].tolist(), pdf["j"].tolist(), strict=True):
+                if key != at:
+                    at, taken = key, set()
+                free = ("i", i) not in taken and ("j", j) not in taken
+                keep.append(free)
+                if free:
+                    taken |= {("i", i), ("j", j)}
+            yield pdf.loc[np.array(keep, bool), ["rec_id", "i", "j", "overlap_ms"]]
+
+    return run
 
 
 def greedy_pairs(ref: DataFrame, hyp: DataFrame, bin_ms: int = 10_000) -> DataFrame:
-    """``rec_id, i, j, overlap_ms``: greedy one-to-one pairs by overlap.
+    """``rec_id, i, j, overlap_ms``: one-to-one pairs, the largest overlap first (ties by i, j).
 
-    A pair never leaves its island (a run of lines of either side without a gap), so each island is assigned by itself:
-    a long recording is many small groups, not one.
+    Pairs that are the best of both their lines are taken by rank alone; what is contested lies in islands (runs of lines of either
+    side without a gap), which are swept in one sorted pass, many islands to a task.
     """
     lines = ref.select("rec_id", "start_ms", "end_ms", F.lit(0).alias("side"), F.col("line_idx").alias("n")).unionByName(hyp.select("rec_id", "start_ms", "end_ms", F.lit(1).alias("side"), F.col("line_idx").alias("n")))
     where = islands(lines, ["rec_id"], 0).where("side = 0").select("rec_id", F.col("n").alias("i"), "island")
     cand = overlap_join(ref.select("rec_id", "line_idx", "start_ms", "end_ms"), hyp.select("rec_id", "line_idx", "start_ms", "end_ms"), "rec_id", bin_ms)
     cand = cand.select("rec_id", F.col("line_idx").alias("i"), F.col("line_idx_r").alias("j"), "overlap_ms")
-    return cand.join(where, ["rec_id", "i"]).groupBy("rec_id", "island").applyInPandas(_greedy, PAIRS)
+    rank = [F.desc("overlap_ms"), "i", "j"]
+    top = lambda side: F.row_number().over(Window.partitionBy("rec_id", side).orderBy(*rank)) == 1
+    marked = cand.withColumn("sure", top("i") & top("j"))
+    taken = lambda side: F.max("sure").over(Window.partitionBy("rec_id", side))
+    left = marked.withColumn("ti", taken("i")).withColumn("tj", taken("j")).where("sure or not (ti or tj)")
+    contested = left.where("not sure").join(where, ["rec_id", "i"]).repartition("rec_id", "island").sortWithinPartitions("rec_id", "island", *rank)
+    return left.where("sure").select("rec_id", "i", "j", "overlap_ms").unionByName(contested.mapInPandas(_first_free(["rec_id", "island"]), PAIRS))
 
 
 def similarity_fallback(ref: DataFrame, hyp: DataFrame, pairs: DataFrame, norm, least: float = 0.6) -> DataFrame:
-    """Pairs for lines that overlap left over: each left reference line in order takes the unused candidate most alike (ratio of at least ``least``; ties: the first)."""
-    rest_r = ref.join(pairs.select("rec_id", F.col("i").alias("line_idx")), ["rec_id", "line_idx"], "left_anti").select("rec_id", F.lit(0).alias("side"), "line_idx", norm(F.col("text")).alias("text"))
-    rest_h = hyp.join(pairs.select("rec_id", F.col("j").alias("line_idx")), ["rec_id", "line_idx"], "left_anti").select("rec_id", F.lit(1).alias("side"), "line_idx", norm(F.col("text")).alias("text"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_idx")
-        left, right = (list(pdf[pdf.side == s][["line_idx", "text"]].itertuples(index=False)) for s in (0, 1))
-        used, out = set(), []
-        for i, a in left:
-            best, at = 0.0, None
-            for j, b in right:
-                if j not in used and (ratio := difflib.SequenceMatcher(None, a, b).ratio()) > best:
-                    best, at = ratio, j
-            if at is not None and best >= least:
-                used.add(at)
-                out.append((pdf.rec_id.iloc[0], i, at, 0))
-        return pd.DataFrame(out, columns=["rec_id", "i", "j", "overlap_ms"])
-
-    return rest_r.unionByName(rest_h).groupBy("rec_id").applyInPandas(assign, PAIRS)
+    """Pairs for lines that overlap left over: each left reference line in order takes the unused candidate most alike (ratio of at least ``least``; ties: the first).
+
+    Candidates have lengths that allow the ratio; the ratios of all are taken side by side, then one sorted pass deals them out.
+    """
+    rest = lambda lines, used, n, t: lines.join(pairs.select("rec_id", F.col(used).alias("line_idx")), ["rec_id", "line_idx"], "left_anti").select("rec_id", F.col("line_idx").alias(n), norm(F.col("text")).alias(t))
+    both = rest(ref, "i", "i", "a").join(rest(hyp, "j", "j", "b"), "rec_id").where(2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")))
+    scored = both.withColumn("ratio", ratio_udf("a", "b")).where(F.col("ratio") >= least).withColumn("overlap_ms", F.lit(0).cast("long"))
+    ranked = scored.repartition("rec_id").sortWithinPartitions("rec_id", "i", F.desc("ratio"), "j")
+    return ranked.select("rec_id", "i", "j", "overlap_ms").mapInPandas(_first_free(["rec_id"]), PAIRS)
+
+
+def accuracy(ref: DataFrame, hyp: DataFrame, norm, tol_ms: int = 300) -> DataFrame:
+    """The whole report per recording: pairs with the fallback, rates, errors, error rate and recall of the joined texts."""
+    by_time = greedy_pairs(ref, hyp)
+    pairs = by_time.unionByName(similarity_fallback(ref, hyp, by_time, norm))
+    out = report(paired_lines(ref, hyp, pairs, norm, tol_ms), hyp)
+    joined = lambda t, name: t.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", norm(F.col("text")).alias("t")))), lambda x: x["t"]), "").alias(name))
+    texts = joined(ref, "rt").join(joined(hyp, "ht"), "rec_id", "left").withColumn("ht", F.coalesce("ht", F.lit("")))
+    recall = F.when(F.length("rt") > 0, lcs_udf("rt", "ht") / F.length("rt")).otherwise(F.lit(0.0))
+    return out.join(texts.select("rec_id", F.round(cer(F.col("ht"), F.col("rt")), 6).alias("cer"), F.round(recall, 6).alias("char_recall")), "rec_id")
 
 
 def paired_lines(ref: DataFrame, hyp: DataFrame, pairs: DataFrame, norm, tol_ms: int = 300) -> DataFrame:

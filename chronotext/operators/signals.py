@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import gap_merge
 
 
+def ranked_values(frames: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """The values at the given places of the whole column's order (from 0), each found by counting 512 bins of what is left of the range: no sort, no list of values."""
+    x = F.col(value).cast("double")
+    bounds = frames.agg(F.min(x), F.max(x)).first()
+    out = []
+    for k in ranks:
+        low, high = bounds
+        while low < high:
+            width = (high - low) / 512
+            bins = frames.where(x.between(low, high)).groupBy(F.least(F.floor((x - low) / width), F.lit(511)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+            for r in sorted(bins.collect(), key=lambda r: r["b"]):
+                low, high = r["low"], r["high"]
+                if k < r["n"]:
+                    break
+                k -= r["n"]
+        out.append(low)
+    return out
+
+
 def floors(frames: DataFrame, value: str, shares: tuple[float, ...] = (0.10, 0.15, 0.95)) -> DataFrame:
-    """Interpolated percentiles of the signal."""
-    p = F.percentile(F.col(value), F.array(*map(F.lit, shares)))
-    return frames.agg(p.alias("p")).select(*[F.round(F.col("p")[i], 6).alias(f"p{int(s * 100)}") for i, s in enumerate(shares)])
+    """Interpolated percentiles of the whole signal; nulls do not count, and without values all are null."""
+    frames = frames.where(F.col(value).isNotNull())
+    n = frames.count()
+    out = {}
+    for s in shares:
+        at = s * (n - 1)
+        low, high = ranked_values(frames, value, [int(at), min(int(at) + 1, n - 1)]) if n else (None, None)
+        out[f"p{int(s * 100)}"] = F.round(F.lit(low + (high - low) * (at - int(at))), 6) if n else F.lit(None).cast("double")
+    return frames.sparkSession.range(1).select(*[c.alias(k) for k, c in out.items()])
 
 
-def active_islands(frames: DataFrame, on, bridge: int, least: int) -> DataFrame:
-    """Runs of frames where the signal is on; gaps of up to ``bridge`` frames are bridged, runs under ``least`` frames go."""
-    spans = frames.where(on).select(F.expr("frame_idx div 100000").alias("z"), F.col("frame_idx").alias("start_ms"), (F.col("frame_idx") + 1).alias("end_ms"))
-    return gap_merge(spans.drop("z").withColumn("rec", F.lit(0)), ["rec"], bridge, least).select(F.col("start_ms").alias("first_frame"), (F.col("end_ms") - 1).alias("last_frame"))
+def active_islands(frames: DataFrame, on, bridge: int, least: int, width: int = 100_000) -> DataFrame:
+    """Runs of frames where the signal is on; gaps of up to ``bridge`` frames are bridged, runs under ``least`` frames go.
+
+    Runs are found within stretches of ``width`` frames; only the first and last run of each stretch can go on in a neighbour, so
+    these alone (two rows for each stretch) are merged across.
+    """
+    spans = frames.where(on).select(F.floor(F.col("frame_idx") / width).alias("z"), F.col("frame_idx").alias("start_ms"), (F.col("frame_idx") + 1).alias("end_ms"))
+    runs = gap_merge(spans, ["z"], bridge)
+    w = Window.partitionBy("z")
+    edge = (F.col("start_ms") == F.min("start_ms").over(w)) | (F.col("end_ms") == F.max("end_ms").over(w))
+    runs = runs.withColumn("edge", edge)
+    seams = gap_merge(runs.where("edge").select(F.lit(0).alias("rec"), "start_ms", "end_ms"), ["rec"], bridge).select("start_ms", "end_ms")
+    whole = seams.unionByName(runs.where("not edge").select("start_ms", "end_ms"))
+    return whole.where(F.col("end_ms") - F.col("start_ms") >= least).select(F.col("start_ms").alias("first_frame"), (F.col("end_ms") - 1).alias("last_frame"))
 
 
 def median_shift(rows: DataFrame, keys: list[str], window: str, value: str, least: int, bound: float) -> DataFrame:
@@ -41,10 +76,72 @@ def lag_search(cover: DataFrame, signal: DataFrame, frame: str, x: str, y: str,
     return m.select("lag", "n", F.round((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0)), 6).alias("corr"))
 
 
-def onset(lines: DataFrame, frames: DataFrame, around: int, floor_share: float, up: float) -> DataFrame:
-    """First frame of each line's neighbourhood that rises ``up`` above the neighbourhood's low percentile, and the last."""
+def coverage_lag(lines: DataFrame, events: DataFrame, frame_ms: int, most: int, end_ms: Column, least_lines: int = 20) -> DataFrame:
+    """``rec_id, lag, corr``: the lag (in frames, of -most..most) with the largest correlation of the lines' 0/1 coverage with the events' 0/1 activity; the first of equals.
+
+    Frames run from 0 to the recording's ``end_ms``; outside of it both signals are 0. Recordings with fewer than ``least_lines`` lines have lag 0.
+    Only frames with an event are copied for the lags and looked up among the covered ones.
+    """
+    f = lambda c: F.floor(F.col(c) / frame_ms).cast("long")
+    n = lines.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_lines"), (F.floor(F.max(end_ms) / frame_ms) + 1).alias("n"))
+    covered = lines.select("rec_id", F.explode(F.sequence(f("start_ms"), f("end_ms"))).alias("f")).distinct()
+    active = events.select("rec_id", f("t_ms").alias("f")).distinct().join(n, "rec_id").where("f >= 0 and f < n").select("rec_id", "f")
+    sx, sy = (t.groupBy("rec_id").agg(F.count(F.lit(1)).alias(k)) for t, k in ((covered, "sx"), (active, "sy")))
+    lags = F.sequence(F.lit(-most), F.lit(most))
+    moved = active.withColumn("lag", F.explode(lags)).withColumn("f", F.col("f") - F.col("lag"))
+    both = moved.join(covered, ["rec_id", "f"]).groupBy("rec_id", "lag").agg(F.count(F.lit(1)).alias("sxy"))
+    grid = n.join(sx, "rec_id").join(sy, "rec_id").where(F.col("n_lines") >= least_lines).withColumn("lag", F.explode(lags)).join(both, ["rec_id", "lag"], "left")
+    k = F.coalesce("sxy", F.lit(0))
+    spread = F.sqrt((F.col("sx") * (F.col("n") - F.col("sx"))).cast("double")) * F.sqrt((F.col("sy") * (F.col("n") - F.col("sy"))).cast("double"))
+    scored = grid.withColumn("corr", F.round(F.coalesce((F.col("n") * k - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0)), F.lit(0.0)), 6))
+    best = scored.groupBy("rec_id").agg(F.max_by(F.struct("lag", "corr"), F.struct("corr", -F.col("lag"))).alias("b"))
+    return n.join(best, "rec_id", "left").select("rec_id", F.coalesce("b.lag", F.lit(0)).alias("lag"), F.coalesce("b.corr", F.lit(0.0)).alias("corr"))
+
+
+def quiet_shift(pairs: DataFrame, frames: DataFrame, keys: list[str], back: int, ahead: int, floor: float, most: float, least: int = 3) -> DataFrame:
+    """``keys, shift``: median distance (in frames) from each gap's middle to the middle of the longest quiet run around it, over ``least`` gaps at least; else 0.
+
+    ``pairs`` has ``keys, gap_id, middle`` (the gap's middle frame); a frame is quiet at ``floor`` or below; of equal runs the first counts, runs of
+    a single frame do not, nor do distances beyond ``most``.
+    """
+    near = pairs.withColumn("frame_idx", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("middle") - back)), F.floor(F.col("middle") + ahead) - 1)))
+    quiet = near.join(frames, [*keys, "frame_idx"]).where(F.col("level") <= floor)
+    w = Window.partitionBy(*keys, "gap_id").orderBy("frame_idx")
+    runs = quiet.withColumn("run", F.col("frame_idx") - F.row_number().over(w)).groupBy(*keys, "gap_id", "middle", "run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
+    best = runs.groupBy(*keys, "gap_id", "middle").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("b") - F.col("a"), -F.col("a"))).alias("r")).where("r.b > r.a")
+    delta = (F.col("r.a") + F.col("r.b")) / 2 - F.col("middle")
+    d = best.select(*keys, delta.alias("d")).where(F.abs("d") <= most)
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("d", 0.5).alias("m")).select(*keys, F.round(F.when(F.col("n") >= least, F.col("m")).otherwise(0.0), 3).alias("shift"))
+
+
+def refined_edges(lines: DataFrame, edges: DataFrame, hold_ms: int = 180, least_ms: int = 120) -> DataFrame:
+    """``rec_id, line_idx, start_ms, end_ms, text, scale`` from each line's found ``onset_ms, offset_ms`` (null: its own edge).
+
+    The end is ``hold_ms`` before the line's own or at the found one, whichever is earlier, where that leaves ``least_ms``; ``scale`` is what words are
+    stretched by around the new start.
+    """
+    t = lines.join(edges, ["rec_id", "line_idx"], "left")
+    s, e = F.coalesce("onset_ms", "start_ms"), F.coalesce("offset_ms", "end_ms")
+    held = F.col("end_ms") - hold_ms
+    end = F.when(held > s + least_ms, F.least(held, e)).otherwise(e)
+    end = F.when(end <= s, s + least_ms).otherwise(end)
+    scale = F.round((end - s) / F.greatest(F.lit(1), F.col("end_ms") - F.col("start_ms")), 6)
+    return t.select("rec_id", "line_idx", s.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"), "text", scale.alias("scale"))
+
+
+def onset(lines: DataFrame, frames: DataFrame, around: int, floor_share: float, up: float, down: float | None = None, cap: int | None = None) -> DataFrame:
+    """First frame of each line's neighbourhood that rises ``up`` above the neighbourhood's low percentile, and the last above ``down`` (``up``, if not given).
+
+    A frame that is over ``cap`` away from the line's own edge is no edge: null.
+    """
     spread = lines.withColumn("frame_idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("first_frame") - around), F.col("last_frame") + around)))
     near = spread.join(frames, "frame_idx").select(*lines.columns, "frame_idx", "level")
     low = near.groupBy(*lines.columns).agg(F.percentile("level", floor_share).alias("floor"))
-    loud = near.join(low, lines.columns).where(F.col("level") >= F.col("floor") + up)
-    return loud.groupBy(*lines.columns).agg(F.min("frame_idx").alias("onset"), F.max("frame_idx").alias("offset"))
+    down = up if down is None else down
+    above = lambda by: F.when(F.col("level") >= F.col("floor") + by, F.col("frame_idx"))
+    loud = near.join(low, lines.columns).where(F.col("level") >= F.col("floor") + min(up, down))
+    out = loud.groupBy(*lines.columns).agg(F.min(above(up)).alias("onset"), F.max(above(down)).alias("offset"))
+    if cap is None:
+        return out
+    held = lambda c, edge: F.when(F.abs(F.col(c) - F.col(edge)) <= cap, F.col(c)).alias(c)
+    return out.select(*lines.columns, held("onset", "first_frame"), held("offset", "last_frame"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import edits as ed
 from ..operators import matching as mt
-from ..operators import segment as sm
+from ..operators import sweeps as sw
 from ..sources import formats as fm
-from .views import hyp_line, live_log_compact, ref_line, table, with_views
+from .views import ref_line, table, with_views
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -139,7 +139,7 @@ OPS = """op_log as (select user_id as project, event_id as seq, case event_type
 
 @query(f"""with recursive {OPS}, o as (select *, row_number() over (partition by project order by seq) as k from op_log),
 f(project, k, v, p) as (select project, cast(0 as bigint), cast([] as varchar[]), cast(0 as bigint) from (select distinct project from o) t
- union all select o.project, o.k, case when op = 'save' then list_append(v[1:p], payload) else v end, case op when 'save' then p + 1 when 'undo' then greatest(0, p - 1) else least(len(v), p + 1) end from f join o on o.project = f.project and o.k = f.k + 1),
+ union all select o.project, o.k, case when op = 'save' then list_append(v[1:p], payload)[-60:] else v end, case op when 'save' then least(60, p + 1) when 'undo' then greatest(0, p - 1) else least(len(v), p + 1) end from f join o on o.project = f.project and o.k = f.k + 1),
 l as (select *, row_number() over (partition by project order by k desc) as z from f)
 select project, p as version, len(v) as n_versions, case when p > 0 then v[p] end as payload from l where z = 1""")
 def undo_redo_state(spark, d):
@@ -159,50 +159,6 @@ def passage_match(spark, d):
     return mt.containing(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
-@query()
-def passage_similarity(spark, d):
-    """Benchmark passages against each other by shared word pairs, with the matching score."""
-    b = table(spark, d, "benchmark").select("item_id", "text", F.explode(mt.shingles(F.lower("text"), 2)).alias("w"))
-    pairs = b.alias("a").join(b.alias("b"), "w").where("a.item_id < b.item_id").select(F.col("a.item_id").alias("a_id"), F.col("b.item_id").alias("b_id"), F.col("a.text").alias("at"), F.col("b.text").alias("bt")).distinct()
-    return pairs.select("a_id", "b_id", F.round(mt.similarity_udf("at", "bt"), 4).alias("score"))
-
-
-def _lyrics(spark, d):
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), F.posexplode(F.split("text", r"\. ")).alias("lyric_idx", "text"))
-    return rows.withColumn("lyric_idx", F.col("lyric_idx").cast("long")).where("length(text) > 3")
-
-
-@query()
-def lyric_assignment(spark, d):
-    """Rows of the first benchmark texts placed on lines of recordings."""
-    return mt.assign_lyrics(ref_line(spark, d).select("rec_id", "line_idx", "text"), _lyrics(spark, d))
-
-
-@query()
-def lyric_reports(spark, d):
-    return mt.match_reports(lyric_assignment(spark, d))
-
-
-WORDS = [("the", ["tha", "thn"]), ("und", ["unn"]), ("que", ["ques", "qua"]), ("there", ["theth"])]
-_REPLACED = "text"
-for _w, _as in WORDS:
-    for _a in _as:
-        _REPLACED = f"replace({_REPLACED}, '{_a}', '{_w}')"
-
-
-@query(f"{REF}, r as (select rec_id, line_idx, text, {_REPLACED} as fixed from ref_line) select rec_id, line_idx, md5(fixed) as fixed_md5, fixed <> text as changed from r")
-def keyword_replace(spark, d):
-    return mt.replace_keywords(ref_line(spark, d), WORDS).select("rec_id", "line_idx", F.md5("fixed").alias("fixed_md5"), "changed")
-
-
-@query()
-def chat_correction(spark, d):
-    """Candidate lines corrected by what a chat said: here the reference lines, each said twice near its time."""
-    said = ref_line(spark, d).select("rec_id", F.col("start_ms").alias("t_ms"), "text", F.col("line_idx").alias("ord"))
-    chat = said.unionByName(said.withColumn("t_ms", F.col("t_ms") + 500))
-    return mt.correct_by_chat(hyp_line(spark, d), chat, high=1.0)
-
-
 def _atoms(spark, d):
     """Words of lines with even shares of the line's time; a line is a stretch of speech."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
@@ -222,19 +178,4 @@ atoms as (select rec_id, block, pos, text, start_ms + (end_ms - start_ms) * pos
  case when stop or a.end_ms - s > 5000 or c + length(a.text) > 25 then length(a.text) else c + length(a.text) end, regexp_matches(a.text, '[.!?]$') from f join atoms a on a.rec_id = f.rec_id and a.block = f.block and a.pos = f.pos + 1)
 select rec_id, block, pos, line from f""")
 def greedy_aggregate(spark, d):
-    return sm.aggregate_words(_atoms(spark, d))
-
-
-@query()
-def dp_segmentation(spark, d):
-    """Least-cost lines; tests hold the kernel against exhaustive search."""
-    return sm.segment(_atoms(spark, d))
-
-
-@query(f"""{with_views('live_log_compact')}, r as (select rec_id, ord, t_ms, term, lag(t_ms) over (partition by rec_id, term order by t_ms, ord) as p from live_log_compact where kind = 'chat') select rec_id, ord, t_ms, term from r where p is null or t_ms - p > 20000""")
-def chunk_seam_dedupe(spark, d):
-    """Chat of one term that follows its like within 20 s is the seam's copy."""
-    from pyspark.sql import Window
-
-    prev = F.lag("t_ms").over(Window.partitionBy("rec_id", "term").orderBy("t_ms", "ord"))
-    return live_log_compact(spark, d).where("kind = 'chat'").withColumn("p", prev).where((F.col("p").isNull()) | (F.col("t_ms") - F.col("p") > 20_000)).select("rec_id", "ord", "t_ms", "term")
+    return sw.aggregate_words(_atoms(spark, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normal_alnum
 from ..operators import intervals as iv
 from ..operators import pairing as pr
+from ..operators import sweeps as sw
 from .views import hyp_line, live_log, live_log_compact, ref_line, table, with_views
 
 QUERIES: dict = {}
@@ -100,7 +101,7 @@ _merged("keep_windows", 350, 401, 0)
 
 
 def thin_events(spark, d):
-    return iv.thin(live_log_compact(spark, d), ["rec_id"], "t_ms", 3000)
+    return sw.thin(live_log_compact(spark, d), ["rec_id"], "t_ms", 3000)
 
 
 ORACLE["thin_events"] = f"""{with_views('live_log_compact', recursive=True)},

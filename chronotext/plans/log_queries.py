@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import livelog as lv
 from ..operators import signals as sg
+from ..operators import sweeps as sw
 from ..operators import vectors as vc
 from .views import activity, feature, live_log, live_log_compact, ref_line, table, with_views
 
@@ -61,7 +62,7 @@ f(rec_id, term, k, ord, t, kept, ends) as (select rec_id, term, k, ord, t_ms, tr
 select rec_id, term, ord, t as start_ms, t + 400 as end_ms from f where kept""")
 def exact_repeat_suppression(spark, d):
     rows = live_log_compact(spark, d).select("rec_id", "term", "ord", F.col("t_ms").alias("start_ms"), (F.col("t_ms") + 400).alias("end_ms"))
-    return lv.suppress_repeats(rows, ["rec_id"], "term", 30_000)
+    return sw.suppress_repeats(rows, ["rec_id"], "term", 30_000)
 
 
 @query(r"""with t as (select doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '\[[^\]\[]*\]', '', 'g'), '[A-Za-z]{2,8}') as ts from documents)
@@ -105,7 +106,7 @@ def markup_repair(spark, d):
     return nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.length("node")).cast("long").alias("chars"))
 
 
-@query(r"""select doc_id, md5(trim(lower(regexp_replace(text, '[\s\x0b,.!?;:~，。！？、；：“”‘’「」『』《》〈〉（）()…—·～"''\[\]【】-]', '', 'g')))) as n1_md5,
+@query(r"""select doc_id, md5(trim(lower(regexp_replace(text, '[\s\x0b\x{3000},，、。.！!？?；;：:…·—\-_~～"''“”‘’（）()\[\]【】《》〈〉<>/\\|@#$%\^&*+=`]', '', 'g')))) as n1_md5,
 md5(lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) as n2_md5, md5(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) as n3_md5 from documents""")
 def normal_forms(spark, d):
     t = F.col("text")

@@ -10,6 +10,10 @@ from ..functions.text import ass_time, lrc_time, parse_time, srt_time
 STAMP = r"(\d+:\d+:\d+[.,]\d{1,3}|\d+:\d+[.,]\d{1,3})\s*-->\s*(\d+:\d+:\d+[.,]\d{1,3}|\d+:\d+[.,]\d{1,3})"
 
 
+#: Fixed value: rows that name who made a song.
+CREDIT = r"^(?i)\s*(作词|作曲|编曲|制作人|演唱|原唱|词|曲|OP|SP|出品|监制|统筹|混音|母带)\s*[:：\-]\s*.{0,40}$"
+
+
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """SRT or VTT files: ``path, line_idx, start_ms, end_ms, text``."""
     return parse_subtitles(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), "path", "value")
@@ -37,40 +41,58 @@ def parse_lrc(rows: DataFrame, key: str, row: str, ord_col: str) -> DataFrame:
     return t.select(key, "ord", ms.alias("t_ms"), "text").withColumn("line_idx", (F.row_number().over(w) - 1).cast("long")).select(key, "line_idx", "t_ms", "text")
 
 
-def parse_plain(rows: DataFrame, key: str, row: str, ord_col: str, credit: str = r"^(?i)(?:lyrics|music|by|词|曲|编曲)\s*[:：]") -> DataFrame:
+def parse_plain(rows: DataFrame, key: str, row: str, ord_col: str, credit: str = CREDIT) -> DataFrame:
     """Lyric rows without stamps, metadata and credits."""
     text = F.trim(F.regexp_replace(row, r"\[[^\]]*\]", ""))
     return rows.select(key, F.col(ord_col).alias("line_idx"), text.alias("text")).where((F.col("text") != "") & ~F.col("text").rlike(credit))
 
 
+# Fixed values of the log format: guard names by level, and the name of a paid message.
+GUARDS = {"1": "总督", "2": "提督", "3": "舰长"}
+PAID = "醒目留言"
+
+
+def unescaped(t: Column) -> Column:
+    """The five named entities of XML."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    return t
+
+
 def parse_log_xml(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Chat, gift, paid and guard nodes by pattern, so that a file cut short still gives its complete nodes.
 
-    ``key, ord, t, kind, user_id, user_name, text, gift, count, price``; a bad number counts as 0, a missing count as 1.
+    ``key, ord, t, kind, user_id, user_name, text, gift, count, price``, ``ord`` counting by time from 0; a bad number counts as 0,
+    a missing or zero count as 1; chat without text goes.
     """
-    nodes = F.regexp_extract_all(text, F.lit(r"(?s)(<(?:d|gift|sc|guard)\b[^>]*?(?:/>|>.*?</(?:d|gift|sc|guard)>))"), F.lit(1))
-    n = texts.select(key, F.posexplode(nodes).alias("ord", "n"))
-    attr = lambda name: F.nullif(F.regexp_extract("n", rf'\b{name}="([^"]*)"', 1), F.lit(""))
+    nodes = F.regexp_extract_all(text, F.lit(r"(?s)<(d|gift|sc|guard)\b[^>]*?(?:/>|>.*?</\1>)"), F.lit(0))
+    n = texts.select(key, F.posexplode(nodes).alias("at", "n"))
+    attr = lambda name: F.nullif(unescaped(F.regexp_extract("n", rf'\b{name}="([^"]*)"', 1)), F.lit(""))
     number = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
     tag, p = F.regexp_extract("n", r"^<(\w+)", 1), F.split(attr("p"), ",")
-    body = F.regexp_extract("n", r"(?s)^<[^>]*>(.*)</\w+>$", 1)
-    guard = F.coalesce(F.element_at(F.create_map(F.lit("1"), F.lit("总督"), F.lit("2"), F.lit("提督"), F.lit("3"), F.lit("舰长")), F.coalesce(attr("level"), F.lit("3"))), F.lit("舰长"))
+    body = unescaped(F.regexp_extract("n", r"(?s)^<[^>]*>(.*)</\w+>$", 1))
+    guard = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in GUARDS.items() for x in pair]), F.coalesce(attr("level"), F.lit("3"))), F.lit(GUARDS["3"]))
     rows = n.select(
-        key, "ord", F.when(tag == "d", number(p[0])).otherwise(number(attr("ts"))).alias("t"), F.when(tag == "d", "chat").otherwise(tag).alias("kind"),
+        key, "at", F.when(tag == "d", number(F.get(p, F.lit(0)))).otherwise(number(attr("ts"))).alias("t"), F.when(tag == "d", "chat").otherwise(tag).alias("kind"),
         F.when(tag == "d", F.get(p, F.lit(6))).otherwise(attr("uid")).alias("user_id"), attr("user").alias("user_name"), F.trim(body).alias("text"),
-        F.when(tag == "gift", attr("giftname")).when(tag == "sc", F.lit("SC")).when(tag == "guard", guard).alias("gift"),
-        F.coalesce(F.nullif(number(attr("giftcount")), F.lit(0.0)), F.lit(1.0)).cast("long").alias("count"), number(attr("price")).alias("price"),
-    )
-    return rows.where((F.col("kind") != "chat") | (F.col("text") != ""))
+        F.when(tag == "gift", attr("giftname")).when(tag == "sc", F.lit(PAID)).when(tag == "guard", guard).alias("gift"),
+        F.coalesce(F.nullif(number(attr("giftcount")).cast("long"), F.lit(0)), F.lit(1)).alias("count"), number(attr("price")).alias("price"),
+    ).where((F.col("kind") != "chat") | (F.col("text") != ""))
+    ord_ = (F.row_number().over(Window.partitionBy(key).orderBy("t", "at")) - 1).cast("long")
+    return rows.withColumn("ord", ord_).select(key, "ord", *rows.columns[2:])
 
 
 def parse_log_json(rows: DataFrame, key: str, line: str) -> DataFrame:
-    """Lenient JSON lines: alternative names for kind, time, text and user; bad rows are skipped."""
-    pick = lambda *names: F.coalesce(*[F.get_json_object(line, f"$.{n}") for n in names])
-    kind = F.upper(F.coalesce(pick("type", "kind", "cmd"), F.lit("")))
-    name = F.when(kind.contains("GUARD"), "guard").when(kind.contains("SUPER"), "sc").when(kind.contains("GIFT"), "gift").otherwise("chat")
-    user = F.coalesce(pick("user.name", "user.uname"), pick("user_name", "uname", "user"))
-    return rows.select(key, pick("time", "t", "ts").try_cast("double").alias("t"), name.alias("kind"), pick("text", "msg", "content").alias("text"), user.alias("user_name")).where("t is not null")
+    """Lenient JSON lines: alternative names for kind, time, text and user; a bad time counts as 0; bad rows and chat without text are skipped."""
+    pick = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(line, f"$.{n}"), F.lit("")) for n in names], F.lit(""))
+    kind = F.upper(pick("type", "cmd"))
+    paid = kind.contains("GIFT") | kind.contains("SUPER") | kind.contains("GUARD")
+    name = F.when(paid & kind.contains("SUPER"), "sc").when(paid, "gift").otherwise("chat")
+    user = pick("uname", "user_name", "username", "nickname", "name", "user.name", "user.uname", "user")
+    out = rows.where(F.get_json_object(line, "$").isNotNull() & F.col(line).rlike(r"^\s*\{")).select(
+        key, F.coalesce(pick("time", "timestamp", "ts").try_cast("double"), F.lit(0.0)).alias("t"), name.alias("kind"), pick("text", "content", "msg").alias("text"), user.alias("user_name")
+    )
+    return out.where((F.col("kind") != "chat") | (F.col("text") != ""))
 
 
 def number_lines(rows: DataFrame) -> DataFrame:
