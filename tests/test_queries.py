@@ -35,4 +35,4 @@ def test_query(name, spark, duck):
         assert sorted(got.columns) == sorted(want.columns)
         assert plain(got) == plain(want)
     else:
-        assert len(got.columns)
+        assert len(got) and not got[got.columns[0]].isna().any()
