@@ -72,11 +72,13 @@ def spent(*frames: DataFrame) -> None:
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A well-mixed 64-bit hash of 64-bit integers (the splitmix64 finaliser)."""
-    with np.errstate(over="ignore"):
-        x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class WordHashes:
@@ -101,12 +103,11 @@ class WordHashes:
 
 
 def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` consecutive words."""
+    """Hash of each run of ``n`` consecutive words: their hashes times odd numbers, one for each place, added and mixed."""
     m = len(word_hashes) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(m, np.uint64)
-        for j in range(n):
-            h = mix64(h * np.uint64(0x100000001B3) ^ word_hashes[j : j + m], j)
-        return h
+    h = np.zeros(m, np.uint64)
+    for j in range(n):
+        h += word_hashes[j : j + m] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
+    return mix64(h)
