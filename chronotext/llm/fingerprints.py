@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of a text's paragraph pieces, in built-in expressions only.
 
-A text is cut into pieces: sentences within paragraphs, the longest cut every ``PIECE`` characters. Each piece hashes to a
-vector of 128 bytes, and the fingerprint is the lane-wise sum over all pieces modulo 2**32 (two lanes share a long). So
+A text is cut into pieces: sentences within paragraphs (paragraphs alone would be too few for a likeness), the longest cut every ``PIECE`` characters. Each piece hashes to a
+vector of 128 bytes, and the fingerprint is the lane-wise sum over all pieces modulo 2**32. Runs of line breaks are pieces, too. So
 the order of paragraphs does not matter, equal texts have equal fingerprints, and inserting or deleting pieces adds
 or subtracts their vectors (:func:`combine`), without the rest of the text.
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 PIECE = 120
-PIECES = rf"[^\n.!?]{{1,{PIECE}}}[.!?]*|[.!?]+"
+PIECES = rf"[^\n.!?]{{1,{PIECE}}}[.!?]*|[.!?]+|\n+"
 HASHES, LANES = 16, 128
-_MASK = (0xFF << 32) | 0xFF
+_MODULUS = 1 << 32
 _NULL_ID = -(1 << 63)
 
 
@@ -37,11 +37,11 @@ def _sums(rows: DataFrame, keys: list[str], piece: str, counts: Column) -> DataF
     """``keys, lanes array<long>, np`` : a row for each of the hashes of a piece, so that the code for one stays small enough to be compiled."""
     each = rows.select(*keys, counts.alias("one"), piece, F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("i"))
     h = each.select(*keys, "one", "i", F.when(F.col("one") > 0, F.xxhash64("i", piece)).otherwise(0).alias("h"))
-    # Each long holds one hashed byte in its low half and one in its high half.
-    pair = [F.shiftrightunsigned("h", 8 * j).bitwiseAND(F.lit(_MASK)) for j in range(4)]
-    summed = h.groupBy(*keys, "i").agg(*[F.sum(p).alias(f"l{j}") for j, p in enumerate(pair)], F.sum("one").alias("np"))
-    lists = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "l0", "l1", "l2", "l3"))).alias("ls"), F.max("np").alias("np"))
-    return lists.select(*keys, F.flatten(F.transform("ls", lambda x: F.array(x["l0"], x["l1"], x["l2"], x["l3"]))).alias("lanes"), "np")
+    lane = [F.shiftrightunsigned("h", 8 * j).bitwiseAND(F.lit(0xFF)) for j in range(8)]
+    summed = h.groupBy(*keys, "i").agg(*[F.sum(x).alias(f"l{j}") for j, x in enumerate(lane)], F.sum("one").alias("np"))
+    names = [f"l{j}" for j in range(8)]
+    lists = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", *names))).alias("ls"), F.max("np").alias("np"))
+    return lists.select(*keys, F.flatten(F.transform("ls", lambda x: F.array(*[F.pmod(x[n], F.lit(_MODULUS)) for n in names]))).alias("lanes"), "np")
 
 
 def fingerprint(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -53,7 +53,7 @@ def fingerprint(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of the union of two multisets of pieces (or, with sign -1, of their difference)."""
-    return F.zip_with(a, b, lambda x, y: x + y * sign)
+    return F.zip_with(a, b, lambda x, y: F.pmod(x + y * sign, F.lit(_MODULUS)))
 
 
 def digest(lanes: Column) -> Column:
@@ -62,10 +62,8 @@ def digest(lanes: Column) -> Column:
 
 
 def _centred(lanes: Column, n: Column) -> Column:
-    """Twice the lanes less their mean: low halves, then high halves."""
-    low = F.transform(lanes, lambda x: (x.bitwiseAND(0xFFFFFFFF) * 2 - n * 255).cast("double"))
-    high = F.transform(lanes, lambda x: (F.shiftrightunsigned(x, 32) * 2 - n * 255).cast("double"))
-    return F.concat(low, high)
+    """Twice the lanes less their mean."""
+    return F.transform(lanes, lambda x: (x * 2 - n * 255).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:
