@@ -30,8 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 PIECE, PASSAGE, STRIDE = 64, 128, 64
-INDEX_BLOCK, POSTING_BLOCK = 5_000, 4
+INDEX_BLOCK, POSTING_BLOCK, STEP = 5_000, 4, 2_000
 K1, B_LEN, SHINGLE = 1.2, 0.75, 3
 OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start int"
 
@@ -56,12 +58,17 @@ class Index:
 
     def open_blocks(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(passage, block) pairs where the block's maxima over the passage's distinct terms add up to 1 or more."""
-        counts = self.first[term + 1] - self.first[term]
-        at = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
         blocks = len(self.postings)
-        bound = np.bincount(np.repeat(passage, counts) * blocks + self.block[at], weights=self.most[at], minlength=n * blocks)
-        hit = np.flatnonzero(bound >= 1)
-        return hit // blocks, hit % blocks
+        found = []
+        for low in range(0, n, STEP):  # so that the sums of a very long text stay bounded
+            i, j = passage.searchsorted([low, low + STEP])
+            t = term[i:j]
+            counts = self.first[t + 1] - self.first[t]
+            at = np.repeat(self.first[t] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            bound = np.bincount(np.repeat(passage[i:j] - low, counts) * blocks + self.block[at], weights=self.most[at], minlength=blocks)
+            hit = np.flatnonzero(bound >= 1)
+            found.append((hit // blocks + low, hit % blocks))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def scores(self, block: int, terms: list[int]) -> dict[int, float]:
         """Pieces of an open block with a score of 1 or more.
@@ -96,7 +103,7 @@ def _term_words(text: str | None) -> list[str]:
 def _pieces(items: DataFrame) -> DataFrame:
     """``item_id, words`` for each piece."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def into_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
@@ -105,7 +112,7 @@ def _pieces(items: DataFrame) -> DataFrame:
                 rows += [(item, words[i * len(words) // n : (i + 1) * len(words) // n]) for i in range(n)]
             yield pd.DataFrame(rows, columns=["item_id", "words"])
 
-    return items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(cut, "item_id long, words array<string>")
+    return items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(into_pieces, "item_id long, words array<string>")
 
 
 def build_index(rows: list[tuple[int, list[str]]], df: dict[str, int], n_pieces: int, mean_len: float, min_score: float) -> Index:
@@ -178,7 +185,7 @@ def leaks_of(text: str | None, index: Index, min_question: float, min_answer: fl
 def index_blocks(items: DataFrame, min_score: float) -> Iterator:
     """Broadcast indexes of at most about INDEX_BLOCK pieces each; statistics are those of all items."""
     spark = items.sparkSession
-    pieces = _pieces(items)
+    pieces = cut(_pieces(items))
     n, mean_len = pieces.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     blocks = -(-n // INDEX_BLOCK)
     number = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, blocks)))
