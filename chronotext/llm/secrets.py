@@ -3,7 +3,7 @@
 Each text is scanned once for the base kinds (assignments, access keys, long hex runs) and for generic tokens. The values
 found are hashed and counted over the whole corpus: by distinct repositories and owners, each level aggregated before
 the next is shuffled, so a token that a third of all rows hold arrives as a few rows. A value that ``copied_from`` or
-more owners hold is a copied example; one that a single owner holds and that looks random is live. Live generic tokens
+more owners hold, or so many repositories, is a copied example; one that a single owner holds in fewer and that looks random is live. Live generic tokens
 are added to the base spans as kind ``owner``; base spans always stay, with their status counted.
 
 Everything is built-in expressions. Positions come from the lengths of the pieces between matches, in code points.
@@ -81,7 +81,8 @@ def scan_secrets(docs: DataFrame, owner_col: str, repo_cols: list[str], id_col:
         .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
     )
     judged = each.join(cut(held), "hash")  # both sides are plain shuffles, so that a hot value is split
-    live, copied = F.col("random") & (F.col("owners") == 1), F.col("owners") >= copied_from
+    copied = (F.col("owners") >= copied_from) | (F.col("repos") >= copied_from)
+    live = F.col("random") & (F.col("owners") == 1) & ~copied
     status = judged.where((F.col("kind") < 3) | live).groupBy("row_id").agg(
         F.collect_list(F.when((F.col("kind") == 3) & live, F.struct("start", "kind", "end"))).alias("added"),
         F.sum(live.cast("long")).alias("n_live"), F.sum(copied.cast("long")).alias("n_copied"),
@@ -124,5 +125,5 @@ def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
     # Only texts with spans; those with equal id and text have equal spans.
     spans = scanned.where(F.size("all_spans") > 0).select(key("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("all_spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    joined = docs.join(spans, (key(id_col) == F.col("__id")) & (F.xxhash64(text_col).bitwiseXOR(F.col("__hash")) == 0), "left")
+    joined = docs.join(spans, (key(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
     return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), clean).otherwise(text)).drop("__id", "__hash", "__spans")
