@@ -9,7 +9,8 @@
 3. The posterior of each sampled text trains a logistic classifier on the words that tell the posterior's sides apart
    and on the pattern votes. It scores every text, whole.
 
-Bounded on purpose: ``max_labelled`` sampled rows, by hash of their id. The driver holds only that sample's sparse
+Bounded on purpose, by parameters: about ``max_labelled`` sampled rows, by hash of their id (and, where ids repeat, of the row),
+the ``lexicon_words`` and ``features`` that tell most. The driver holds only that sample's sparse
 features, the moments (voters squared) and the model.
 
 Defined results: null or empty text scores as one without words; repeated labels of an id count as toxic if any is; null
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TOKEN = re.compile(r"\w+")
-LEXICONS, LEXICON_WORDS, FEATURES, CORRELATED = 24, 480, 4000, 0.3
+LEXICONS, CORRELATED = 24, 0.3
+LEAST_GAIN, LEAST_BELIEF = 11.0, 9.0  # log-likelihood gains that are beyond chance for a word of a lexicon, and of the classifier
 PATTERNS: list[Callable[[str], bool]] = [
     str.isupper,
     lambda t: t.count("!!") >= 3,
@@ -149,19 +151,21 @@ def _logistic(rows: list[list[int]], y: np.ndarray, width: int, l2: float = 1.0,
     return w, b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 480, features: int = 4000) -> ToxicityModel:
     """Learn from labels whose fold is not 0, at most ``max_labelled`` of them; the label model's moments cover all texts."""
     given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # so many ids at most are broadcast
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = cut(texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    sample = cut(texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.monotonically_increasing_id().alias("row_no")))
+    if (rows_found := sample.count()) > max_labelled:  # ids repeat
+        sample = sample.where(F.pmod(F.xxhash64("row_no"), F.lit(rows_found)) < max_labelled)
     model = ToxicityModel()
     n, n_pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     model.prior = n_pos / n if n else 0.0
     if not 0 < n_pos < n:
         return model
 
-    mined = _telling(_word_counts(sample, lambda text, toxic, words: float(toxic)), model.prior, LEXICON_WORDS, 11.0)
+    mined = _telling(_word_counts(sample, lambda text, toxic, words: float(toxic)), model.prior, lexicon_words, LEAST_GAIN)
     model.lexicon = {r["word"]: i % LEXICONS for i, r in enumerate(mined)}
     m = LEXICONS + len(PATTERNS)
 
@@ -180,7 +184,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
     def belief(text: str | None, toxic: int, words: set[str]) -> float:
         return float(model.posterior(model.votes(text, words)))
 
-    told = _telling(_word_counts(sample, belief), model.prior, FEATURES, 9.0)
+    told = _telling(_word_counts(sample, belief), model.prior, features, LEAST_BELIEF)
     model.words = {r["word"]: i for i, r in enumerate(told)}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
