@@ -97,8 +97,11 @@ def test_fingerprints(spark, texts):
         assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
     assert got[4].fingerprint == got[5].fingerprint and got[4].near_next == 1.0
     assert len({got[d].fingerprint for d in order}) == len(set(text.values()))
-    lanes = {r.v: list(r.lanes) for r in fp.fingerprint(spark.createDataFrame([("ab", "x y\nz"), ("ba", "z\nx y"), ("b", "z"), ("a", "x y")], "v string, t string"), ["v"], "t").collect()}
-    assert lanes["ab"] == lanes["ba"] == [x + y for x, y in zip(lanes["a"], lanes["b"], strict=True)]
+    lanes = {r.v: list(r.lanes) for r in fp.fingerprint(spark.createDataFrame([("ab", "x y\nz"), ("ba", "z\nx y"), ("b", "z"), ("a", "x y"), ("n", "\n"), ("nn", "\n\n"), ("e", "")], "v string, t string"), ["v"], "t").collect()}
+    assert lanes["ab"] == lanes["ba"] == [x + y + z for x, y, z in zip(lanes["a"], lanes["b"], lanes["n"], strict=True)]
+    assert len({tuple(lanes[k]) for k in ("n", "nn", "e")}) == 3
+    both = spark.createDataFrame([([0, (1 << 32) - 1, 5], [1, 1, 7])], "a array<long>, b array<long>")
+    assert tuple(both.select(fp.combine(F.col("a"), F.col("b")), fp.combine(F.col("a"), F.col("b"), -1)).first()) == ([1, 0, 12], [(1 << 32) - 1, (1 << 32) - 2, (1 << 32) - 2])
     twice = fp.fingerprint_documents(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string"))
     assert twice.count() == 3
     assert fp.fingerprint_documents(frame(spark, texts).limit(0)).count() == 0
@@ -203,6 +206,19 @@ def test_decontamination_finds_all_above_threshold():
         assert want <= {p for b in blocks for p in index.scores(int(b), terms)}
 
 
+def test_decontamination_of_long_texts(monkeypatch):
+    """Slices of a very long text give what the whole does."""
+    r = random.Random(4)
+    words = [f"t{i}" for i in range(300)]
+    items = [(i, [r.choice(words) for _ in range(50)]) for i in range(20)]
+    df = Counter(w for _, ws in items for w in set(ws))
+    index = dc.build_index(items, df, 20, 50.0, 0.4)
+    text = " ".join(r.choice(words) for _ in range(3000)) + " " + " ".join(items[7][1]) + " " + " ".join(r.choice(words) for _ in range(3000))
+    whole = dc.leaks_of(text, index, 0.5, 0.3, 0.6)
+    monkeypatch.setattr(dc, "STEP", 3)
+    assert [x[0] for x in whole] == [7] and dc.leaks_of(text, index, 0.5, 0.3, 0.6) == whole
+
+
 def test_decontamination_blocks(spark, monkeypatch):
     items = [(i, f"question number {i} asks about thing{i} in place{i} and answer{i} follows here{i} at last{i}") for i in range(9)]
     docs = frame(spark, [(i, f"before it all {t} and after") for i, t in items])
@@ -229,6 +245,11 @@ def test_secrets(spark):
     clean = {r.doc_id: r.text for r in sc.redact(df, sc.scan_secrets(df, "source", ["source"])).collect()}
     assert clean[6] == "use [SECRET] now" and clean[0] is None and clean[7] == docs[7] and clean[11] == "[SECRET]"
     assert sc.scan_secrets(df.limit(0), "source", ["source"]).count() == 0
+    # One owner, but three repositories: a copied example.
+    held = spark.createDataFrame([(1, "o", r, f"use {live}") for r in "abc"] + [(2, "o", "a", f"use {live[::-1]}"), (None, "o", "a", f"use {live[::-1]}"), (None, "p", "a", "x")], "doc_id long, source string, lang string, text string")
+    got = sc.digest_columns(sc.scan_secrets(held, "source", ["source", "lang"])).collect()
+    assert sorted((r.doc_id or 0, r.spans, r.n_copied) for r in got) == [(0, "", 0), (0, "owner:4:26", 0), (1, "", 0), (1, "", 0), (1, "", 0), (2, "owner:4:26", 0)]
+    assert sorted(r.text for r in sc.redact(held, sc.scan_secrets(held, "source", ["source", "lang"])).collect()) == sorted([f"use {live}"] * 3 + ["use [SECRET]"] * 2 + ["x"])
 
 
 def test_packing(spark, texts):
@@ -242,7 +263,8 @@ def test_packing(spark, texts):
             assert enc.decode(back[d].tolist()) == t
     for r in rows:
         assert len(r.ids) == 128 and r.cu_seqlens[-1] == r.n_tokens <= 64
-        at = pk.position_ids(r.cu_seqlens, 64)
+        at = np.frombuffer(r.position_ids, np.uint16)
+        assert (at == pk.position_ids(r.cu_seqlens, 64)).all()
         assert all(at[i] == 0 for i in r.cu_seqlens if i < 64) and at.max() < 64
     lengths = [random.Random(9).randint(1, 64) for _ in range(300)]
     rows_of, caps = [], []
@@ -256,6 +278,10 @@ def test_packing(spark, texts):
         rows_of[j].append(i)
     assert pk.pack(lengths, 64) == rows_of
     assert pk.pack_documents(docs.limit(0), ranks).count() == 0
+    same = frame(spark, [(None, "a b c"), (None, "d e"), (None, None), (7, "a b c"), (7, "a b c"), (7, "x" * 900)])
+    digests = [sorted(map(str, pk.digest_columns(pk.pack_documents(same.repartition(n), ranks, length=32)).collect())) for n in (1, 3)]
+    assert digests[0] == digests[1] and sum(len(r.doc_ids) for r in pk.pack_documents(same, ranks, length=2048).collect()) == 5
+    assert pk.id_width(50_257, 50_256, 2048) is np.uint16 and pk.id_width(100_277, 0, 2048) is np.uint32
 
 
 def test_pieces(spark, texts):
@@ -410,5 +436,8 @@ def test_toxicity(spark):
     import zlib
 
     assert all(out[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, _ in docs)
+    many = frame(spark, docs + [docs[8]] * 500 + [(None, "c1 bad1")] * 5)
+    few = tx.fit_toxicity(many, lab, max_labelled=300)
+    assert few.weights is not None and tx.score_documents(many, few).count() == len(docs) + 505
     none = tx.fit_toxicity(df, lab.limit(0))
     assert {x.score for x in tx.score_documents(df, none).collect()} == {0.0}
