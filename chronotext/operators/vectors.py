@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +33,61 @@ def profile_similarity(rows: DataFrame, profiles: DataFrame, vec: str, keep: lis
     return rows.crossJoin(side.withColumnRenamed("vec", "__p")).select(*keep, *[c for c in profiles.columns if c != "vec"], dot(F.col(vec), F.col("__p")).alias("sim"))
 
 
-def neighbours(rows: DataFrame, key: str, block: str, vec: str, k: int) -> DataFrame:
-    """Mean of the k largest similarities to other rows of the same block (ties: smaller key)."""
-    a, b = rows.select(key, block, F.col(vec).alias("va")), rows.select(F.col(key).alias("other"), block, F.col(vec).alias("vb"))
-    sims = a.join(b, block).where(F.col(key) != F.col("other")).select(block, key, "other", F.round(dot(F.col("va"), F.col("vb")), 9).alias("sim"))
-    w = Window.partitionBy(block, key).orderBy(F.desc("sim"), "other")
-    return sims.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy(block, key).agg(F.avg("sim").alias("cohesion"))
+def neighbours(rows: DataFrame, key: str, rec: str, vec: str, k: int, share: float = 0.0, block: int = 512) -> DataFrame:
+    """``rec, key, cohesion, n_near``: the mean of a row's largest similarities to all other rows of its recording, over ``k`` of them or ``share`` of the rows, if that is more.
+
+    A recording is dealt to blocks of some ``block`` rows; each pair of blocks is a task, one matrix product, that gives each row's best of the pair.
+    """
+    r = rows.select(F.col(key).alias("key"), F.col(rec).alias("rec"), F.col(vec).cast("array<double>").alias("v"))
+    n = r.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
+    most = F.least(F.col("n") - 1, F.greatest(F.lit(k), F.floor(F.col("n") * share))).cast("int")
+    cuts = n.select("rec", most.alias("most"), F.ceil(F.col("n") / block).cast("int").alias("cuts"))
+    dealt = r.join(cuts, "rec").withColumn("i", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    tasks = dealt.select("rec", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "key", "most", "v")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+
+        def done() -> pd.DataFrame:
+            keys, side, most, m = np.array([h[0] for h in held]), np.array([h[1] for h in held]), held[0][2], np.stack([h[3] for h in held])
+            sims = np.round(m @ m.T, 9)
+            np.fill_diagonal(sims, -np.inf)
+            if at[1] != at[2]:  # rows of one block have met in the block's own task
+                sims[side[:, None] == side[None, :]] = -np.inf
+            out = []
+            for x in range(len(keys)):
+                order = np.lexsort((keys, -sims[x]))[:most]
+                order = order[np.isfinite(sims[x, order])]
+                out.append(pd.DataFrame({"rec": at[0], "key": keys[x], "most": most, "other": keys[order], "sim": sims[x, order]}))
+            return pd.concat(out)
+
+        for pdf in batches:
+            for rec, a, b, i, key, most, v in zip(*(pdf[c] for c in ("rec", "a", "b", "i", "key", "most", "v")), strict=True):
+                if (rec, a, b) != at and held:
+                    if len(held) > 1:
+                        yield done()
+                    held = []
+                at = (rec, a, b)
+                held.append((key, i, most, v))
+        if len(held) > 1:
+            yield done()
+
+    sims = tasks.repartition("rec", "a", "b").sortWithinPartitions("rec", "a", "b", "key").mapInPandas(best, "rec long, key long, most int, other long, sim double")
+    w = Window.partitionBy("rec", "key").orderBy(F.desc("sim"), "other")
+    top = sims.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("most"))
+    return top.groupBy("rec", "key").agg(F.avg("sim").alias("cohesion"), F.count(F.lit(1)).alias("n_near")).select(F.col("rec").alias(rec), F.col("key").alias(key), "cohesion", "n_near")
+
+
+def enrolled_centroids(rows: DataFrame, key: str, rec: str, vec: str, least: int = 3, share: float = 0.35, kept: float = 0.5) -> DataFrame:
+    """``rec, seed, vec``: the normalised mean of the most cohesive row of a recording and the ``kept`` share of the others that are nearest to it (``least`` at least)."""
+    c = neighbours(rows, key, rec, vec, least, share)
+    seed = c.groupBy(rec).agg(F.max_by(key, F.struct(F.round("cohesion", 9), -F.col(key))).alias("seed"))
+    n = rows.groupBy(rec).agg(F.count(F.lit(1)).alias("__n"))
+    own = rows.join(seed, rec).where(F.col(key) == F.col("seed")).select(rec, "seed", F.col(vec).alias("__s")).join(n, rec)
+    near = rows.join(own, rec).withColumn("__sim", F.when(F.col(key) == F.col("seed"), F.lit(2.0)).otherwise(F.round(dot(F.col("__s"), F.col(vec)), 9)))
+    w = Window.partitionBy(rec).orderBy(F.desc("__sim"), key)
+    top = near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 1 + F.greatest(F.lit(least), F.floor(F.col("__n") * kept)))
+    return centroids(top.withColumn("__g", F.struct(rec, "seed")), "__g", vec).select(F.col("__g")[rec].alias(rec), F.col("__g")["seed"].alias("seed"), "vec")
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

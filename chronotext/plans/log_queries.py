@@ -166,31 +166,26 @@ def adaptive_threshold(spark, d):
     return f.select("block", adapt(0.05, F.col("f")).alias("speak_threshold"), adapt(0.04, F.col("f") - 0.08).alias("sing_threshold"))
 
 
-COH = f"""with {E}, s as (select a.block, a.vec_id, b.vec_id as other, round({DOT.format('a.v', 'b.v')}, 9) as sim from e a join e b on a.block = b.block and a.vec_id <> b.vec_id),
-r as (select *, row_number() over (partition by block, vec_id order by sim desc, other) as k from s), c as (select block, vec_id, avg(sim) as cohesion from r where k <= 3 group by block, vec_id)"""
+SIMS = f"with {E}, n as (select label, count(*) as n from e group by label), s as (select a.label, a.vec_id, b.vec_id as other, round({DOT.format('a.v', 'b.v')}, 9) as sim from e a join e b on a.label = b.label and a.vec_id <> b.vec_id)"
+COH = """, r as (select s.*, n, row_number() over (partition by s.label, vec_id order by sim desc, other) as k from s join n on n.label = s.label), c as (select label, vec_id, avg(sim) as cohesion from r where k <= least(n - 1, {}) group by label, vec_id)"""
 
 
-@query(f"{COH} select block, vec_id, round(cohesion, 6) as cohesion from c")
+@query(f"{SIMS}{COH.format('3')} select label, vec_id, round(cohesion, 6) as cohesion from c")
 def knn_cohesion(spark, d):
-    return vc.neighbours(_vectors(spark, d), "vec_id", "block", "v", 3).select("block", "vec_id", F.round("cohesion", 6).alias("cohesion"))
+    """All windows of a recording (here a label) against each other."""
+    return vc.neighbours(_vectors(spark, d), "vec_id", "label", "v", 3).select("label", "vec_id", F.round("cohesion", 6).alias("cohesion"))
 
 
-@query(f"""{COH}, seed as (select block, vec_id as seed from (select *, row_number() over (partition by block order by round(cohesion, 9) desc, vec_id) as k from c) t where k = 1),
-k as (select s.block, s.other as vec_id, row_number() over (partition by s.block order by s.sim desc, s.other) as k from s join seed on s.block = seed.block and s.vec_id = seed.seed),
-u as (select block, vec_id from k where k <= 4 union all select block, seed from seed),
-x as (select block, i, avg(cast(x as double)) as x from (select u.block, unnest(e.v) as x, unnest(range(1, len(e.v) + 1)) as i from u join e on e.vec_id = u.vec_id) t group by block, i)
-select x.block, any_value(seed.seed) as seed, round(sum(x * x), 6) as energy from x join seed on x.block = seed.block group by x.block""")
+@query(f"""{SIMS}{COH.format('greatest(3, cast(floor(n * 0.35) as bigint))')}, seed as (select label, vec_id as seed from (select *, row_number() over (partition by label order by round(cohesion, 9) desc, vec_id) as k from c) t where k = 1),
+near as (select s.label, s.other as vec_id, n, row_number() over (partition by s.label order by s.sim desc, s.other) as k from s join seed on s.label = seed.label and s.vec_id = seed.seed join n on n.label = s.label),
+u as (select label, vec_id from near where k <= greatest(3, cast(floor(n * 0.5) as bigint)) union all select label, seed from seed),
+x as (select label, i, avg(cast(x as double)) as x from (select u.label, unnest(e.v) as x, unnest(range(1, len(e.v) + 1)) as i from u join e on e.vec_id = u.vec_id) t group by label, i),
+y as (select label, sqrt(sum(x * x)) as l from x group by label)
+select x.label, any_value(seed.seed) as seed, round(sum(x / l * i), 5) as moment from x join y on y.label = x.label join seed on seed.label = x.label group by x.label""")
 def enroll_centroid(spark, d):
-    """The most cohesive window of each block, its four nearest, and the squared norm of their mean."""
-    v = _vectors(spark, d)
-    c = vc.neighbours(v, "vec_id", "block", "v", 3)
-    seed = c.groupBy("block").agg(F.max_by("vec_id", F.struct(F.round("cohesion", 9), -F.col("vec_id"))).alias("seed"))
-    a = v.join(seed, "block").where("vec_id = seed").select("block", "seed", F.col("v").alias("sv"))
-    near = v.join(a, "block").where("vec_id <> seed").withColumn("sim", F.round(vc.dot(F.col("sv"), F.col("v")), 9))
-    top = near.withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("sim"), "vec_id"))).where("k <= 4").select("block", "seed", "v")
-    e = top.unionByName(a.select("block", "seed", F.col("sv").alias("v"))).select("block", "seed", F.posexplode("v").alias("i", "x"))
-    m = e.groupBy("block", "seed", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return m.groupBy("block", "seed").agg(F.round(F.sum(F.col("x") * F.col("x")), 6).alias("energy"))
+    """The most cohesive window of each recording and the half nearest to it, averaged."""
+    c = vc.enrolled_centroids(_vectors(spark, d), "vec_id", "label", "v")
+    return c.select("label", "seed", F.round(F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5).alias("moment"))
 
 
 @query(f"""with {E}, b as (select label, block, i, avg(cast(x as double)) as x from (select label, block, unnest(v) as x, unnest(range(1, len(v) + 1)) as i from e) t group by label, block, i),
