@@ -11,9 +11,9 @@ is removed.
    matrix with packed bits and counted blocks. Each segment is streamed backwards through it; each step of backward search
    takes the interval of the matched words, cut to the window's length, and wherever the match is as long as the window the
    least document id of the interval decides. Segments are searched side by side.
-4. An anchor held by more than ``HOT`` documents would make an unbounded shard. Its windows are cut by their own hash
-   instead: windows of that anchor that occur in one document alone are dropped by a partial aggregate, and each of the
-   others is a one-window segment of a shard of its own hash, where equal windows of all documents were aggregated before.
+4. An anchor with more than ``HOT`` occurrences would make a shard that one task cannot hold. Its windows do not enter a shard: they are
+   known by their 64-bit hash, the least document of each hash is a plain aggregate, and the occurrences are joined with it. This is
+   exact but for collisions of hashes, and it is not the FM-index; the README says so.
 
 Defined results: null or blank text has no words; rows that share an id are one document, windows of which do not remove
 each other's words; a null id sorts first. Repeated rows each get a result. Other columns are ignored.
