@@ -6,7 +6,8 @@ is removed.
 1. Each document's words hash to 64 bits. Anchors are the word ``K``-grams with the least hash in any stretch of a
    window's K-grams, so every window holds an anchor, and equal windows hold the same one.
 2. Anchors of two or more documents are kept (counted by partial sums). Around each of their occurrences the words of
-   all windows that it governs form a segment; equal windows govern alike, so they meet in their anchor's shard.
+   all windows that it governs form a segment; equal windows govern alike, so they meet in their anchor's shard. Equal segments of a
+   document are one, with all their places.
 3. A shard indexes its segments: suffixes sorted by at most WINDOW words, the Burrows-Wheeler transform in a wavelet
    matrix with packed bits and counted blocks. Each segment is streamed backwards through it; each step of backward search
    takes the interval of the matched words, cut to the window's length, and wherever the match is as long as the window the
@@ -212,20 +213,23 @@ def _segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept, hot = np.asarray(kept, np.int64).view(np.uint64), np.asarray(hot, np.int64).view(np.uint64)
             run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             ends = np.concatenate([run[1:], [len(at)]])
-            for i, j in zip(run[np.isin(a[run], kept)], ends[np.isin(a[run], kept)], strict=True):
-                out.append((int(a[i : i + 1].view(np.int64)[0]), r, d, int(i), w[i : j + WINDOW - 1].tobytes(), 0))
+            mine = np.isin(a[run], kept)
+            equal: dict[tuple[int, bytes], list[int]] = {}  # a text that repeats itself has equal segments in many places
+            for k, i, j in zip(a[run[mine]].view(np.int64).tolist(), run[mine].tolist(), ends[mine].tolist(), strict=True):
+                equal.setdefault((k, w[i : j + WINDOW - 1].tobytes()), []).append(i)
+            out += [(k, r, d, starts, words, 0) for (k, words), starts in equal.items()]
             if len(hot):
                 windows = np.flatnonzero(np.isin(a, hot))
                 if len(windows):
                     whole = shingle_hashes(w, WINDOW)[windows].view(np.int64)
-                    out += [(int(h), r, d, int(i), None, 1) for h, i in zip(whole, windows, strict=True)]
+                    out += [(int(h), r, d, [int(i)], None, 1) for h, i in zip(whole, windows, strict=True)]
             if len(out) > 5000:
-                yield pd.DataFrame(out, columns=["key", "row", "id", "start", "words", "hot"])
+                yield pd.DataFrame(out, columns=["key", "row", "id", "starts", "words", "hot"])
                 out = []
-        yield pd.DataFrame(out, columns=["key", "row", "id", "start", "words", "hot"])
+        yield pd.DataFrame(out, columns=["key", "row", "id", "starts", "words", "hot"])
 
 
-def _search_shard(keys: list[int], rows: list[int], ids: list[int], starts: list[int], segments: list[np.ndarray]) -> pd.DataFrame:
+def _search_shard(rows: list[int], ids: list[int], starts: list[np.ndarray], segments: list[np.ndarray]) -> pd.DataFrame:
     """Windows of the shard's segments that also start in a smaller document, as runs (row, start, end) of words.
 
     Equal segments are indexed and searched once, with their least document.
@@ -243,7 +247,7 @@ def _search_shard(keys: list[int], rows: list[int], ids: list[int], starts: list
                 at = len(segments[g[0]]) - WINDOW - np.arange(len(low))
                 for i in g:
                     if (bad := least < ids[i]).any():
-                        out += _runs(rows[i], np.sort(at[bad]) + starts[i])
+                        out += _runs(rows[i], np.unique(np.add.outer(starts[i], at[bad])))
     return pd.DataFrame(out, columns=["row", "start", "end"], dtype="int64")
 
 
@@ -256,21 +260,21 @@ def _runs(row: int, at: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by key; whole keys gather to shards of about ``SHARD_WORDS`` words."""
-    keys, rows, ids, starts, segments, size = [], [], [], [], [], 0
+    key, rows, ids, starts, segments, size = None, [], [], [], [], 0
     for pdf in batches:
-        for k, r, d, s, w in zip(*(pdf[c].tolist() for c in ("key", "row", "id", "start", "words")), strict=True):
-            if size >= SHARD_WORDS and k != keys[-1]:
-                yield _search_shard(keys, rows, ids, starts, segments)
-                keys, rows, ids, starts, segments, size = [], [], [], [], [], 0
+        for k, r, d, s, w in zip(*(pdf[c].tolist() for c in ("key", "row", "id", "starts", "words")), strict=True):
+            if size >= SHARD_WORDS and k != key:
+                yield _search_shard(rows, ids, starts, segments)
+                rows, ids, starts, segments, size = [], [], [], [], 0
             seg = np.frombuffer(w, np.uint64)
-            keys.append(k)
+            key = k
             rows.append(r)
             ids.append(d)
-            starts.append(s)
+            starts.append(np.asarray(s, np.int64))
             segments.append(seg)
             size += len(seg)
     if segments:
-        yield _search_shard(keys, rows, ids, starts, segments)
+        yield _search_shard(rows, ids, starts, segments)
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,12 +303,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("kept"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
     )
     by_row = cut(by_row)
-    segments = rows.join(by_row, "row").mapInPandas(_segment_rows, "key long, row long, id long, start int, words binary, hot int")
+    segments = rows.join(by_row, "row").mapInPandas(_segment_rows, "key long, row long, id long, starts array<int>, words binary, hot int")
     segments = cut(segments)
 
-    plain = segments.where("hot = 0").select("key", "row", "id", "start", "words")
+    plain = segments.where("hot = 0").select("key", "row", "id", "starts", "words")
     removed = plain.repartition(parts, "key").sortWithinPartitions("key", "id").mapInPandas(_shards, "row long, start long, end long")
-    single = segments.where("hot = 1").select("key", "row", "id", "start")
+    single = segments.where("hot = 1").select("key", "row", "id", F.col("starts")[0].alias("start"))
     shared = single.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     again = single.join(cut(shared.select("key", "lo")), "key").where("id > lo").select("row", F.col("start").cast("long").alias("start"), (F.col("start") + WINDOW).cast("long").alias("end"))
     spans = removed.unionByName(again).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

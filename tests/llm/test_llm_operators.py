@@ -122,6 +122,20 @@ def test_substrings_of_hot_anchors(spark, texts, monkeypatch):
     assert sorted(map(tuple, ss.remove_repeats(frame(spark, texts)).collect()), key=str) == cold
 
 
+def test_substrings_of_one_word(spark):
+    """Texts that repeat a word or a line thousands of times: a segment for each distinct one, and the same results."""
+    r = random.Random(11)
+    line = " ".join(f"l{i}" for i in range(12))
+    own = lambda: " ".join(f"q{r.randrange(10**6)}" for _ in range(60))
+    texts = [(d, own() + " w" * (3000 + d)) for d in range(8)] + [(d, own() + f" {line}" * 90 + " " + own()) for d in range(8, 14)] + [(14, own())]
+    df = frame(spark, texts)
+    got = {x.doc_id: x.kept_sha256 for x in ss.digest_columns(ss.remove_repeats(df)).collect()}
+    assert got == ss.removed_words(texts)
+    rows = pd.DataFrame({"row": [1], "id": [1], "text": [texts[0][1]], "kept": [ss._governed(ss.WordHashes()(ss.word_bytes(texts[0][1])))[0].view(np.int64)], "hot": [[]]})
+    segments = pd.concat(ss._segment_rows(iter([rows])))
+    assert segments["words"].map(len).sum() < 10 * len(texts[0][1])
+
+
 def test_fm_index_counts():
     r = random.Random(3)
     segs = [np.array([r.choice([1, 2, 3]) for _ in range(r.randint(3, 30))], np.uint64) for _ in range(12)]
