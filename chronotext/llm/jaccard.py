@@ -149,22 +149,22 @@ def near(hists: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, p: int,
 
 def _sets(n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each text; and for each shingle that at least 16, and one in 500, of a batch's sets hold, with how many as -n."""
-        hashes = WordHashes()
+        """A row for each text; and for each shingle that at least 10 of some 2,000 sets hold, with how many as -n."""
+        hashes = WordHashes(200_000)
         names = ["id", "n", "h1", "h2", "hist"]
         for pdf in batches:
-            rows, seen, grams = [], set(), []
-            for d, t in zip(pdf["id"], pdf["text"], strict=True):
-                g = shingle_set(t, n_words, hashes)
-                h = set_hash(g)
-                rows.append((d, len(g), *h, histogram(g)))
-                if h not in seen:
-                    seen.add(h)
-                    grams.append(g)
-            yield pd.DataFrame(rows, columns=names)
-            if grams:
+            for low in range(0, len(pdf), 2000):
+                rows, seen, grams = [], set(), []
+                for d, t in zip(pdf["id"][low : low + 2000], pdf["text"][low : low + 2000], strict=True):
+                    g = shingle_set(t, n_words, hashes)
+                    h = set_hash(g)
+                    rows.append((d, len(g), *h, histogram(g)))
+                    if h not in seen:
+                        seen.add(h)
+                        grams.append(g)
+                yield pd.DataFrame(rows, columns=names)
                 g, n = np.unique(np.concatenate(grams), return_counts=True)
-                many = n >= max(16, len(seen) // 500)
+                many = n >= 10
                 yield pd.DataFrame({"id": 0, "n": -n[many], "h1": g[many].view(np.int64), "h2": 0, "hist": None}, columns=names)
 
     return run
@@ -172,7 +172,7 @@ def _sets(n_words: int):
 
 def _signature_rows(n_words: int, p: int, q: int, frequent: Broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bands, seen = WordHashes(), Bands(p, q), set()
+        hashes, bands, seen = WordHashes(200_000), Bands(p, q), set()
         for pdf in batches:
             sigs, nodes = [], []
             for t in pdf["text"]:
