@@ -120,11 +120,12 @@ def ass_events(rows: DataFrame, stretch_ms: int = 1000, gap_ms: int = 50) -> Dat
     nxt = F.lead("start_ms").over(Window.partitionBy("rec_id").orderBy("n"))
     gap = nxt - F.col("end_ms")
     t = t.withColumn("__e", F.when((gap > 0) & (gap <= stretch_ms), nxt - gap_ms).otherwise(F.col("end_ms")))
-    words = F.split("text", " ")
+    t = t.withColumn("__w", F.split("text", " ")).withColumn("__k", F.size("__w"))
+    words = F.col("__w")
     span = F.col("end_ms") - F.col("start_ms")
     cs = lambda ms: F.floor((ms + 5) / 10)
-    at = lambda i: F.col("start_ms") + F.floor(span * i / F.size(words))
-    parts = F.transform(words, lambda w, i: F.concat(F.lit("{\\k"), F.greatest(F.lit(1), cs(F.when(i + 1 == F.size(words), F.col("__e")).otherwise(at(i + 1))) - cs(at(i))).cast("string"), F.lit("}"), w))
+    at = lambda i: F.col("start_ms") + F.floor(span * i / F.col("__k"))
+    parts = F.transform(words, lambda w, i: F.concat(F.lit("{\\k"), F.greatest(F.lit(1), cs(F.when(i + 1 == F.col("__k"), F.col("__e")).otherwise(at(i + 1))) - cs(at(i))).cast("string"), F.lit("}"), w))
     return t.select("rec_id", "n", F.concat(F.lit("Dialogue: 0,"), ass_time(F.col("start_ms")), F.lit(","), ass_time(F.col("__e")), F.lit(",Default,,0,0,0,,"), F.array_join(parts, " ")).alias("block"))
 
 

@@ -99,10 +99,13 @@ _WORD = "struct<text:string,word:string,start:double,end:double,prob:double,prob
 _SEGMENT = f"array<struct<start:double,start_time:double,end:double,end_time:double,text:string,sentence:string,words:array<{_WORD}>,avg_logprob:double,no_speech_prob:double>>"
 
 
-def spread(text: Column, start: Column, end: Column) -> Column:
-    """A text's characters but its spaces, with even shares of the time."""
-    chars = F.filter(F.split(text, ""), lambda c: F.trim(c) != "")
-    step = F.greatest(F.lit(0.0), end - start) / F.size(chars)
+def letters(text: Column) -> Column:
+    """A text's characters but its spaces."""
+    return F.filter(F.split(text, ""), lambda c: F.trim(c) != "")
+
+
+def spread(chars: Column, start: Column, step: Column) -> Column:
+    """Characters as words, one after the other, ``step`` each."""
     return F.transform(chars, lambda c, i: F.struct(c.alias("text"), (start + step * i).alias("start"), (start + step * (i + 1)).alias("end"), F.lit(1.0).alias("prob")))
 
 
@@ -122,7 +125,8 @@ def parse_responses(texts: DataFrame, key: str, text: str) -> DataFrame:
         return F.struct(F.coalesce(F.nullif(w["text"], F.lit("")), w["word"], F.lit("")).alias("text"), at.alias("start"), F.coalesce(w["end"], at).alias("end"), F.coalesce(w["prob"], w["probability"], F.lit(1.0)).alias("prob"))
 
     own = F.filter(F.transform(F.coalesce("s.words", F.array().cast(f"array<{_WORD}>")), named), lambda w: w["text"] != "")
-    words = F.when(F.size(own) > 0, own).otherwise(spread(F.col("text"), F.col("start"), F.col("end")))
+    s = s.withColumn("__own", own).withColumn("__c", letters(F.col("text"))).withColumn("__step", F.greatest(F.lit(0.0), F.col("end") - F.col("start")) / F.greatest(F.lit(1), F.size("__c")))
+    words = F.when(F.size("__own") > 0, F.col("__own")).otherwise(spread(F.col("__c"), F.col("start"), F.col("__step")))
     s = s.withColumn("words", words).where(F.size("words") > 0)
     whole = F.when(F.col("text") != "", F.col("text")).otherwise(F.array_join(F.transform("words", lambda w: w["text"]), ""))
     n = F.row_number().over(Window.partitionBy(key).orderBy("start", "ord")) - 1
