@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(q.ORACLE))
 def test_oracle(name, spark):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = q.QUERIES[name](spark, SF).toPandas()
     want = duck.execute(q.ORACLE[name]).df()
@@ -21,5 +21,5 @@ def test_oracle(name, spark):
 
 
 def test_every_number_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in q.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in q.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in q.QUERIES
