@@ -113,8 +113,9 @@ class _Block:
         yield _batch(1, block=pa.array([block]), words=pa.array([codes.tobytes()], pa.binary()))
         for lang, known in self.known.items():
             del known[BREAK]
-            local = np.fromiter(known.values(), np.int32, len(known))
-            m = len(known)
+            if not (m := len(known)):
+                continue
+            local = np.fromiter(known.values(), np.int32, m)
             words = pa.array(list(known), pa.binary())
             yield _batch(m, block=pa.array(np.full(m, block)), lang=pa.array([lang] * m), word=words, local=pa.array(local), n=pa.array(n[local], pa.int64()))
 
