@@ -33,7 +33,7 @@ from pyspark.sql import Window
 
 from .common import LOWER, UPPER, cut, partitions, spent
 
-BLOCK_WORDS, BLOCK_VOCABULARY, SLICE = 4_000_000, 1_000_000, 1 << 20
+BLOCK_WORDS, BLOCK_VOCABULARY, SLICE = 1_500_000, 500_000, 1 << 20
 RANGE_ROWS = 1_000_000
 #: A-Z lower-cased, a tab as a space, piece ends as a byte that UTF-8 never holds.
 BREAK = b"\xff"
@@ -54,7 +54,7 @@ def tokens(raw: bytes) -> Iterator[list[bytes]]:
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
     """The order of the rows of a uint32 matrix: a stable counting pass over each 16-bit digit that differs, last one first."""
-    order = np.arange(len(keys))
+    order = np.arange(len(keys), dtype=np.int32 if len(keys) < 1 << 31 else np.int64)
     for column in reversed(range(keys.shape[1])):
         for shift in (0, 16):
             digit = ((keys[:, column] >> np.uint32(shift)) & np.uint32(0xFFFF)).astype(np.uint16)
@@ -66,9 +66,11 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
 def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, the first place of each run of equal keys in it)."""
     order = radix_order(keys)
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (ordered[1:] != ordered[:-1]).any(1)
+    new = np.zeros(len(keys), bool)
+    new[:1] = True
+    for column in keys.T:
+        ordered = column[order]
+        new[1:] |= ordered[1:] != ordered[:-1]
     return order, np.flatnonzero(new)
 
 
@@ -162,7 +164,7 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def keys_at(words: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, keys) of the k-word phrases both of whose (k - 1)-word ends are frequent; ``ends`` says so of each place."""
-    at = np.flatnonzero(ends[:-1] & ends[1:])
+    at = np.flatnonzero(ends[:-1] & ends[1:]).astype(np.int32)
     return at, np.stack([words[at + j] for j in range(k)], 1)
 
 
