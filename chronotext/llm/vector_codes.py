@@ -85,7 +85,7 @@ class VectorCodes:
         seeds = kept.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).collect()
         self.place = self.width // parts
         first = quantise(np.array([r.x for r in seeds], np.float64).reshape(len(seeds), self.width), scale)
-        self.books = first.reshape(-1, parts, self.place).transpose(1, 0, 2).astype(np.int64)
+        self.books = first.reshape(len(seeds), parts, self.place).transpose(1, 0, 2).astype(np.int64)
         self.entries = len(seeds)
         kinds = dict(rows.dtypes)
         self.schema = STATE.format(id=kinds["vec_id"], label=kinds["label"])
