@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scalars import decode_udf
+from ..sources import folders
 from ..sources import formats as fm
 from ..sources import records as rc
+from ..sources import splits as sp
 from ..sources import writers as wr
 from .registry import registry
 from .views import live_log, ref_line, table, with_views
@@ -44,6 +46,25 @@ def log_xml_rows(spark, d):
     return fm.parse_log_xml(_xml(spark, d), "rec_id", "text").select("rec_id", "ord", ms.alias("t_ms"), "kind", "user_id", "user_name", "text", "gift", "count", "price")
 
 
+@query(f"""{LOG} select rec_id, t_ms, kind, case when kind = 'chat' then cast(ord as varchar) end as user_id, 'u&' || term as user_name,
+case kind when 'chat' then 'a < ' || term when 'sc' then term else '' end as "text", cast(case when kind = 'guard' then 2 else 1 end as bigint) as "count" from live_log""")
+def split_log_rows(spark, d):
+    """The same logs as files, read by ranges of 64 KB."""
+    folder = folders.fresh(spark, "logs")
+    _xml(spark, d).write.partitionBy("rec_id").text(folder)
+    ms, rec = F.floor(F.col("t") * 1000 + 0.5).cast("long"), F.regexp_extract("path", r"rec_id=(\d+)", 1).cast("long")
+    return sp.read_log_rows(spark, folder, 1 << 16).select(rec.alias("rec_id"), ms.alias("t_ms"), "kind", "user_id", "user_name", "text", "count")
+
+
+@query(f"{with_views('ref_line')} select rec_id, start_ms, end_ms, text from ref_line where text <> ''")
+def split_subtitle_rows(spark, d):
+    """Subtitle files read by ranges of 4 KB."""
+    folder = folders.fresh(spark, "subtitles")
+    fm.write_texts(fm.documents(fm.srt_blocks(ref_line(spark, d))), folder)
+    rec = F.regexp_extract("path", r"rec_id=(\d+)", 1).cast("long")
+    return sp.read_subtitle_rows(spark, folder, 1 << 12).select(rec.alias("rec_id"), "start_ms", "end_ms", "text")
+
+
 @query(f"{LOG} select distinct rec_id, 'streamer' || rec_id as streamer, 't' as title, '7' as room_id, '2024-01-01T00:00:00' as start_time, true as repaired from live_log")
 def log_headers(spark, d):
     x = _xml(spark, d)

@@ -22,14 +22,18 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
 def parse_subtitles(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Blocks between blank lines; the rows after the first time stamp are the text; blocks without one are skipped. Sorted by time."""
     clean = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), "\r\n?", "\n")
-    b = texts.select(key, F.posexplode(F.split(clean, r"\n[ \t]*\n+")).alias("ord", "b"))
-    stamp = lambda i: parse_time(F.regexp_extract("b", STAMP, i))
-    body = F.trim(F.regexp_extract("b", rf"(?s){STAMP}[^\n]*\n?(.*)$", 3), F.lit("\n"))
-    rows = b.where(F.col("b").rlike(STAMP)).select(key, "ord", stamp(1).alias("start_ms"), stamp(2).alias("end_ms"), body.alias("text"))
+    rows = subtitle_fields(texts.select(key, F.posexplode(F.split(clean, r"\n[ \t]*\n+")).alias("ord", "b")), [key, "ord"])
     w = Window.partitionBy(key).orderBy("start_ms", "end_ms", "ord")
     return rows.withColumn("line_idx", (F.row_number().over(w) - 1).cast("long")).select(key, "line_idx", "start_ms", "end_ms", "text")
 
 
+def subtitle_fields(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, start_ms, end_ms, text`` of the blocks ``b`` that hold a time stamp."""
+    stamp = lambda i: parse_time(F.regexp_extract("b", STAMP, i))
+    body = F.trim(F.regexp_extract("b", rf"(?s){STAMP}[^\n]*\n?(.*)$", 3), F.lit("\n"))
+    return blocks.where(F.col("b").rlike(STAMP)).select(*keys, stamp(1).alias("start_ms"), stamp(2).alias("end_ms"), body.alias("text"))
+
+
 def parse_lrc(rows: DataFrame, key: str, row: str, ord_col: str) -> DataFrame:
     """Lyric rows with one or more leading stamps, each a line of its own; metadata and empty rows go."""
     lead = r"^((?:\[\d+:\d+(?:[.:]\d{1,3})?\])+)"
@@ -66,20 +70,24 @@ def parse_log_xml(texts: DataFrame, key: str, text: str) -> DataFrame:
     a missing or zero count as 1; chat without text goes.
     """
     nodes = F.regexp_extract_all(text, F.lit(r"(?s)<(d|gift|sc|guard)\b[^>]*?(?:/>|>.*?</\1>)"), F.lit(0))
-    n = texts.select(key, F.posexplode(nodes).alias("at", "n"))
+    rows = log_fields(texts.select(key, F.posexplode(nodes).alias("at", "n")), [key, "at"])
+    ord_ = (F.row_number().over(Window.partitionBy(key).orderBy("t", "at")) - 1).cast("long")
+    return rows.withColumn("ord", ord_).select(key, "ord", *rows.columns[2:])
+
+
+def log_fields(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, t, kind, user_id, user_name, text, gift, count, price`` of the nodes ``n``; chat without text goes."""
     attr = lambda name: F.nullif(unescaped(F.regexp_extract("n", rf'\b{name}="([^"]*)"', 1)), F.lit(""))
     number = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
     tag, p = F.regexp_extract("n", r"^<(\w+)", 1), F.split(attr("p"), ",")
     body = unescaped(F.regexp_extract("n", r"(?s)^<[^>]*>(.*)</\w+>$", 1))
     guard = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in GUARDS.items() for x in pair]), F.coalesce(attr("level"), F.lit("3"))), F.lit(GUARDS["3"]))
-    rows = n.select(
-        key, "at", F.when(tag == "d", number(F.get(p, F.lit(0)))).otherwise(number(attr("ts"))).alias("t"), F.when(tag == "d", "chat").otherwise(tag).alias("kind"),
+    return nodes.select(
+        *keys, F.when(tag == "d", number(F.get(p, F.lit(0)))).otherwise(number(attr("ts"))).alias("t"), F.when(tag == "d", "chat").otherwise(tag).alias("kind"),
         F.when(tag == "d", F.get(p, F.lit(6))).otherwise(attr("uid")).alias("user_id"), attr("user").alias("user_name"), F.trim(body).alias("text"),
         F.when(tag == "gift", attr("giftname")).when(tag == "sc", F.lit(PAID)).when(tag == "guard", guard).alias("gift"),
         F.coalesce(F.nullif(number(attr("giftcount")).cast("long"), F.lit(0)), F.lit(1)).alias("count"), number(attr("price")).alias("price"),
     ).where((F.col("kind") != "chat") | (F.col("text") != ""))
-    ord_ = (F.row_number().over(Window.partitionBy(key).orderBy("t", "at")) - 1).cast("long")
-    return rows.withColumn("ord", ord_).select(key, "ord", *rows.columns[2:])
 
 
 def parse_log_json(rows: DataFrame, key: str, line: str) -> DataFrame:
