@@ -196,13 +196,19 @@ def counted_block(block: int, words: np.ndarray, ends: np.ndarray, k: int) -> It
     yield _batch(m, block=pa.array(np.full(m, block)), key=packed(keys[order[first]]), local=pa.array(np.arange(m, dtype=np.int32)), n=pa.array(n, pa.int64()))
 
 
+def by_block(hits: DataFrame) -> DataFrame:
+    """``of, pairs``: of a block's numbers (block, local, id; a null id is none) those with an id, two halves of a long each."""
+    return hits.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.shiftleft(F.col("local").cast("long"), 32).bitwiseOR(F.col("id"))).alias("pairs"))
+
+
 def next_blocks(held: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-    """Blocks at length k, from those before and the frequent words (k = 2) or keys in them; ``hits`` has block, local, id."""
+    """Blocks at length k, from those before and the frequent words (k = 2) or keys in them, as :func:`by_block` gives them."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        pairs = pa.concat_arrays([c.flatten() for c in right["pairs"].chunks]).to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, np.int64)
+        local, ids = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
         for row in left.to_pylist():
-            local, ids = right["local"].to_numpy(), right["id"].to_numpy()
             if k == 2:
                 codes = np.frombuffer(row["words"], np.int32)
                 table = np.zeros(int(max(codes.max(initial=0), local.max(initial=0))) + 1, np.uint32)
@@ -217,7 +223,6 @@ def next_blocks(held: DataFrame, hits: DataFrame, k: int) -> DataFrame:
             out += counted_block(row["block"], words, ends, k)
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch(0)])
 
-    hits = hits.select(F.col("block").alias("of"), "local", "id")  # a name of its own, as both sides may read one table
     return held.groupBy("block").cogroup(hits.groupBy("of")).applyInArrow(run, BLOCK)
 
 
@@ -258,7 +263,9 @@ def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int |
     words = numbered(frequent, ["lang", "word"])
     totals = cut(totals)
     ids = words.withColumnRenamed("lang", "of").withColumnRenamed("word", "it")
-    hits = vocabulary.join(ids, (F.col("lang") == F.col("of")) & (F.col("word") == F.col("it"))).select("block", "local", "id")
+    # every word of a block gets its id or none: as many rows as words of blocks, however many of them are frequent
+    hits = vocabulary.join(ids, (F.col("lang") == F.col("of")) & (F.col("word") == F.col("it")), "left").select("block", "local", "id")
+    hits = by_block(hits)
     # a word's key is its id, as four bytes
     levels, spare = [words.select(F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("key"), F.col("f").alias("a"))], []
     for k in range(2, longest + 1):
@@ -266,7 +273,7 @@ def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int |
         spent(held)
         held, keys = after, after.where("key is not null")
         found = cut(run_length_counts(keys, k, least, keys.count()))
-        hits = found.select("block", "local", F.lit(0).cast("long").alias("id"))
+        hits = by_block(found.select("block", "local", F.lit(0).cast("long").alias("id")))
         levels.append(found.where(F.col("first")).select("key", F.col("n").alias("a")))
         spare.append(found)
     spent(held)
