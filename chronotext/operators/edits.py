@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweeps import sweep
+
 LINE = ["rec_id", "line_idx", "start_ms", "end_ms", "text"]
 
 
@@ -148,25 +150,97 @@ def replace_text(rows: DataFrame, text: Column, end: Column) -> DataFrame:
     return rows.withColumn("text", text).withColumn("end_ms", end).withColumn("words", F.array(F.struct("text", "start_ms", "end_ms")))
 
 
+STATE = "project long, seq long, versions array<long>, version long"
+
+
+def _replay(versions: list[int], version: int, op: str, seq: int, most: int) -> tuple[list[int], int]:
+    """The saves that are held (by ``seq``) and how many of them are in force, after one more operation."""
+    if op == "save":
+        versions = [*versions[:version], seq][-most:]
+        return versions, min(most, version + 1)
+    return versions, max(0, version - 1) if op == "undo" else min(len(versions), version + 1)
+
+
+def _states(log: DataFrame, most: int, every: int | None) -> DataFrame:
+    """States of each project as ``STATE``: after every ``every``-th operation (from the first on), or after the last alone.
+
+    One sorted pass; what it holds is ``most`` numbers, however long a project's log is.
+    """
+
+    def start():
+        versions, version, n, last = [], 0, 0, None
+
+        def step(row):
+            nonlocal versions, version, n, last
+            if row is None:
+                if every is None:
+                    yield (*last, versions, version)
+                return
+            versions, version = _replay(versions, version, row[2], row[1], most)
+            last, n = row[:2], n + 1
+            if every is not None and n % every == 0:
+                yield (*last, versions, version)
+
+        return step
+
+    return sweep(log.select(F.col("project").cast("long").alias("project"), F.col("seq").cast("long").alias("seq"), "op"), ["project"], ["seq"], start, STATE)
+
+
+def _with_payload(states: DataFrame, log: DataFrame) -> DataFrame:
+    """``project, seq, version, n_versions, payload``: the payload of the save in force."""
+    force = F.when(F.col("version") > 0, F.element_at("versions", F.greatest(F.lit(1), F.col("version")).cast("int")))
+    saves = log.where("op = 'save'").select(F.col("project").alias("__p"), F.col("seq").alias("__q"), "payload")
+    t = states.select("project", "seq", "version", F.size("versions").cast("long").alias("n_versions"), force.alias("__f"))
+    return t.join(saves, (F.col("project") == F.col("__p")) & (F.col("__f") == F.col("__q")), "left").select("project", "seq", "version", "n_versions", "payload")
+
+
 def current_version(log: DataFrame, most: int = 60) -> DataFrame:
-    """State after a log of save, undo and redo: a pointer into the saved versions, per project; the last ``most`` are held.
+    """State after a log of save, undo and redo (``project, seq, op, payload``): a pointer into the saved versions, per project; the last ``most`` are held.
 
-    A save drops the versions beyond the pointer and appends; undo and redo move the pointer within bounds.
+    A save drops the versions beyond the pointer and appends; undo and redo move the pointer within bounds. ``seq`` is unique within a project.
     """
-    # acc: versions, then how many of them are in force
-    zero = F.struct(F.expr("cast(array() as array<string>)").alias("v"), F.lit(0).alias("p"))
+    return _with_payload(_states(log, most, None), log).select("project", "version", "n_versions", "payload")
+
+
+def snapshots(log: DataFrame, every: int = 1000, most: int = 60) -> DataFrame:
+    """``project, n, seq, versions, version``: the state after every ``every``-th operation; ``n`` counts these from 1."""
+    n = F.row_number().over(Window.partitionBy("project").orderBy("seq"))
+    return _states(log, most, every).withColumn("n", n.cast("long"))
+
+
+def state_as_of(log: DataFrame, asked: DataFrame, snaps: DataFrame, every: int = 1000, most: int = 60) -> DataFrame:
+    """``project, seq, version, n_versions, payload`` of each asked ``project, seq``: the state after that operation (or the last one before it).
+
+    The nearest snapshot before it, and at most ``every`` operations replayed from there: however long the log, an answer reads no more. Projects without
+    an operation up to the asked one give version 0.
+    """
+    ends = Window.partitionBy("project").orderBy("seq")
+    spans = snaps.select("project", F.col("seq").alias("low"), F.lead("seq").over(ends).alias("high"), "versions", "version")
+    none = F.expr("cast(array() as array<bigint>)")
+    firsts = asked.select("project").distinct().join(snaps.groupBy("project").agg(F.min("seq").alias("high")), "project", "left").select("project", F.lit(None).cast("long").alias("low"), "high", none.alias("versions"), F.lit(0).cast("long").alias("version"))
+    q = asked.select(F.col("project").alias("__p"), F.col("seq").alias("asked"))
+    found = q.join(firsts.unionByName(spans), (F.col("__p") == F.col("project")) & (F.col("low").isNull() | (F.col("low") <= F.col("asked"))) & (F.col("high").isNull() | (F.col("asked") < F.col("high"))))
+    ops = log.select(F.col("project").alias("__o"), "seq", "op")
+    replayed = found.join(ops, (F.col("__o") == F.col("project")) & (F.col("low").isNull() | (F.col("seq") > F.col("low"))) & (F.col("seq") <= F.col("asked")) & (F.col("high").isNull() | (F.col("seq") < F.col("high"))), "left")
+    held = replayed.groupBy("project", "asked").agg(F.first("versions").alias("v"), F.first("version").alias("p"), F.array_sort(F.collect_list(F.when(F.col("op").isNotNull(), F.struct("seq", "op")))).alias("ops"))
 
     def step(acc, x):
-        v = F.concat(F.slice(acc["v"], F.lit(1), acc["p"]), F.array(x["payload"]))
+        v = F.concat(F.slice(acc["v"], F.lit(1), acc["p"].cast("int")), F.array(x["seq"]))
         v = F.when(F.size(v) > most, F.slice(v, F.lit(2), F.lit(most))).otherwise(v)
         return (
-            F.when(x["op"] == "save", F.struct(v.alias("v"), F.least(F.lit(most), acc["p"] + 1).alias("p")))
-            .when(x["op"] == "undo", F.struct(acc["v"].alias("v"), F.greatest(F.lit(0), acc["p"] - 1).alias("p")))
-            .otherwise(F.struct(acc["v"].alias("v"), F.least(F.size(acc["v"]), acc["p"] + 1).alias("p")))
+            F.when(x["op"] == "save", F.struct(v.alias("v"), F.least(F.lit(most).cast("long"), acc["p"] + 1).alias("p")))
+            .when(x["op"] == "undo", F.struct(acc["v"].alias("v"), F.greatest(F.lit(0).cast("long"), acc["p"] - 1).alias("p")))
+            .otherwise(F.struct(acc["v"].alias("v"), F.least(F.size(acc["v"]).cast("long"), acc["p"] + 1).alias("p")))
         )
 
-    s = log.groupBy("project").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "op", "payload"))), zero, step).alias("s"))
-    return s.select("project", F.col("s.p").cast("long").alias("version"), F.size("s.v").cast("long").alias("n_versions"), F.when(F.col("s.p") > 0, F.element_at("s.v", F.greatest(F.lit(1), F.col("s.p")))).alias("payload"))
+    state = held.withColumn("s", F.aggregate("ops", F.struct(F.col("v").alias("v"), F.col("p").alias("p")), step))
+    return _with_payload(state.select("project", F.col("asked").alias("seq"), F.col("s.v").alias("versions"), F.col("s.p").alias("version")), log)
+
+
+def recovered(saves: DataFrame, autosaved: DataFrame) -> DataFrame:
+    """``project, at, payload, recovered`` of ``project, at, payload``: the last save, or an autosave that is newer; a tie is the save's."""
+    rows = saves.select("project", "at", "payload", F.lit(False).alias("recovered")).unionByName(autosaved.select("project", "at", "payload", F.lit(True).alias("recovered")))
+    return rows.groupBy("project").agg(F.max_by(F.struct("at", "payload", "recovered"), F.struct("at", (~F.col("recovered")).alias("s"))).alias("b")).select("project", "b.*")
 
 
 def autosaves(log: DataFrame, quiet_ms: int = 1500) -> DataFrame:

@@ -1,20 +1,32 @@
-"""Ordered passes over rows that are sorted within partitions: each key's rows pass once, with a state that is bounded by time."""
+"""Ordered passes over rows that are sorted within partitions: each key's rows pass once, with a state that is bounded by time.
+
+A pass whose state is empty after a pause takes the length of that pause: with ``width`` set, the runs between pauses are passes of their
+own, found by blocks of ``width`` milliseconds, so that one long recording spreads over tasks.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_key
+from .blocks import islands_in_blocks, thinned
+
 
+def sweep(rows: DataFrame, keys: list[str], order: list, start: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: str, pause: int | None = None, width: int | None = None) -> DataFrame:
+    """Passes each key's rows in order to a function that ``start`` makes for the key; it yields rows for each one, and for None at the end.
 
-def sweep(rows: DataFrame, keys: list[str], order: list, start: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: str) -> DataFrame:
-    """Passes each key's rows in order to a function that ``start`` makes for the key; it yields rows for each one, and for None at the end."""
+    ``pause`` and ``width``: a run that starts over ``pause`` after everything before has ended gets a function of its own, and may go to another task.
+    """
     names, out = rows.columns, [c.split(" ")[0] for c in schema.split(", ")]
-    at = [names.index(k) for k in keys]
+    if width is not None:
+        rows = islands_in_blocks(rows, keys, pause, width).select(*names, "island")
+        keys = [*keys, "island"]
+    at, n = [rows.columns.index(k) for k in keys], len(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, step = None, None
@@ -26,7 +38,7 @@ def sweep(rows: DataFrame, keys: list[str], order: list, start: Callable[[], Cal
                     if step:
                         got += step(None)
                     key, step = k, start()
-                got += step(row)
+                got += step(row[:n])
             yield pd.DataFrame(got, columns=out)
         if step:
             yield pd.DataFrame(list(step(None)), columns=out)
@@ -39,21 +51,8 @@ def _schema(rows: DataFrame) -> str:
 
 
 def thin(rows: DataFrame, keys: list[str], time_col: str, gap: int) -> DataFrame:
-    """Keeps a time when it is more than ``gap`` after the last *kept* one of its key."""
-    rows = rows.select(*keys, time_col)
-
-    def start():
-        last = None
-
-        def step(row):
-            nonlocal last
-            if row is not None and (last is None or row[-1] - last > gap):
-                last = row[-1]
-                yield row
-
-        return step
-
-    return sweep(rows, keys, [time_col], start, _schema(rows))
+    """Keeps a time when it is more than ``gap`` after the last *kept* one of its key; see ``blocks.thinned``, which also spreads a long key."""
+    return thinned(rows, keys, time_col, gap)
 
 
 def suppress_repeats(rows: DataFrame, keys: list[str], text_key: str, within_ms: int) -> DataFrame:
@@ -80,7 +79,7 @@ def suppress_repeats(rows: DataFrame, keys: list[str], text_key: str, within_ms:
 LINE = "rec_id long, line_idx long, start_ms long, end_ms long, text string"
 
 
-def seam_dedupe(rows: DataFrame, share: float = 0.6) -> DataFrame:
+def seam_dedupe(rows: DataFrame, share: float = 0.6, width: int | None = None) -> DataFrame:
     """Lines that overlap a kept one by ``share`` of the shorter and whose text (without spaces) equals, contains or lies in it are its copies; the longer text stays."""
     rows = rows.select("rec_id", "line_idx", "start_ms", "end_ms", "text")
 
@@ -105,10 +104,10 @@ def seam_dedupe(rows: DataFrame, share: float = 0.6) -> DataFrame:
 
         return step
 
-    return sweep(rows, ["rec_id"], ["start_ms", "end_ms", "line_idx"], start, LINE)
+    return sweep(rows, ["rec_id"], ["start_ms", "end_ms", "line_idx"], start, LINE, -1, width)
 
 
-def finalize_lines(rows: DataFrame, within_ms: int = 25_000, near_ms: int = 1_000, least_ms: int = 50) -> DataFrame:
+def finalize_lines(rows: DataFrame, within_ms: int = 25_000, near_ms: int = 1_000, least_ms: int = 50, width: int | None = None) -> DataFrame:
     """``rec_id, line_idx, start_ms, end_ms, text``: without empty lines, repeats and contained neighbours, and without overlaps.
 
     A text (letters and digits, four or more) that ended up to ``within_ms`` before is a repeat; of a line and the one kept before it, within ``near_ms`` of
@@ -118,6 +117,7 @@ def finalize_lines(rows: DataFrame, within_ms: int = 25_000, near_ms: int = 1_00
 
     def start():
         seen: dict[str, list[list]] = {}
+        ends: list[tuple[int, str]] = []  # a heap: texts leave ``seen`` once they are out of reach
         last: list | None = None  # the line kept last, not yet given out
         floor = None  # where it may begin
 
@@ -141,12 +141,20 @@ def finalize_lines(rows: DataFrame, within_ms: int = 25_000, near_ms: int = 1_00
                     yield give(None)
                 return
             row, key = list(row), row[5]
+            while ends and row[2] - ends[0][0] > within_ms:
+                _, old = heappop(ends)
+                reach = max((x[3] for x in seen.get(old, ())), default=None)
+                if reach is not None and row[2] - reach <= within_ms:
+                    heappush(ends, (reach, old))  # a longer text took its place since
+                else:
+                    seen.pop(old, None)
             if len(key) >= 4:
                 before = seen.setdefault(key, [])
                 before[:] = [x for x in before if row[2] - x[3] <= within_ms]
                 if any(x[3] <= row[2] + 50 for x in before):
                     return
                 before.append(row)
+                heappush(ends, (row[3], key))
             if key and last and row[2] - last[3] < near_ms and len(key) >= 3 and last[5] and (key in last[5] or last[5] in key):
                 if len(key) > len(last[5]):
                     last[2:6] = row[2:6]
@@ -157,7 +165,7 @@ def finalize_lines(rows: DataFrame, within_ms: int = 25_000, near_ms: int = 1_00
 
         return step
 
-    return sweep(rows, ["rec_id"], ["start_ms", "line_idx"], start, LINE)
+    return sweep(rows, ["rec_id"], ["start_ms", "line_idx"], start, LINE, max(within_ms, near_ms, least_ms), width)
 
 
 def split_at_middles(rows: DataFrame, gap_ms: int = 30, least_ms: int = 120) -> DataFrame:

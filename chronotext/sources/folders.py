@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -33,3 +34,17 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     path = fresh(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Adds each row's place from 1 in the whole order: ranges are sorted by themselves, and the driver sees their sizes alone."""
+    spark = rows.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    t = written(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "placed")
+    part, low, starts = F.shiftright("__at", 33), 1, []
+    for r in t.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r.part, low))
+        low += r["count"]
+    start = spark.createDataFrame(starts, "__part long, __low long")
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return t.join(F.broadcast(start), part == F.col("__part")).withColumn(name, F.col("__low") + inside).drop("__at", "__part", "__low")
