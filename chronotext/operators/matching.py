@@ -11,14 +11,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from ..functions.scalars import closest_part, lcs_length
+from ..functions.scalars import closest_part
 from ..functions.text import normal_alnum
 
 LEAST_CHARS, LYRIC_BLOCK, BUCKETS = 3, 5_000, 64
 
 
-def matched_chars(a: str, b: str, need: float = 0.0) -> int:
-    """Characters in matching blocks (the longest first, then what lies on either side of it); -1 as soon as ``need`` is out of reach."""
+MATRIX_BITS = 1 << 22  # beyond it a pair's matrix of equal characters is not laid out
+
+
+class CharRows:
+    """A text prepared for :func:`matched_chars`: for each of its characters, where it stands, as a row of bits."""
+
+    def __init__(self, text: str):
+        self.text, self.width = text, len(text) // 8 + 1  # a bit is left free, so that no diagonal runs on in the next row
+        at: dict[str, int] = {}
+        for j, c in enumerate(text):
+            at[c] = at.get(c, 0) | 1 << j
+        self.rows = {c: x.to_bytes(self.width, "little") for c, x in at.items()}
+        self.none = bytes(self.width)
+
+
+def matched_chars(a: str, b: str, need: float = 0.0, prepared: CharRows | None = None) -> int:
+    """Characters in matching blocks (the longest first, then what lies on either side of it); -1 as soon as ``need`` is out of reach.
+
+    The matrix of equal characters is one whole number. And-ing it with itself, shifted by a diagonal step each time, leaves after k steps
+    the starts of common runs of k + 1; the lowest bit left is the first longest run.
+    """
+    n, m = len(a), len(b)
+    left = min(n, m)
+    if left < need:
+        return -1
+    if n * m > MATRIX_BITS:
+        return _matched_long(a, b, need)
+    r = prepared or CharRows(b)
+    get, none, stride = r.rows.get, r.none, 8 * r.width
+    matrix = int.from_bytes(b"".join([get(c, none) for c in a]), "little")
+    ones, total, regions = None, 0, [(0, n, 0, m)]
+    while regions:
+        a0, a1, b0, b1 = regions.pop()
+        left -= min(a1 - a0, b1 - b0)
+        if a1 - a0 == n and b1 - b0 == m:
+            runs = matrix
+        else:
+            if ones is None:
+                ones = int.from_bytes((b"\x01" + none[1:]) * n, "little")
+            runs = (matrix >> a0 * stride) & (((1 << b1) - (1 << b0)) * (ones & (1 << (a1 - a0) * stride) - 1))
+        if not runs:
+            if total + left < need:
+                return -1
+            continue
+        size, moved = 1, runs >> stride + 1
+        while longer := runs & moved:
+            runs, size, moved = longer, size + 1, moved >> stride + 1
+        i, j = divmod((runs & -runs).bit_length() - 1, stride)
+        i, total = i + a0, total + size
+        for part in ((a0, i, b0, j), (i + size, a1, j + size, b1)):
+            if (x := min(part[1] - part[0], part[3] - part[2])) > 0:
+                regions.append(part)
+                left += x
+        if total + left < need:
+            return -1
+    return total
+
+
+def _matched_long(a: str, b: str, need: float) -> int:
+    """The same for long texts."""
     m = difflib.SequenceMatcher(None, a, b, autojunk=False)
     regions, total, left = [(0, len(a), 0, len(b))], 0, min(len(a), len(b))
     while regions:
@@ -39,7 +97,7 @@ def matched_chars(a: str, b: str, need: float = 0.0) -> int:
     return total
 
 
-def similarity(a: str, b: str, least: float = 0.0) -> float:
+def similarity(a: str, b: str, least: float = 0.0, prepared: CharRows | None = None) -> float:
     """Of N2 forms: 0 for an empty one, 1 for containment, else the matched characters over the shorter of ``a`` and the mean length; 4 places. May be 0 where it is below ``least``."""
     if not a or not b:
         return 0.0
@@ -47,9 +105,7 @@ def similarity(a: str, b: str, least: float = 0.0) -> float:
         return 1.0
     base = min(len(a), (len(a) + len(b)) / 2)
     need = (least - 1e-4) * base
-    if need > 0 and lcs_length(a, b) < need:  # blocks are a common subsequence
-        return 0.0
-    return round(max(0, matched_chars(a, b, need)) / base, 4)
+    return round(max(0, matched_chars(a, b, need, prepared)) / base, 4)
 
 
 @F.pandas_udf(DoubleType())
@@ -216,6 +272,7 @@ def window_scores(windows: DataFrame, lyrics: DataFrame, least: float = 0.55) ->
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             rows = shared.value
+            ready = [CharRows(r[2]) for r in rows]
             held, size = _histograms([r[2] for r in rows]), np.array([len(r[2]) for r in rows])
             for pdf in batches:
                 got = []
@@ -226,7 +283,7 @@ def window_scores(windows: DataFrame, lyrics: DataFrame, least: float = 0.55) ->
                     may = (common >= (least - 1e-4) * np.minimum(n, (size[near] + n) / 2)) | (common == np.minimum(size[near], n))
                     for k in near[may].tolist():
                         doc, lyric, text = rows[k]
-                        if (s := similarity(t, text, least)) >= least:
+                        if (s := similarity(t, text, least, ready[k])) >= least:
                             got.append((rec, first, last, n, doc, lyric, len(text), s))
                 yield pd.DataFrame(got, columns=[c.split(" ")[0] for c in out.split(", ")])
 
