@@ -42,7 +42,7 @@ from pyspark.sql.types import BooleanType
 from .common import WordHashes, cut, mix64, partitions, shingle_hashes, spent, word_bytes
 from .components import components
 
-BLOCK, BLOCK_GRAMS = 256, 4_000_000
+BLOCK, BLOCK_GRAMS = 256, 1_000_000
 FREQUENT, LIST = 200_000, 50_000  # shingles on the list, nodes of a list at most
 BITMAP = 1 << 26  # bits of a filter of ids at most: 8 MB
 _NULL_ID = -(1 << 63)

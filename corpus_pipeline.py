@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import cut, table
+from chronotext.llm.common import cut, spent, table
 from chronotext.llm.decontamination import drop_leaking
 from chronotext.llm.jaccard import jaccard_components
 from chronotext.llm.pieces import encode_documents
@@ -27,13 +27,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are known by a number of their own, as ids may be null or repeat."""
-    rows = cut(docs.withColumn("row_no", F.monotonically_increasing_id()))
-    groups = jaccard_components(rows, n_words=5, p=80, q=100, id_col="row_no").select(F.col("doc_id").alias("row_no"), "component_id")
-    groups = cut(groups.join(rows.select("row_no", "doc_id"), "row_no"))
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_no")).alias("least")).select("least.row_no")
-    others = groups.select("row_no").join(first, "row_no", "left_anti")
-    return rows.join(cut(others), "row_no", "left_anti").select(docs.columns)
+    """Rows are known by a number of their own, as ids may be null or repeat; its column has a name that the documents have not."""
+    no = "row_no"
+    while no in docs.columns:
+        no += "_"
+    rows = cut(docs.withColumn(no, F.monotonically_increasing_id()))
+    groups = jaccard_components(rows, n_words=5, p=80, q=100, id_col=no).select(F.col("doc_id").alias(no), "component_id")
+    groups = cut(groups.join(rows.select(no, "doc_id"), no))
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", no)).alias("least")).select(f"least.{no}")
+    others = cut(groups.select(no).join(first, no, "left_anti"))
+    spent(groups)
+    return rows.join(others, no, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

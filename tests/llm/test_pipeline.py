@@ -39,3 +39,11 @@ def test_near_duplicates_by_row(spark):
     got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()]
     want = [(None, text(1)), (7, text(2)), (8, text(3)), (9, text(4)), (None, text(5)), (None, text(6)), (10, None), (10, None), (None, "")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_near_duplicates_keep_columns(spark):
+    """Columns with the names that the stage would use come back as they were."""
+    rows = [(1, "a b c d e f g", 77, "x"), (2, "a b c d e f g", 88, "y"), (3, "other words of a text here", 99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_no long, row_no_ string")
+    assert sorted(map(tuple, cp.near_duplicates(spark, docs, SF).collect())) == [rows[0], rows[2]]
+    assert cp.near_duplicates(spark, docs.limit(0), SF).count() == 0
