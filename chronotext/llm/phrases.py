@@ -4,16 +4,18 @@
    between pieces) and count them. The rows of a block's vocabulary, not words, are shuffled to count words per language.
 2. Words with at least ``least`` occurrences get dense 32-bit ids, each language its own. Every block gets the ids of its own
    words by a join, so no dictionary is broadcast or held whole anywhere; other words become breaks.
-3. For k = 2 to ``longest``: k consecutive ids, big-endian, are a binary key of 4k bytes. A block sorts its keys by radix and
-   counts runs; the runs are dealt by key ranges of about ``RANGE_ROWS`` rows, sorted by radix again and added up. Frequent keys
-   return to the blocks that hold them, and a longer key is made only where both its ends are frequent, which every
-   frequent phrase fulfils. Stretches without one leave the blocks.
+3. For k = 2 to ``longest``: k consecutive ids are a binary key of 4k bytes. A block sorts its keys by radix and counts runs.
+   Mixed keys are spread evenly, so equal slices of their range are even ranges without a sample; a block sends each range its
+   keys and counts as one row. A task sorts a range by radix again and adds up its runs. Frequent keys return to the blocks that
+   hold them, and a longer key is made only where both its ends are frequent, which every frequent phrase fulfils. Stretches
+   without one leave the blocks.
 4. All parts of a frequent phrase are frequent, so the counts of both sides of each cut are found by joins on keys.
 
-A word, key or language that holds most rows is at most one row for each block before it is counted.
+A word or language that holds most rows is at most one row for each block before it is counted, and a key one entry.
 
 Defined results: null and empty texts have no words; a null language is ``und``; repeated rows count each; an empty table
-gives no phrases; very long texts are cut into slices at white space, so a block never grows beyond its bound by much. Other
+gives no phrases; very long texts are cut into slices at white space, and a block goes on beyond its bound
+only until a piece ends. Other
 columns are ignored. Up to 2**32 - 2 frequent words can be numbered.
 """
 
@@ -31,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import LOWER, UPPER, cut, partitions, spent
+from .common import LOWER, UPPER, cut, mix64, partitions, spent
 
 BLOCK_WORDS, BLOCK_VOCABULARY, SLICE = 1_500_000, 500_000, 1 << 20
-RANGE_ROWS = 1_000_000
+RANGE_WORDS = 2_000_000  # a range for each so many words: more than it gets keys
 #: A-Z lower-cased, a tab as a space, piece ends as a byte that UTF-8 never holds.
 BREAK = b"\xff"
 TABLE = bytes.maketrans(UPPER.encode() + b"\t" + b".,;:!?\n\x0b\x0c\r", LOWER.encode() + b" " + BREAK * 10)
-BLOCK = "block long, words binary, runs binary, lang string, word binary, key binary, local int, n long"
+BLOCK = "block long, words binary, runs binary, lang string, word binary, local int, n long, range int, keys binary, counts binary, locals binary"
 
 
 def tokens(raw: bytes) -> Iterator[list[bytes]]:
@@ -52,6 +54,14 @@ def tokens(raw: bytes) -> Iterator[list[bytes]]:
         low = high
 
 
+def last_break(words: list[bytes]) -> int:
+    """The place of the last break; -1 where there is none."""
+    for i in range(len(words) - 1, -1, -1):
+        if words[i] == BREAK:
+            return i
+    return -1
+
+
 def radix_order(keys: np.ndarray) -> np.ndarray:
     """The order of the rows of a uint32 matrix: a stable counting pass over each 16-bit digit that differs, last one first."""
     order = np.arange(len(keys), dtype=np.int32 if len(keys) < 1 << 31 else np.int64)
@@ -81,13 +91,17 @@ def packed(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((np.arange(len(keys) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(flat)])
 
 
-def unpacked(keys: pa.Array, k: int) -> np.ndarray:
-    offset = int(np.frombuffer(keys.buffers()[1], np.int32)[keys.offset]) if len(keys) else 0
-    return np.frombuffer(keys.buffers()[2], ">u4", len(keys) * k, offset).reshape(-1, k).astype(np.uint32) if len(keys) else np.zeros((0, k), np.uint32)
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The slice of the mixed keys' range that each key lies in."""
+    mixed = np.zeros(len(keys), np.uint64)
+    for column in keys.T:
+        mixed = mix64(mixed ^ column.astype(np.uint64))
+    return ((mixed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
 def _batch(size: int, **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "words": pa.binary(), "runs": pa.binary(), "lang": pa.string(), "word": pa.binary(), "key": pa.binary(), "local": pa.int32(), "n": pa.int64()}
+    kinds = {"block": pa.int64(), "words": pa.binary(), "runs": pa.binary(), "lang": pa.string(), "word": pa.binary(), "local": pa.int32(), "n": pa.int64(), "range": pa.int32()}
+    kinds |= dict.fromkeys(("keys", "counts", "locals"), pa.binary())
     return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds))
 
 
@@ -106,8 +120,8 @@ class _Block:
         self.codes.append(np.fromiter(map(self.known[lang].__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def full(self) -> bool:
-        return self.size >= BLOCK_WORDS or sum(map(len, self.known.values())) >= BLOCK_VOCABULARY
+    def full(self, more: int) -> bool:
+        return self.size + more >= BLOCK_WORDS or sum(map(len, self.known.values())) >= BLOCK_VOCABULARY
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         codes = np.concatenate(self.codes)
@@ -134,10 +148,12 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 texts.setdefault(lang, []).append(text)
             for lang, own in texts.items():
                 for words in tokens(b"\n".join(own)):
-                    block.add(lang, words)
-                    if block.full():
+                    end = last_break(words) if block.full(len(words)) else -1
+                    block.add(lang, words[: end + 1] if end >= 0 else words)
+                    if end >= 0:  # blocks end where pieces do, so that no phrase is cut
                         yield from block.rows(number)
                         number, block = number + 1, _Block()
+                        block.add(lang, words[end + 1 :])
                 block.add(lang, [BREAK])
         if block.size:
             yield from block.rows(number)
@@ -181,8 +197,8 @@ def shorter(words: np.ndarray, at: np.ndarray, runs: np.ndarray, k: int) -> tupl
     return np.where(inside, words, 0)[keep].astype(np.uint32), runs[keep]
 
 
-def counted_block(block: int, words: np.ndarray, ends: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """What remains of a block at length k, and its keys with their counts."""
+def counted_block(block: int, words: np.ndarray, ends: np.ndarray, k: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """What remains of a block at length k, and a row for each range that it has keys in: keys, counts and the block's numbers of them."""
     at, keys = keys_at(words, ends, k)
     if not len(at):
         return
@@ -192,8 +208,16 @@ def counted_block(block: int, words: np.ndarray, ends: np.ndarray, k: int) -> It
     runs[at[order]] = np.repeat(np.arange(len(first), dtype=np.int32), n)
     words, runs = shorter(words, at, runs, k)
     yield _batch(1, block=pa.array([block]), words=pa.array([words.tobytes()], pa.binary()), runs=pa.array([runs.tobytes()], pa.binary()))
-    m = len(first)
-    yield _batch(m, block=pa.array(np.full(m, block)), key=packed(keys[order[first]]), local=pa.array(np.arange(m, dtype=np.int32)), n=pa.array(n, pa.int64()))
+    own = keys[order[first]]
+    to = range_of(own, ranges)
+    by = np.argsort(to, kind="stable").astype(np.int32)
+    cut_at = np.flatnonzero(np.diff(to[by], prepend=-1))
+    parts = list(zip(cut_at.tolist(), np.append(cut_at[1:], len(by)).tolist(), strict=True))
+    for low in range(0, len(parts), 1000):
+        some = parts[low : low + 1000]
+        sent = [pa.array([x[by[a:z]].tobytes() for a, z in some], pa.binary()) for x in (own, n.astype(np.int64))]
+        local = pa.array([by[a:z].tobytes() for a, z in some], pa.binary())
+        yield _batch(len(some), block=pa.array(np.full(len(some), block)), range=pa.array(to[by[[a for a, _ in some]]]), keys=sent[0], counts=sent[1], locals=local)
 
 
 def by_block(hits: DataFrame) -> DataFrame:
@@ -201,12 +225,12 @@ def by_block(hits: DataFrame) -> DataFrame:
     return hits.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.shiftleft(F.col("local").cast("long"), 32).bitwiseOR(F.col("id"))).alias("pairs"))
 
 
-def next_blocks(held: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+def next_blocks(held: DataFrame, hits: DataFrame, k: int, ranges: int) -> DataFrame:
     """Blocks at length k, from those before and the frequent words (k = 2) or keys in them, as :func:`by_block` gives them."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        pairs = pa.concat_arrays([c.flatten() for c in right["pairs"].chunks]).to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, np.int64)
+        pairs = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy(zero_copy_only=False) for c in right["pairs"].chunks)])
         local, ids = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
         for row in left.to_pylist():
             if k == 2:
@@ -220,36 +244,53 @@ def next_blocks(held: DataFrame, hits: DataFrame, k: int) -> DataFrame:
                 table = np.zeros(int(max(runs.max(initial=0), local.max(initial=0))) + 2, bool)
                 table[local] = True
                 ends = table[runs]  # -1, no key, is the last entry
-            out += counted_block(row["block"], words, ends, k)
+            out += counted_block(row["block"], words, ends, k, ranges)
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch(0)])
 
     return held.groupBy("block").cogroup(hits.groupBy("of")).applyInArrow(run, BLOCK)
 
 
-def run_length_counts(rows: DataFrame, k: int, least: int, n_rows: int) -> DataFrame:
-    """Frequent keys by ranges of keys: (key, n, block, local) for each row of a key that ``least`` occurrences have in all; ``first`` marks one of them."""
-    ranges = max(partitions(rows.sparkSession), -(-n_rows // RANGE_ROWS))
+def run_length_counts(rows: DataFrame, k: int, least: int, ranges: int) -> DataFrame:
+    """Keys with ``least`` occurrences: ``key, n`` for each, and ``of, pairs`` (see :func:`by_block`) for each block of a range that holds some."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        keys = np.concatenate([unpacked(b.column(0), k) for b in held])
-        n, block, local = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2, 3))
-        held.clear()
+    def one(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([np.frombuffer(r[2], np.uint32).reshape(-1, k) for r in held])
+        n = np.concatenate([np.frombuffer(r[3], np.int64) for r in held])
+        local = np.concatenate([np.frombuffer(r[4], np.int32) for r in held])
+        sizes = [len(r[4]) // 4 for r in held]
         order, first = runs_of(keys)
         total = np.add.reduceat(n[order], first)
-        sizes = np.diff(np.append(first, len(order)))
-        kept = np.flatnonzero(np.repeat(total >= least, sizes))
-        is_first = np.zeros(len(order), bool)
-        is_first[first] = True
-        for low in range(0, len(kept), 100_000):
-            some = kept[low : low + 100_000]
-            own = order[some]
-            yield pa.RecordBatch.from_arrays([packed(keys[own]), pa.array(np.repeat(total, sizes)[some]), pa.array(block[own]), pa.array(local[own]), pa.array(is_first[some])], names=["key", "n", "block", "local", "first"])
+        often = total >= least
+        hot = np.zeros(len(keys), bool)
+        hot[order] = np.repeat(often, np.diff(np.append(first, len(order))))
+        found = packed(keys[order[first[often]]])
+        m = len(found)
+        names = ["key", "n", "of", "pairs"]
+        yield pa.RecordBatch.from_arrays([found, pa.array(total[often]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+        blocks_, pairs, low = [], [], 0
+        for r, size in zip(held, sizes, strict=True):
+            mine = local[low : low + size][hot[low : low + size]]
+            low += size
+            if len(mine):
+                blocks_.append(r[1])
+                pairs.append(mine.astype(np.int64) << 32)
+        m = len(blocks_)
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(blocks_, pa.int64()), pa.array(pairs, pa.list_(pa.int64()))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield from one(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from one(held)
 
-    dealt = rows.select("key", "n", "block", "local").repartitionByRange(ranges, "key")
-    return dealt.mapInArrow(run, "key binary, n long, block long, local int, first boolean")
+    dealt = rows.select("range", "block", "keys", "counts", "locals").repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
+    return dealt.mapInArrow(run, "key binary, n long, of long, pairs array<long>")
 
 
 def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int | None = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -268,13 +309,14 @@ def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int |
     hits = by_block(hits)
     # a word's key is its id, as four bytes
     levels, spare = [words.select(F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("key"), F.col("f").alias("a"))], []
+    ranges = max(partitions(docs.sparkSession), -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS))
     for k in range(2, longest + 1):
-        after = cut(next_blocks(held.where("words is not null").select("block", "words", "runs"), hits, k))
+        after = cut(next_blocks(held.where("words is not null").select("block", "words", "runs"), hits, k, ranges))
         spent(held)
-        held, keys = after, after.where("key is not null")
-        found = cut(run_length_counts(keys, k, least, keys.count()))
-        hits = by_block(found.select("block", "local", F.lit(0).cast("long").alias("id")))
-        levels.append(found.where(F.col("first")).select("key", F.col("n").alias("a")))
+        held = after
+        found = cut(run_length_counts(held.where("keys is not null"), k, least, ranges))
+        hits = found.where("of is not null").groupBy("of").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
+        levels.append(found.where("key is not null").select("key", F.col("n").alias("a")))
         spare.append(found)
     spent(held)
     out = cut(ranked(levels, words, totals, top))

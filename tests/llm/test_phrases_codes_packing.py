@@ -58,9 +58,10 @@ def phrase_frame(spark, rows):
     return spark.createDataFrame(rows, "lang string, text string").repartition(5).select("*", F.lit(1).alias("n"), F.lit("x").alias("key"), F.lit(2).alias("block"), F.lit(3).alias("word"), F.lit(4).alias("id"))
 
 
-@pytest.mark.parametrize("size", [4_000_000, 300])
-def test_phrases(spark, monkeypatch, size):
+@pytest.mark.parametrize("size,cut", [(4_000_000, 1 << 20), (300, 1 << 20), (40, 30)])
+def test_phrases(spark, monkeypatch, size, cut):
     monkeypatch.setattr(ph, "BLOCK_WORDS", size)
+    monkeypatch.setattr(ph, "SLICE", cut)
     rows = texts()
     got = sorted(map(tuple, ph.mine_phrases(phrase_frame(spark, rows), least=6, top=40).collect()))
     assert got == plain_phrases(rows, 6, 5, 40)
