@@ -160,6 +160,25 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, a bit for each character of ``a``: a column of the table is two whole numbers, of the steps up and down."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, len(a) - 1
+    up, down, out = full, 0, len(a)
+    for c in b:
+        equal = where.get(c, 0)
+        flat = ((equal & up) + up ^ up) | equal
+        rise, fall = down | full & ~(flat | up), up & flat
+        out += (rise >> top & 1) - (fall >> top & 1)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = fall | full & ~(equal | down | rise), rise & (equal | down)
+    return out
+
+
 def closest_part(long_text: str, target: str) -> str:
     """The part of a text that is as long as the target and most like it (the first of equals)."""
     n = len(target)
@@ -231,12 +250,18 @@ def _of(kind, f):
 
 coverage_udf = _of(DoubleType(), coverage)
 lcs_udf = _of(LongType(), lcs_length)
+edit_udf = _of(LongType(), edit_distance)
 closest_udf = _of(StringType(), closest_part)
 breaks_udf = _of(ArrayType(IntegerType()), breaks_after)
 layout_udf = _of(DoubleType(), lambda body, lines: window_score(body, list(lines), True))
 window_udf = _of(DoubleType(), lambda body, lines: window_score(body, list(lines), False))
 
 
+def whole_cer(hyp: Column, ref: Column) -> Column:
+    """Edit distance over the reference's length for texts of any length; for an empty reference 0 or 1."""
+    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(edit_udf(ref, hyp) / F.length(ref))
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("align", StringType()), StructField("display", StringType())])))
 def tokens_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"align": a, "display": d} for a, d in tokens(t)])

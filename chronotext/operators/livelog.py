@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .patterns import occurring
+
 
 def ranked_terms(weighted: DataFrame, k: int = 20, least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
     """``rec_id, term, score, rank`` of ``rec_id, term, weight, first``: the best 4k are taken first, then filtered, then k; ties by first use."""
@@ -81,11 +83,13 @@ def prompt_terms(sources: list[DataFrame]) -> DataFrame:
 def song_titles(requests: DataFrame, chat: DataFrame, titles: DataFrame, norm) -> DataFrame:
     """``rec_id, titles``: requested names in order (``rec_id, at, name``), then the library's titles (``ord, title``) that a chat text contains.
 
-    The titles are a stated list; a recording's chat texts are counted once each.
+    A recording's chat texts are counted once each, and pass through one automaton of all titles; ``ord`` is a title's own.
     """
     asked = requests.where("name <> ''").groupBy("rec_id", F.col("name").alias("title")).agg(F.min(F.struct(F.lit(0), F.col("at").cast("long"))).alias("at"))
     said = chat.select("rec_id", norm(F.col("text")).alias("n")).distinct()
     known = titles.select("ord", "title", norm(F.col("title")).alias("t")).where("t <> ''")
-    found = said.join(F.broadcast(known) if known.count() <= 10_000 else known, F.col("n").contains(F.col("t"))).groupBy("rec_id", "title").agg(F.min(F.struct(F.lit(1), F.col("ord").cast("long"))).alias("at"))
+    numbered = known.withColumn("pid", F.col("ord").cast("long"))
+    hits = occurring(said, ["rec_id"], "n", numbered, "pid", "t").distinct()
+    found = hits.join(numbered.select("pid", "ord", "title"), "pid").groupBy("rec_id", "title").agg(F.min(F.struct(F.lit(1), F.col("ord").cast("long"))).alias("at"))
     both = asked.unionByName(found).groupBy("rec_id", "title").agg(F.min("at").alias("at"))
     return both.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]), "|").alias("titles"))

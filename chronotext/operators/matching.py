@@ -485,15 +485,6 @@ def library_lookup(wanted: DataFrame, docs: DataFrame, least: float = 0.7) -> Da
     return found.unionByName(alike).withColumn("r", F.row_number().over(w1)).where("r = 1").select("want_id", "doc", "tier")
 
 
-def ranked_lyrics(transcripts: DataFrame, docs: DataFrame, top: int = 5) -> DataFrame:
-    """``rec_id, rank, doc, score``: each transcript's ``top`` documents by (score, title), of ``doc, title, text``; a stated set of documents, in pairs with every transcript."""
-    a = transcripts.select("rec_id", normal_alnum(F.col("text")).alias("q")).where("q <> ''")
-    b = docs.select("doc", "title", normal_alnum(F.col("text")).alias("body")).where("body <> ''")
-    s = a.join(F.broadcast(b) if b.count() <= LYRIC_BLOCK else b).withColumn("score", similarity_udf("q", "body"))
-    w = Window.partitionBy("rec_id").orderBy(F.desc("score"), "title", "doc")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("rec_id", "rank", "doc", "score")
-
-
 def longest_hit_run(hits: list[float], least: float = 0.6) -> list[int]:
     """Places of the longest run of lines with a hit ratio of ``least``, one miss between two allowed; the first of equals."""
     runs: list[list[int]] = []

@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import lcs_udf
-from ..functions.text import cer
+from ..functions.scalars import lcs_udf, whole_cer
 from .intervals import islands, overlap_join
 from .matching import ratio_udf
 
@@ -75,7 +74,7 @@ def accuracy(ref: DataFrame, hyp: DataFrame, norm, tol_ms: int = 300) -> DataFra
     joined = lambda t, name: t.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", norm(F.col("text")).alias("t")))), lambda x: x["t"]), "").alias(name))
     texts = joined(ref, "rt").join(joined(hyp, "ht"), "rec_id", "left").withColumn("ht", F.coalesce("ht", F.lit("")))
     recall = F.when(F.length("rt") > 0, lcs_udf("rt", "ht") / F.length("rt")).otherwise(F.lit(0.0))
-    return out.join(texts.select("rec_id", F.round(cer(F.col("ht"), F.col("rt")), 6).alias("cer"), F.round(recall, 6).alias("char_recall")), "rec_id")
+    return out.join(texts.select("rec_id", F.round(whole_cer(F.col("ht"), F.col("rt")), 6).alias("cer"), F.round(recall, 6).alias("char_recall")), "rec_id")
 
 
 def paired_lines(ref: DataFrame, hyp: DataFrame, pairs: DataFrame, norm, tol_ms: int = 300) -> DataFrame:

@@ -266,10 +266,10 @@ def cer_per_recording(spark, d):
     """Whole-text error rate of the candidate against the reference, for recordings of at most 2,000 characters."""
     whole = lambda df: df.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "line_idx", "text"))), lambda x: normal_alnum(x["text"])), "").alias("t"))
     r, h = whole(ref_line(spark, d)), whole(hyp_line(spark, d)).withColumnRenamed("t", "h")
-    from ..functions.text import cer
+    from ..functions.scalars import whole_cer
 
     both = r.join(h, "rec_id", "left").withColumn("h", F.coalesce("h", F.lit("")))
-    return both.select("rec_id", F.length("t").cast("long").alias("n_ref"), F.round(cer(F.col("h"), F.col("t")), 6).alias("cer"))
+    return both.select("rec_id", F.length("t").cast("long").alias("n_ref"), F.round(whole_cer(F.col("h"), F.col("t")), 6).alias("cer"))
 
 
 cer_per_recording.__doc__ = "Whole-text error rate of the candidate against the reference."

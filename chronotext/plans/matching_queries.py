@@ -8,8 +8,8 @@ from ..functions.text import normal_alnum
 from ..operators import matching as mt
 from ..operators import pairing as pr
 from ..operators import segment as sm
+from ..operators import songs
 from ..operators import sweeps as sw
-from ..operators.recognition import resolve_songs
 from .edit_queries import ATOMS, _atoms
 from .registry import registry
 from .scalar_queries import N2
@@ -121,22 +121,39 @@ def title_lookup(spark, d):
     return mt.library_lookup(c.select(F.col("c_custkey").cast("long").alias("want_id"), F.col("n_name").alias("title"), artist.alias("artist")), docs)
 
 
+def _versions(spark, d):
+    """Benchmark texts as songs, several of one title."""
+    title = F.concat(F.lit("Song "), (F.col("item_id") % 15).cast("string"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), title.alias("title"), "text")
+
+
+def _sung(spark, d):
+    """What was recognised: turns of conversations, and benchmark texts of which every ninth letter is missing and the first half is sung."""
+    talk = table(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("block"), "text")
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    sung = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("rec_id"), F.lit(0).cast("long").alias("block"), F.regexp_replace(half, "(.{8}).", "$1").alias("text"))
+    return talk.unionByName(sung)
+
+
 @query()
 def ranked_lyrics(spark, d):
-    """The five documents most like each of the recordings' texts."""
-    t = ref_line(spark, d).groupBy("rec_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), " "), 1, 200).alias("text"))
-    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc"), F.col("n_name").alias("title"), F.concat("n_name", F.lit(" the of and la le de der que")).alias("text"))
-    return mt.ranked_lyrics(t, docs)
+    """The five documents most like each stretch (tests hold them against all pairs)."""
+    return songs.ranked(_sung(spark, d), ["rec_id", "block"], _versions(spark, d), 5)
 
 
-@query("""select o_custkey as rec_id, o_orderkey as block, case when o_orderkey % 2 = 0 then o_custkey when o_custkey % 3 = 0 then o_orderkey % 7 end as doc, case when o_orderkey % 2 = 0 then 0 when o_custkey % 3 = 0 then 1 end as tier from orders""")
+@query()
 def resolved_songs(spark, d):
-    """Blocks and their documents: by request where there is one, else by transcript."""
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("rec_id"), F.col("o_orderkey").alias("block"))
-    two = F.array(F.struct(F.col("rec_id").alias("doc"), F.lit(1.0).alias("score")), F.struct((F.col("rec_id") - 1).alias("doc"), F.lit(0.5).alias("score")))
-    asked = b.where("block % 2 = 0").select("rec_id", "block", F.explode(two).alias("x")).select("rec_id", "block", "x.*")
-    told = b.where("rec_id % 3 = 0").select("rec_id", "block", (F.col("block") % 7).alias("doc"), F.lit(0.6).alias("score"))
-    return resolve_songs(b, [asked, told])
+    """Stretches and their songs: by request where there is one, else by transcript (tests hold them against all pairs)."""
+    b = _sung(spark, d)
+    asked = b.where("rec_id % 3 = 0").select("rec_id", "block", F.concat(F.lit("song-"), F.abs(F.col("rec_id") % 20).cast("string")).alias("name"))
+    return songs.retrieve(b, asked, _versions(spark, d))
+
+
+@query()
+def sung_offsets(spark, d):
+    """Where each sung stretch begins in its song's rows (tests hold them against the plain search)."""
+    sung = _sung(spark, d).where("rec_id < 0").withColumn("doc", -1 - F.col("rec_id"))
+    return songs.sung_windows(sung, _lyrics(spark, d))
 
 
 # ---- correction ----
@@ -166,7 +183,7 @@ def keyword_replace(spark, d):
 
 def _evidence(spark, d):
     """A chat that says each reference line twice near its time; every fifth line is a paid text said once."""
-    said = ref_line(spark, d).select("rec_id", F.col("start_ms").alias("t_ms"), F.when(F.col("line_idx") % 5 == 0, "sc").otherwise("chat").alias("kind"), F.substring("text", 1, 12).alias("text"), (F.col("line_idx") * 2).alias("ord"))
+    said = ref_line(spark, d).select("rec_id", F.col("start_ms").alias("t_ms"), F.when(F.col("line_idx") % 5 == 0, "sc").otherwise("chat").alias("kind"), "text", (F.col("line_idx") * 2).alias("ord"))
     more = said.where("kind = 'chat'").withColumn("t_ms", F.col("t_ms") + 500).withColumn("ord", F.col("ord") + 1)
     return said.unionByName(more).withColumn("gift", F.lit(None).cast("string")).withColumn("user_name", F.lit(""))
 
@@ -174,15 +191,13 @@ def _evidence(spark, d):
 @query()
 def chat_correction(spark, d):
     """Candidate lines corrected by what a chat said."""
-    lines = hyp_line(spark, d).withColumn("text", F.substring("text", 1, 12))
-    return mt.correct_by_chat(lines, _evidence(spark, d))
+    return mt.correct_by_chat(hyp_line(spark, d), _evidence(spark, d))
 
 
 @query()
 def post_correction(spark, d):
     """Keywords, then chat, then lyrics."""
-    lines = hyp_line(spark, d).withColumn("text", F.substring("text", 1, 60))
-    return mt.post_correct(lines, WORDS, _evidence(spark, d), _lyrics(spark, d))
+    return mt.post_correct(hyp_line(spark, d), WORDS, _evidence(spark, d), _lyrics(spark, d))
 
 
 # ---- reports ----
