@@ -90,11 +90,10 @@ def joined_atoms(spark, d):
     return ref_line(spark, d).select("rec_id", "line_idx", F.md5(sc.join_atoms(w)).alias("text_md5"))
 
 
-@query(r"""with t as (select doc_id, case when doc_id % 2 = 0 then left(text, 40) || '歌词测试' else left(text, 40) end as t from documents)
+@query(r"""with t as (select doc_id, case when doc_id % 2 = 0 then text || '歌词测试' else text end as t from documents)
 select doc_id, round(case when length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) > 0 then len(regexp_extract_all(t, '[一-鿿]')) / length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) else 0.0 end, 6) as ratio from t""")
 def cjk_ratios(spark, d):
-    head = F.substring("text", 1, 40)
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(head, F.lit("歌词测试"))).otherwise(head)
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("歌词测试"))).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.round(tx.cjk_ratio(t), 6).alias("ratio"))
 
 
@@ -130,7 +129,8 @@ def punctuation_breaks(spark, d):
 @query()
 def text_coverage(spark, d):
     """How well each line's text is covered by the benchmark text of its number: three scores (tests hold them against plain forms)."""
-    b = table(spark, d, "benchmark").select("item_id", F.filter(F.transform(F.split("text", r"\. "), tx.normal_alnum), lambda x: x != "").alias("lines"))
-    t = ref_line(spark, d).join(b, F.col("rec_id") % 40 == F.col("item_id")).withColumn("n", tx.normal_alnum(F.col("text")))
+    items = table(spark, d, "benchmark")
+    b = items.select("item_id", F.filter(F.transform(F.split("text", r"\. "), tx.normal_alnum), lambda x: x != "").alias("lines"))
+    t = ref_line(spark, d).join(b, F.col("rec_id") % items.count() == F.col("item_id")).withColumn("n", tx.normal_alnum(F.col("text")))
     whole = F.array_join("lines", "")
     return t.select("rec_id", "line_idx", sc.coverage_udf("n", whole).alias("coverage"), sc.layout_udf("n", "lines").alias("layout"), sc.window_udf("n", "lines").alias("window"), sc.closest_udf(whole, F.substring("n", 1, 12)).alias("closest"))

@@ -36,7 +36,7 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def placed(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+def placed(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
     """Adds each row's place from 1 in the whole order: ranges are sorted by themselves, and the driver sees their sizes alone."""
     spark = rows.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
