@@ -176,46 +176,55 @@ def leaks_of(text: str | None, index: Index, min_question: float, min_answer: fl
             nq, na = len(q & here), len(a & here)
             oq, oa = nq / len(q), na / len(a)
             if (oq >= min_question and oa >= min_answer) or (nq + na) / (len(q) + len(a)) >= min_whole:
-                item = index.item[piece]
-                if item not in best or score > best[item][1]:
-                    best[item] = (item, score, oq, oa, start)
-    return list(best.values())
+                # the best passage of an item, whatever the order that its pieces come in and the index that they lie in
+                item, rank = index.item[piece], (round(score, 9), -start, oq, oa)
+                if item not in best or rank > best[item][0]:
+                    best[item] = (rank, (item, rank[0], oq, oa, start))
+    return [x for _, x in best.values()]
 
 
-def index_blocks(items: DataFrame, min_score: float) -> Iterator:
-    """Broadcast indexes of at most about INDEX_BLOCK pieces each; statistics are those of all items."""
+def index_blocks(items: DataFrame, min_score: float) -> tuple[int, Iterator]:
+    """How many indexes there are, and one after the other as a broadcast, of at most about INDEX_BLOCK pieces each; statistics are those of all items."""
     spark = items.sparkSession
     pieces = cut(_pieces(items))
     n, mean_len = pieces.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     blocks = -(-n // INDEX_BLOCK)
     number = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, blocks)))
     freq = pieces.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count()
-    for block in range(blocks):
-        mine = pieces.where(number == block)
-        rows = sorted((r["item_id"], r["words"]) for r in mine.collect())
-        here = mine.select(F.explode("words").alias("w")).distinct()
-        yield spark.sparkContext.broadcast(build_index(rows, {r["w"]: r["count"] for r in freq.join(here, "w").collect()}, n, mean_len, min_score))
+
+    def built() -> Iterator:
+        for block in range(blocks):
+            mine = pieces.where(number == block)
+            rows = sorted((r["item_id"], r["words"]) for r in mine.collect())
+            here = mine.select(F.explode("words").alias("w")).distinct()
+            yield spark.sparkContext.broadcast(build_index(rows, {r["w"]: r["count"] for r in freq.join(here, "w").collect()}, n, mean_len, min_score))
+
+    return blocks, built()
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.4, min_question: float = 0.5, min_answer: float = 0.3, min_whole: float = 0.6) -> DataFrame:
     """One row per document and leaked item; ``score`` is the share of the threshold, 1 or more."""
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = []
-    for index in index_blocks(items, min_score):
+    blocks, indexes = index_blocks(items, min_score)
+    # Pieces of one item may lie in different indexes: a row is then known by a number, as rows may be equal or share an id.
+    asked = cut(asked.withColumn("row", F.monotonically_increasing_id())) if blocks > 1 else asked.withColumn("row", F.lit(0).cast("long"))
+    for index in indexes:
 
         def query(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in leaks_of(t, index.value, min_question, min_answer, min_whole)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start"]).astype({"doc_id": "Int64"})
+                rows = [(r, d, *x) for r, d, t in zip(pdf["row"], pdf["doc_id"], pdf["text"], strict=True) for x in leaks_of(t, index.value, min_question, min_answer, min_whole)]
+                yield pd.DataFrame(rows, columns=["row", "doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start"]).astype({"doc_id": "Int64"})
 
-        found.append(asked.mapInPandas(query, OUT))
+        found.append(asked.mapInPandas(query, f"row long, {OUT}"))
     if len(found) < 2:
-        return found[0] if found else docs.sparkSession.createDataFrame([], OUT)
+        return found[0].drop("row") if found else docs.sparkSession.createDataFrame([], OUT)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    # Pieces of one item may lie in different blocks.
-    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")], F.min("start").alias("start"))
+    rank = F.struct("score", -F.col("start"), "question_overlap", "answer_overlap")
+    best = out.groupBy("row", "doc_id", "item_id").agg(F.max_by(F.struct("score", "question_overlap", "answer_overlap", "start"), rank).alias("b"))
+    return best.select("doc_id", "item_id", "b.*")
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text", min_score: float = 0.4, min_question: float = 0.5, min_answer: float = 0.3, min_whole: float = 0.6) -> DataFrame:
@@ -228,6 +237,6 @@ def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text", min_
 
         return no_leak(F.col(text_col))
 
-    for index in index_blocks(items, min_score):
+    for index in index_blocks(items, min_score)[1]:
         docs = docs.where(clean(index))
     return docs

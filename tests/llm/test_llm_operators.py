@@ -242,6 +242,54 @@ def test_decontamination_blocks(spark, monkeypatch):
     assert one == many and {(i, i) for i in range(9)} <= set(one)
 
 
+def test_decontamination_does_not_depend_on_its_blocks(spark, monkeypatch):
+    """Whole rows, of repeated documents and ids too, whatever the size of an index; long items have pieces in several."""
+    r = random.Random(12)
+    words = [f"u{i}" for i in range(120)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([12, 30, 400])))) for i in range(8)]
+    texts = [" ".join(r.choice(words) for _ in range(60)) + " " + t[: r.randint(40, len(t))] + " " + t[-r.randint(20, len(t)) :] for _, t in items]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (1, texts[5]), (None, texts[2]), (None, texts[2]), (None, None)], "doc_id long, text string").repartition(3)
+    wanted = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for size in (5000, 2, 3):
+        monkeypatch.setattr(dc, "INDEX_BLOCK", size)
+        rows.append(sorted(map(str, dc.find_leaks(docs, wanted).collect())))
+        rows.append(sorted(map(str, dc.find_leaks(docs, wanted).select("doc_id", "item_id").collect())))
+        kept = dc.drop_leaking(docs, wanted)
+        assert kept.count() == 1 and kept.first().text is None
+    assert rows[0] == rows[2] == rows[4] and rows[1] == rows[3] == rows[5] and len(rows[0]) >= 12
+
+
+def test_decontamination_against_every_passage(spark):
+    """Plain scores of every passage for every piece, with the overlaps verified."""
+    r = random.Random(13)
+    words = [f"u{i}" for i in range(200)]
+    items = [(i, [r.choice(words) for _ in range(30)]) for i in range(15)]
+    docs = [(d, [r.choice(words) for _ in range(150)]) for d in range(25)]
+    for d in range(0, 25, 3):
+        own = items[d % 15][1]
+        docs[d][1][40:60] = own[: r.randint(15, 30)]
+        docs[d][1][60:60] = own[-r.randint(4, 12) :]
+    n, mean = len(items), 30.0
+    df = Counter(w for _, ws in items for w in set(ws))
+    want = set()
+    for d, ws in docs:
+        for start in range(0, max(1, len(ws) - dc.STRIDE), dc.STRIDE):
+            passage = ws[start : start + dc.PASSAGE]
+            for i, own in items:
+                idf = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in own}
+                part = {w: idf[w] * tf * (dc.K1 + 1) / (tf + dc.K1 * (1 - dc.B_LEN + dc.B_LEN * len(own) / mean)) for w, tf in Counter(own).items()}
+                if sum(part[w] for w in set(passage) & set(own)) < 0.4 * sum(part.values()):
+                    continue
+                split, grams = len(own) * 3 // 4, dc._shingles(passage)
+                q, a = dc._shingles(own[:split]), dc._shingles(own[split:] if len(own) - split >= dc.SHINGLE else own[-dc.SHINGLE :])
+                nq, na = len(q & grams), len(a & grams)
+                if (nq / len(q) >= 0.5 and na / len(a) >= 0.3) or (nq + na) / (len(q) + len(a)) >= 0.6:
+                    want.add((d, i))
+    got = dc.find_leaks(spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want and len(want) >= 3
+
+
 def test_secrets(spark):
     import re
 
