@@ -98,10 +98,23 @@ def kept_seconds(rows: DataFrame, kept: Column) -> DataFrame:
     return rows.groupBy("rec_id").agg(F.round(F.sum(F.when(kept, span).otherwise(0.0)), 3).alias("kept_s"), F.round(F.sum(span), 3).alias("total_s"))
 
 
-def best_span(rows: DataFrame, spans: DataFrame, key: str, row_id: str) -> DataFrame:
-    """``key, row_id, span_start, span_end``: the span with the largest overlap, else the one whose middle is nearest; of equals the earliest. A key's spans are few."""
-    s = spans.select(key, F.col("start_ms").alias("span_start"), F.col("end_ms").alias("span_end"))
-    common = F.least("end_ms", "span_end") - F.greatest("start_ms", "span_start")
-    apart = F.abs(F.col("span_start") + F.col("span_end") - F.col("start_ms") - F.col("end_ms"))
-    rank = F.struct((-F.greatest(F.lit(0), common)).alias("c"), F.when(common > 0, 0).otherwise(apart).alias("a"), "span_start", "span_end")
-    return rows.select(key, row_id, "start_ms", "end_ms").join(s, key).groupBy(key, row_id).agg(F.min(rank).alias("r")).select(key, row_id, "r.span_start", "r.span_end")
+def best_span(rows: DataFrame, spans: DataFrame, key: str, row_id: str, bin_ms: int = 60_000) -> DataFrame:
+    """``key, row_id, span_start, span_end``: the span with the largest overlap, else the one whose middle is nearest; of equals the earliest.
+
+    Overlaps are found by time bins. What overlaps nothing looks at the nearest span on either side alone, in two sorted passes over middles.
+    """
+    s = spans.select(key, "start_ms", "end_ms").distinct()
+    plain = rows.select(key, row_id, "start_ms", "end_ms")
+    over = overlap_join(plain, s, key, bin_ms).groupBy(key, row_id).agg(F.min(F.struct((-F.col("overlap_ms")).alias("o"), F.col("start_ms_r").alias("span_start"), F.col("end_ms_r").alias("span_end"))).alias("r"))
+    over = over.select(key, row_id, "r.span_start", "r.span_end")
+    rest = plain.join(over.select(key, row_id), [key, row_id], "left_anti")
+    middle = (F.col("start_ms") + F.col("end_ms")).alias("m")
+    nothing = F.lit(None).cast(dict(plain.dtypes)[row_id]).alias(row_id)
+    both = rest.select(key, row_id, middle, F.lit(None).cast("struct<a: bigint, z: bigint>").alias("s")).unionByName(s.select(key, nothing, middle, F.struct(F.col("start_ms").alias("a"), F.col("end_ms").alias("z")).alias("s")))
+    # of spans with one middle the last that a pass comes by is the earliest
+    side = lambda *by: F.last("s", ignorenulls=True).over(Window.partitionBy(key).orderBy(*by, F.col("s").isNull(), F.desc("s.a"), F.desc("s.z")).rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("p", side("m")).withColumn("n", side(F.desc("m"))).where(F.col("s").isNull())
+    apart = lambda c: F.struct(F.abs(F.col(f"{c}.a") + F.col(f"{c}.z") - F.col("m")).alias("d"), F.col(f"{c}.a").alias("span_start"), F.col(f"{c}.z").alias("span_end"))
+    best = F.least(*[F.when(F.col(c).isNotNull(), apart(c)) for c in ("p", "n")])
+    found = near.withColumn("r", best).where("r is not null").select(key, row_id, "r.span_start", "r.span_end")
+    return over.unionByName(found)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PROFILES = 64  # profiles of one broadcast at most
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -27,10 +30,13 @@ def centroids(rows: DataFrame, by: str, vec: str) -> DataFrame:
 
 
 def profile_similarity(rows: DataFrame, profiles: DataFrame, vec: str, keep: list[str]) -> DataFrame:
-    """Every row against every profile. Profiles are a handful of named voices: at most 64, which is checked, are broadcast."""
-    n = profiles.limit(65).count()
-    side = F.broadcast(profiles) if n <= 64 else profiles
-    return rows.crossJoin(side.withColumnRenamed("vec", "__p")).select(*keep, *[c for c in profiles.columns if c != "vec"], dot(F.col(vec), F.col("__p")).alias("sim"))
+    """Every row against every profile, a stated set of named voices: blocks of at most ``PROFILES`` of them are broadcast, one after the other."""
+    named, out = profiles.toLocalIterator(), None
+    while (block := list(islice(named, PROFILES))) or out is None:
+        side = F.broadcast(rows.sparkSession.createDataFrame(block, profiles.schema)).withColumnRenamed("vec", "__p")
+        part = rows.crossJoin(side).select(*keep, *[c for c in profiles.columns if c != "vec"], dot(F.col(vec), F.col("__p")).alias("sim"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def neighbours(rows: DataFrame, key: str, rec: str, vec: str, k: int, share: float = 0.0, block: int = 512) -> DataFrame:
@@ -54,12 +60,13 @@ def neighbours(rows: DataFrame, key: str, rec: str, vec: str, k: int, share: flo
             np.fill_diagonal(sims, -np.inf)
             if at[1] != at[2]:  # rows of one block have met in the block's own task
                 sims[side[:, None] == side[None, :]] = -np.inf
-            out = []
-            for x in range(len(keys)):
-                order = np.lexsort((keys, -sims[x]))[:most]
-                order = order[np.isfinite(sims[x, order])]
-                out.append(pd.DataFrame({"rec": at[0], "key": keys[x], "most": most, "other": keys[order], "sim": sims[x, order]}))
-            return pd.concat(out)
+            by_key = np.argsort(keys, kind="stable")  # ties go to the smaller key
+            best = by_key[np.argsort(-sims[:, by_key], axis=1, kind="stable")[:, :most]]
+            row = np.repeat(np.arange(len(keys)), best.shape[1])
+            other = best.reshape(-1)
+            near = sims[row, other]
+            real = np.isfinite(near)
+            return pd.DataFrame({"rec": at[0], "key": keys[row[real]], "most": most, "other": keys[other[real]], "sim": near[real]})
 
         for pdf in batches:
             for rec, a, b, i, key, most, v in zip(*(pdf[c] for c in ("rec", "a", "b", "i", "key", "most", "v")), strict=True):

@@ -233,7 +233,7 @@ a as (select frame_idx, lag(frame_idx) over (order by frame_idx) as p from s), b
 select min(frame_idx) as first_frame, max(frame_idx) as last_frame from b group by g having max(frame_idx) - min(frame_idx) + 1 >= 2""")
 def activity_islands(spark, d):
     a = activity(spark, d)
-    low = a.agg(F.percentile("level", 0.15).alias("f"))
+    low = sg.floors(a, "level", (0.15,)).withColumnRenamed("p15", "f")
     return sg.active_islands(a.crossJoin(F.broadcast(low)), F.col("level") > F.col("f") * 2, 3, 2)  # one row is broadcast
 
 

@@ -109,13 +109,20 @@ def spread(chars: Column, start: Column, step: Column) -> Column:
     return F.transform(chars, lambda c, i: F.struct(c.alias("text"), (start + step * i).alias("start"), (start + step * (i + 1)).alias("end"), F.lit(1.0).alias("prob")))
 
 
-def parse_responses(texts: DataFrame, key: str, text: str) -> DataFrame:
+def parse_responses(texts: DataFrame, key: str, text: str, strict: bool = True) -> DataFrame:
     """``key, seg_idx, start, end, text, words, avg_logprob, no_speech_prob``: recognition responses of any of the usual shapes.
 
     Segments under ``segments``, ``results`` or ``data``, or as the list itself; alternative names of fields; a text without words
-    is spread over its time; segments with neither go; sorted by start. An unknown shape gives no rows.
+    is spread over its time; segments with neither go; sorted by start. An unknown shape is an error, or gives no rows if ``strict`` is off; null
+    texts and empty lists give none.
     """
     seg = F.coalesce(*[F.nullif(F.from_json(text, f"struct<{n}:{_SEGMENT}>")[n], F.array().cast(_SEGMENT)) for n in ("segments", "results", "data")], F.from_json(text, _SEGMENT))
+    if strict:
+        known = F.lit(False)
+        for n in ("segments", "results", "data"):
+            known = known | F.coalesce(F.get_json_object(text, f"$.{n}").startswith("["), F.lit(False))
+        known = known | F.col(text).rlike(r"^\s*\[") | F.col(text).isNull()
+        seg = F.when(known, seg).otherwise(F.raise_error(F.concat(F.lit("a recognition response of unknown shape: "), F.substring(text, 1, 60))))
     s = texts.select(key, F.posexplode(seg).alias("ord", "s"))
     start = F.coalesce("s.start", "s.start_time", F.lit(0.0))
     s = s.withColumn("start", start).withColumn("end", F.coalesce("s.end", "s.end_time", "start")).withColumn("text", F.trim(F.coalesce(F.nullif(F.col("s.text"), F.lit("")), "s.sentence", F.lit(""))))

@@ -252,3 +252,28 @@ def test_lyric_store(spark):
     assert {(r.title, r.lines[0].text) for r in s.read().collect()} == {("Other", "3"), ("未命名", "5"), ("Song", "2"), ("so-ng", "4"), ("New", "7")}
     s.remove(spark.createDataFrame([(1, "Song", ""), (2, "New", "n"), (3, "None", "")], "seq long, title string, artist string"))
     assert {r.title for r in s.read().collect()} == {"Other", "未命名", "so-ng"}
+
+
+def test_best_span(spark):
+    r = random.Random(11)
+    rows = [(k, i, s, s + r.randint(0, 50)) for k in (1, 2, 3) for i, s in enumerate(r.randint(0, 3000) for _ in range(120))]
+    spans = [(k, s, s + r.randint(1, 60)) for k in (1, 2) for s in (r.randint(0, 3000) for _ in range(25))]
+
+    def best(k, s, e):
+        own = [(a, z) for q, a, z in spans if q == k]
+        rank = lambda x: (-max(0, min(e, x[1]) - max(s, x[0])), abs(x[0] + x[1] - s - e) if min(e, x[1]) <= max(s, x[0]) else 0, *x)
+        return min(own, key=rank) if own else None
+
+    got = {(x.k, x.i): (x.span_start, x.span_end) for x in iv.best_span(spark.createDataFrame(rows, "k long, i long, start_ms long, end_ms long"), spark.createDataFrame(spans, "k long, start_ms long, end_ms long"), "k", "i", 100).collect()}
+    assert got == {(k, i): b for k, i, s, e in rows if (b := best(k, s, e))}
+
+
+def test_unknown_responses(spark):
+    from chronotext.sources import records as rc
+
+    good = spark.createDataFrame([("a", '{"segments": []}'), ("b", None), ("c", '[{"start": 1, "end": 2, "text": "ab"}]')], "k string, t string")
+    assert [x.k for x in rc.parse_responses(good, "k", "t").collect()] == ["c"]
+    bad = spark.createDataFrame([("a", '{"message": "no"}')], "k string, t string")
+    with pytest.raises(Exception, match="unknown shape"):
+        rc.parse_responses(bad, "k", "t").collect()
+    assert rc.parse_responses(bad, "k", "t", strict=False).count() == 0
