@@ -117,16 +117,37 @@ def song_timelines(songs: DataFrame) -> DataFrame:
     return documents(blocks, "\n", head="# Songs\n\n")
 
 
-def report_markdown(report: DataFrame, metrics: dict[str, str]) -> DataFrame:
-    """``rec_id, text``: a table of the named columns of a report, ``metrics`` giving each one's title."""
+def report_markdown(report: DataFrame, metrics: dict[str, str], sections: list[tuple[str, dict[str, str], DataFrame]] = ()) -> DataFrame:
+    """``rec_id, text``: a table of the named columns of a report, ``metrics`` giving each one's title, and a table for each section that has rows.
+
+    A section is a heading, its columns with their titles, and rows ``rec_id, n`` and the columns, in the order of ``n`` from 1, which is shown first.
+    """
     rows = [F.concat(F.lit(f"| {title} | "), F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit(" |")) for c, title in metrics.items()]
-    return report.select("rec_id", F.concat(F.lit("# Report\n\n| metric | value |\n|---|---:|\n"), F.concat_ws("\n", *rows), F.lit("\n")).alias("text"))
+    out = report.select("rec_id", F.concat(F.lit("# Report\n\n| metric | value |\n|---|---:|\n"), F.concat_ws("\n", *rows), F.lit("\n")).alias("text"))
+    for heading, columns, own in sections:
+        cells = F.concat(F.lit("| "), F.col("n").cast("string"), *[F.concat(F.lit(" | "), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[|\r\n]+", " ")) for c in columns], F.lit(" |"))
+        head = f"\n## {heading}\n\n| # | {' | '.join(columns.values())} |\n|---|{'---|' * len(columns)}\n"
+        table = documents(own.select("rec_id", "n", cells.alias("block")), "\n", head=head).withColumnRenamed("text", "__more")
+        out = out.join(table, "rec_id", "left").select("rec_id", F.concat("text", F.coalesce("__more", F.lit(""))).alias("text"))
+    return out
+
+
+def completed(lines: DataFrame) -> DataFrame:
+    """Lines with what the richer formats show: a word for the whole line, no speaker, sure and without a style of its own, where they have nothing else."""
+    word = F.array(F.struct("text", "start_ms", "end_ms"))
+    defaults = {"words": word, "speaker": F.lit(""), "low_confidence": F.lit(False), "style": F.lit(None).cast("map<string,string>")}
+    for c, value in defaults.items():
+        if c not in lines.columns:
+            lines = lines.withColumn(c, value)
+    return lines.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(word))
 
 
 FORMATS = {
     "srt": lambda lines: documents(srt_blocks(lines)),
     "vtt": lambda lines: documents(vtt_blocks(lines), head="WEBVTT\n\n"),
     "lrc": lrc_documents,
+    "ass": lambda lines: (lambda style: ass_documents(karaoke_events(completed(lines), style), style))(F.create_map().cast("map<string,string>")),
+    "json": lambda lines: line_json(completed(lines)),
 }
 
 
