@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import with_context
 from .intervals import gap_merge
 
 
@@ -76,11 +79,12 @@ def lag_search(cover: DataFrame, signal: DataFrame, frame: str, x: str, y: str,
     return m.select("lag", "n", F.round((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0)), 6).alias("corr"))
 
 
-def coverage_lag(lines: DataFrame, events: DataFrame, frame_ms: int, most: int, end_ms: Column, least_lines: int = 20) -> DataFrame:
+def coverage_lag(lines: DataFrame, events: DataFrame, frame_ms: int, most: int, end_ms: Column, least_lines: int = 20, width: int = 100_000) -> DataFrame:
     """``rec_id, lag, corr``: the lag (in frames, of -most..most) with the largest correlation of the lines' 0/1 coverage with the events' 0/1 activity; the first of equals.
 
     Frames run from 0 to the recording's ``end_ms``; outside of it both signals are 0. Recordings with fewer than ``least_lines`` lines have lag 0.
-    Only frames with an event are copied for the lags and looked up among the covered ones.
+    Frames are dealt to blocks of ``width``, covered ones with ``most`` frames of context: a block's dense arrays give its part of the products of all
+    lags, and these alone are added up. No frame is copied for a lag, and a recording spreads over tasks.
     """
     f = lambda c: F.floor(F.col(c) / frame_ms).cast("long")
     n = lines.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_lines"), (F.floor(F.max(end_ms) / frame_ms) + 1).alias("n"))
@@ -88,8 +92,22 @@ def coverage_lag(lines: DataFrame, events: DataFrame, frame_ms: int, most: int,
     active = events.select("rec_id", f("t_ms").alias("f")).distinct().join(n, "rec_id").where("f >= 0 and f < n").select("rec_id", "f")
     sx, sy = (t.groupBy("rec_id").agg(F.count(F.lit(1)).alias(k)) for t, k in ((covered, "sx"), (active, "sy")))
     lags = F.sequence(F.lit(-most), F.lit(most))
-    moved = active.withColumn("lag", F.explode(lags)).withColumn("f", F.col("f") - F.col("lag"))
-    both = moved.join(covered, ["rec_id", "f"]).groupBy("rec_id", "lag").agg(F.count(F.lit(1)).alias("sxy"))
+    near = with_context(covered, "f", width, most).select("rec_id", "block", "f")
+    mine = active.select(F.col("rec_id").alias("of"), F.floor(F.col("f") / width).cast("long").alias("within"), "f")
+
+    def products(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = pa.schema([("rec_id", pa.int64()), ("lag", pa.int32()), ("sxy", pa.int64())])
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        low = right["within"][0].as_py() * width - most
+        cover = np.zeros(width + 2 * most, np.int64)
+        cover[left["f"].to_numpy() - low] = 1
+        at = right["f"].to_numpy() - low
+        sums = [int(cover[at - lag].sum()) for lag in range(-most, most + 1)]
+        return pa.Table.from_arrays([pa.array([right["of"][0].as_py()] * len(sums), pa.int64()), pa.array(range(-most, most + 1), pa.int32()), pa.array(sums, pa.int64())], schema=kinds)
+
+    parts = near.groupBy("rec_id", "block").cogroup(mine.groupBy("of", "within")).applyInArrow(products, "rec_id long, lag int, sxy long")
+    both = parts.groupBy("rec_id", "lag").agg(F.sum("sxy").alias("sxy"))
     grid = n.join(sx, "rec_id").join(sy, "rec_id").where(F.col("n_lines") >= least_lines).withColumn("lag", F.explode(lags)).join(both, ["rec_id", "lag"], "left")
     k = F.coalesce("sxy", F.lit(0))
     spread = F.sqrt((F.col("sx") * (F.col("n") - F.col("sx"))).cast("double")) * F.sqrt((F.col("sy") * (F.col("n") - F.col("sy"))).cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_alnum
+from ..operators import dictionary as dc
 from ..operators import matching as mt
 from ..operators import pairing as pr
 from ..operators import segment as sm
@@ -181,6 +182,13 @@ def keyword_replace(spark, d):
     return mt.correct_by_keywords(ref_line(spark, d), WORDS).select("rec_id", "line_idx", F.md5("fixed").alias("fixed_md5"), "changed")
 
 
+@query(_folded())
+def dictionary_replace(spark, d):
+    """The same from a table of words, by automata."""
+    words = spark.createDataFrame([(i, w, a) for i, (w, a) in enumerate(WORDS)], "place long, word string, alias array<string>")
+    return dc.correct_by_dictionary(ref_line(spark, d), words).select("rec_id", "line_idx", F.md5("fixed").alias("fixed_md5"), "changed")
+
+
 def _evidence(spark, d):
     """A chat that says each reference line twice near its time; every fifth line is a paid text said once."""
     said = ref_line(spark, d).select("rec_id", F.col("start_ms").alias("t_ms"), F.when(F.col("line_idx") % 5 == 0, "sc").otherwise("chat").alias("kind"), "text", (F.col("line_idx") * 2).alias("ord"))

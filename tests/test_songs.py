@@ -199,3 +199,22 @@ def test_ownership_on_a_stream(spark):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == sorted(owned)
+
+
+def test_dictionary(spark, monkeypatch):
+    """The table of words gives what the stated list gives."""
+    from chronotext.operators import dictionary as dc
+
+    r = random.Random(14)
+    letters = lambda k: "".join(r.choice("abcdeé東 -") for _ in range(k))
+    words = [(letters(r.randint(2, 8)), [letters(r.randint(1, 4)) for _ in range(r.randint(0, 3))]) for _ in range(25)] + [("abc", ["ab", "AB"]), ("xyz", ["ab"])]
+    lines = [(1, i, r.choice([letters(r.randint(0, 25)), r.choice(words)[0], None if i % 17 == 0 else "ab"])) for i in range(150)]
+    df = spark.createDataFrame(lines, "rec_id long, line_idx long, text string").repartition(3)
+    table = spark.createDataFrame([(i, w, a) for i, (w, a) in enumerate(words)], "place long, word string, alias array<string>")
+    shown = lambda t: sorted(map(str, t.select("line_idx", "text", "fixed", "changed").collect()))
+    want = shown(mt.correct_by_keywords(df, [(w.strip(), a) for w, a in words]))
+    assert shown(dc.correct_by_dictionary(df, table)) == want
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(pt, "BLOCK_PATTERNS", 5)
+    assert shown(dc.correct_by_dictionary(df, table)) == want
+    assert dc.correct_by_dictionary(df, table.limit(0)).where("changed").count() == 0
