@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from ..functions.scalars import closest_part
 from ..functions.text import normal_alnum
+from ..sources.folders import written
 
 LEAST_CHARS, LYRIC_BLOCK, BUCKETS = 3, 5_000, 64
 
@@ -416,6 +417,36 @@ def post_correct(lines: DataFrame, keywords: list[tuple[str, list[str]]], eviden
     return apply_plans(two, lyric_plans(two, mine, lyrics))
 
 
+def in_stages(lines: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, dict[str, str]]:
+    """Stages one after the other, each written before the next begins: one that fails is left out, and what it said is returned by its name; the others go on from what was there."""
+    failed: dict[str, str] = {}
+    for name, stage in stages:
+        try:
+            lines = written(stage(lines), name)
+        except Exception as why:  # noqa: BLE001  whatever a stage's job dies of, the lines before it are good
+            failed[name] = f"{type(why).__name__}: {why}"
+    return lines, failed
+
+
+def isolated_correct(lines: DataFrame, keywords: list[tuple[str, list[str]]], evidence: DataFrame, lyrics: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """:func:`post_correct` whose stages fail by themselves: the lines, and the stages that failed."""
+    plain = ["rec_id", "line_idx", "start_ms", "end_ms", "text"]
+
+    def by_words(t: DataFrame) -> DataFrame:
+        return correct_by_keywords(t, keywords).withColumn("text", F.col("fixed")).select(plain)
+
+    def by_chat(t: DataFrame) -> DataFrame:
+        told = correct_by_chat(t, evidence).select("rec_id", "line_idx", "fixed")
+        return t.join(told, ["rec_id", "line_idx"], "left").withColumn("text", F.coalesce("fixed", "text")).select(plain)
+
+    def by_lyrics(t: DataFrame) -> DataFrame:
+        matches = match_lyrics(t, lyrics)
+        mine = matches.join(best_documents(match_reports(matches)).select("rec_id", "doc"), ["rec_id", "doc"], "left_semi")
+        return apply_plans(t, lyric_plans(t, mine, lyrics))
+
+    return in_stages(lines.select(plain), [("keywords", by_words), ("chat", by_chat), ("lyrics", by_lyrics)])
+
+
 # ---- evidence for line breaks ----
 
 

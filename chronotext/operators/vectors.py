@@ -107,15 +107,18 @@ def music_presence(bass: Column, high: Column, flat: Column, side: Column) -> Co
     return clip(s + F.coalesce(0.15 * clip((side - 0.10) / 0.35), F.lit(0.0)))
 
 
-def keep_decision(rows: DataFrame, w: dict[str, float], threshold: float) -> DataFrame:
-    """Weighted score, whether to keep, and ordered reasons."""
+def keep_decision(rows: DataFrame, w: dict[str, float], threshold: float, support: Column | None = None, bonus: float = 0.10) -> DataFrame:
+    """Weighted score, whether to keep, and ordered reasons. ``support`` is what the context says for a row, 0 to 1: at most ``bonus`` more, a reason above 0.3."""
     sim, music = clip(F.col("vocal_sim")), F.col("music")
     score = (
         w["sim"] * sim - w["music"] * music * (1 - sim) - F.coalesce(w["side"] * F.greatest(F.lit(0.0), F.col("side_ratio") - 0.12), F.lit(0.0))
         - w["flat"] * F.greatest(F.lit(0.0), F.col("flatness") - 0.12) - w["loud"] * F.greatest(F.lit(0.0), 0.85 - F.col("loud_cv"))
     )
+    told = [] if support is None else [F.when(support > 0.3, "context")]
+    if support is not None:
+        score = score + bonus * clip(F.coalesce(support, F.lit(0.0)))
     reasons = F.array_compact(F.array(
-        F.when(sim < 0.35, "low similarity").when(sim < 0.50, "medium similarity"), F.when(music > 0.45, "music"), F.when(F.col("side_ratio") > 0.25, "wide stereo"),
+        F.when(sim < 0.35, "low similarity").when(sim < 0.50, "medium similarity"), F.when(music > 0.45, "music"), F.when(F.col("side_ratio") > 0.25, "wide stereo"), *told,
     ))
     scored = rows.withColumn("score", score).withColumn("keep", F.col("score") >= threshold).withColumn("why", reasons)
     return scored.withColumn("why", F.when(~F.col("keep") & (F.size("why") == 0), F.array(F.lit("low score"))).otherwise(F.col("why")))

@@ -223,6 +223,16 @@ def keep_decision(spark, d):
     return vc.keep_decision(f, WEIGHTS, 0.12).select("win", F.round("score", 6).alias("score"), "keep", F.array_join("why", "; ").alias("reasons"))
 
 
+@query(f"""{with_views('feature')}, m as (select *, {MUSIC} as music, {CLIP.format('vocal_sim')} as sim, case when win % 3 = 0 then win % 10 / 5.0 end as support from feature),
+s as (select *, sim - 0.55*music*(1.0-sim) - coalesce(case when side_ratio is not null then 0.35*greatest(0.0, side_ratio-0.12) end, 0.0) - 0.05*greatest(0.0, flatness-0.12) - 0.10*greatest(0.0, 0.85-loud_cv) + 0.10*{CLIP.format('coalesce(support, 0.0)')} as score from m)
+select win, round(score, 6) as score, score >= 0.12 as keep, coalesce(support > 0.3, false) as told from s""")
+def supported_decision(spark, d):
+    """The same with what the context says for a row."""
+    f = feature(spark, d).withColumn("music", vc.music_presence(F.col("bass_ratio"), F.col("high_ratio"), F.col("flatness"), F.col("side_ratio")))
+    f = f.withColumn("support", F.when(F.col("win") % 3 == 0, F.col("win") % 10 / 5.0))
+    return vc.keep_decision(f, WEIGHTS, 0.12, F.col("support")).select("win", F.round("score", 6).alias("score"), "keep", F.array_contains("why", "context").alias("told"))
+
+
 @query(f"{with_views('activity')} select round(quantile_cont(level, 0.10), 6) as p10, round(quantile_cont(level, 0.15), 6) as p15, round(quantile_cont(level, 0.95), 6) as p95 from activity")
 def percentile_floor(spark, d):
     return sg.floors(activity(spark, d), "level")

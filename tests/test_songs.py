@@ -218,3 +218,19 @@ def test_dictionary(spark, monkeypatch):
     monkeypatch.setattr(pt, "BLOCK_PATTERNS", 5)
     assert shown(dc.correct_by_dictionary(df, table)) == want
     assert dc.correct_by_dictionary(df, table.limit(0)).where("changed").count() == 0
+
+
+def test_stages_fail_by_themselves(spark):
+    line = "rec_id long, line_idx long, start_ms long, end_ms long, text string"
+    lines = spark.createDataFrame([(1, 0, 0, 900, "tha cat sat here"), (1, 1, 1000, 1900, "another line")], line)
+    chat = spark.createDataFrame([], "rec_id long, ord long, t_ms long, kind string, text string, gift string, user_name string")
+    lyrics = spark.createDataFrame([], "doc long, lyric_idx long, text string")
+    fine, failed = mt.isolated_correct(lines, [("the", ["tha"])], chat, lyrics)
+    assert failed == {} and sorted(r.text for r in fine.collect()) == ["another line", "the cat sat here"]
+    assert sorted(map(tuple, fine.collect())) == sorted(map(tuple, mt.post_correct(lines, [("the", ["tha"])], chat, lyrics).collect()))
+    got, failed = mt.isolated_correct(lines, [("the", ["tha"])], chat.drop("kind"), lyrics)
+    assert set(failed) == {"chat"} and sorted(r.text for r in got.collect()) == ["another line", "the cat sat here"]
+    up = lambda t: t.withColumn("text", F.upper("text"))
+    dies = lambda t: t.withColumn("text", F.raise_error(F.lit("no")).cast("string"))
+    got, failed = mt.in_stages(lines, [("one", up), ("two", dies), ("three", up)])
+    assert set(failed) == {"two"} and sorted(r.text for r in got.collect()) == ["ANOTHER LINE", "THA CAT SAT HERE"]
