@@ -107,6 +107,20 @@ def line_stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def readable_spans(rows: DataFrame, width_px: int = 800, line_px: int = 36, least_ms: int = 5_000, most_ms: int = 600_000) -> DataFrame:
+    """``rec_id, start_ms, span_ms``: where a view of a recording begins, and how long it is for its median line to be ``line_px`` wide.
+
+    The median is the upper of two; lines of no length count as two seconds. The span lies within the bounds, and is no longer than the recording.
+    """
+    place = Window.partitionBy("rec_id")
+    t = rows.withColumn("__d", F.col("end_ms") - F.col("start_ms"))
+    t = t.withColumn("__r", F.row_number().over(place.orderBy("__d")) - 1).withColumn("__n", F.count(F.lit(1)).over(place))
+    mid = F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2), F.col("__d")))
+    g = t.groupBy("rec_id").agg(F.min_by("start_ms", "line_idx").alias("start_ms"), F.coalesce(F.nullif(mid, F.lit(0)), F.lit(2000)).alias("d"), F.max("end_ms").alias("all"))
+    high = F.least(F.lit(most_ms), F.greatest(F.lit(least_ms), F.col("all")))
+    return g.select("rec_id", "start_ms", F.greatest(F.lit(least_ms), F.least(high, F.floor(width_px * F.col("d") / line_px))).cast("long").alias("span_ms"))
+
+
 def insert_line(rows: DataFrame, new: DataFrame) -> DataFrame:
     """Adds ``rec_id, start_ms, end_ms, text`` lines that end after they start; the table is sorted by start."""
     fresh = new.where("end_ms > start_ms").select("rec_id", F.lit(-1).cast("long").alias("line_idx"), "start_ms", "end_ms", "text", F.lit(1).alias("p"))

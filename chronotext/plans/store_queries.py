@@ -106,6 +106,14 @@ def recovered_projects(spark, d):
     return ed.recovered(o.where("at % 2 = 0"), o.where("at % 2 = 1")).withColumnRenamed("at", "saved")
 
 
+@query(f"""{with_views('ref_line')}, r as (select *, end_ms - start_ms as d, row_number() over (partition by rec_id order by end_ms - start_ms) - 1 as r, count(*) over (partition by rec_id) as n from ref_line),
+g as (select rec_id, min_by(start_ms, line_idx) as start_ms, coalesce(nullif(max(d) filter (where r = n // 2), 0), 2000) as d, max(end_ms) as total from r group by rec_id)
+select rec_id, start_ms, greatest(5000, least(least(600000, greatest(5000, total)), 800 * d // 36)) as span_ms from g""")
+def readable_spans(spark, d):
+    """How much of a recording a view shows so that its lines can be read."""
+    return ed.readable_spans(ref_line(spark, d))
+
+
 # ---- recordings over many tasks ----
 
 
