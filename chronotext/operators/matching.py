@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from ..functions.scalars import closest_part
 from ..functions.text import normal_alnum
 from ..sources.folders import written
 
@@ -22,13 +21,19 @@ MATRIX_BITS = 1 << 22  # beyond it a pair's matrix of equal characters is not la
 
 
 class CharRows:
-    """A text prepared for :func:`matched_chars`: for each of its characters, where it stands, as a row of bits."""
+    """A text prepared for :func:`matched_chars`: for each of its characters, where it stands, as a row of bits.
 
-    def __init__(self, text: str):
+    ``rare``: as ``difflib`` does by default, in a text of 200 characters or more those that make up over a hundredth of it begin no match, but extend one.
+    """
+
+    def __init__(self, text: str, rare: bool = False):
+        self.extends = rare and len(text) >= 200
         self.text, self.width = text, len(text) // 8 + 1  # a bit is left free, so that no diagonal runs on in the next row
         at: dict[str, int] = {}
         for j, c in enumerate(text):
             at[c] = at.get(c, 0) | 1 << j
+        if self.extends:
+            at = {c: x for c, x in at.items() if x.bit_count() <= len(text) // 100 + 1}
         self.rows = {c: x.to_bytes(self.width, "little") for c, x in at.items()}
         self.none = bytes(self.width)
 
@@ -43,9 +48,9 @@ def matched_chars(a: str, b: str, need: float = 0.0, prepared: CharRows | None =
     left = min(n, m)
     if left < need:
         return -1
-    if n * m > MATRIX_BITS:
-        return _matched_long(a, b, need)
     r = prepared or CharRows(b)
+    if n * m > MATRIX_BITS:
+        return _matched_long(a, b, need) if not r.extends else sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
     get, none, stride = r.rows.get, r.none, 8 * r.width
     matrix = int.from_bytes(b"".join([get(c, none) for c in a]), "little")
     ones, total, regions = None, 0, [(0, n, 0, m)]
@@ -58,15 +63,23 @@ def matched_chars(a: str, b: str, need: float = 0.0, prepared: CharRows | None =
             if ones is None:
                 ones = int.from_bytes((b"\x01" + none[1:]) * n, "little")
             runs = (matrix >> a0 * stride) & (((1 << b1) - (1 << b0)) * (ones & (1 << (a1 - a0) * stride) - 1))
-        if not runs:
+        i, j, size = a0, b0, 0
+        if runs:
+            size, moved = 1, runs >> stride + 1
+            while longer := runs & moved:
+                runs, size, moved = longer, size + 1, moved >> stride + 1
+            i, j = divmod((runs & -runs).bit_length() - 1, stride)
+            i += a0
+        if r.extends:
+            while i > a0 and j > b0 and a[i - 1] == b[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < a1 and j + size < b1 and a[i + size] == b[j + size]:
+                size += 1
+        if not size:
             if total + left < need:
                 return -1
             continue
-        size, moved = 1, runs >> stride + 1
-        while longer := runs & moved:
-            runs, size, moved = longer, size + 1, moved >> stride + 1
-        i, j = divmod((runs & -runs).bit_length() - 1, stride)
-        i, total = i + a0, total + size
+        total += size
         for part in ((a0, i, b0, j), (i + size, a1, j + size, b1)):
             if (x := min(part[1] - part[0], part[3] - part[2])) > 0:
                 regions.append(part)
@@ -114,9 +127,28 @@ def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+def ratio(a: str, b: str) -> float:
+    """Twice the matched characters over both lengths, as ``difflib`` has it (see ``CharRows``)."""
+    return 2.0 * matched_chars(a, b, prepared=CharRows(b, rare=True)) / (len(a) + len(b)) if a or b else 1.0
+
+
+def closest_part(long_text: str, target: str) -> str:
+    """The part of a text that is as long as the target and most like it (the first of equals); parts that cannot beat the best so far are left early."""
+    n = len(target)
+    if len(long_text) <= n:
+        return long_text
+    ready, best, at = CharRows(target, rare=True), -1, 0
+    for i in range(len(long_text) - n + 1):
+        if (got := matched_chars(long_text[i : i + n], target, best + 1, ready)) > best:
+            best, at = got, i
+            if best == n:
+                break
+    return long_text[at : at + n]
+
+
 @F.pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -201,7 +233,7 @@ def _evidence(text: pd.Series, cand: pd.Series) -> pd.DataFrame:
     for t, c in zip(text, cand, strict=True):
         c = closest_part(c, t) if len(c) > 1.8 * len(t) else c
         near = abs(len(c) - len(t)) <= max(4, len(t) // 2)
-        out.append((c, difflib.SequenceMatcher(None, t, c).ratio() if near else 0.0))
+        out.append((c, ratio(t, c) if near else 0.0))
     return pd.DataFrame(out, columns=["part", "score"])
 
 

@@ -234,3 +234,16 @@ def test_stages_fail_by_themselves(spark):
     dies = lambda t: t.withColumn("text", F.raise_error(F.lit("no")).cast("string"))
     got, failed = mt.in_stages(lines, [("one", up), ("two", dies), ("three", up)])
     assert set(failed) == {"two"} and sorted(r.text for r in got.collect()) == ["ANOTHER LINE", "THA CAT SAT HERE"]
+
+
+def test_ratios_of_long_texts():
+    """Very common characters of long texts begin no match, as in the standard library."""
+    r = random.Random(15)
+    for _ in range(120):
+        letters = r.choice(["ab", "abcdefghijklmnop", "abcdefghijklmnopqrstuvwxyz東京都é0123456789"])
+        a, b = ("".join(r.choice(letters) for _ in range(r.choice([0, 3, 150, 199, 200, 260, 420]))) for _ in range(2))
+        b = b[: r.randint(0, len(b))] + a[r.randint(0, len(a)) :] + b
+        assert mt.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+    for _ in range(25):
+        text, target = ("".join(r.choice("abcdeéx") for _ in range(n)) for n in (r.randint(0, 300), r.choice([0, 5, 40, 210])))
+        assert mt.closest_part(text, target) == sc.closest_part(text, target)
