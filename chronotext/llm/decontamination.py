@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, frugal
 
 PIECE, PASSAGE, STRIDE = 64, 128, 64
 INDEX_BLOCK, POSTING_BLOCK, STEP = 5_000, 4, 2_000
@@ -112,7 +112,7 @@ def _pieces(items: DataFrame) -> DataFrame:
                 rows += [(item, words[i * len(words) // n : (i + 1) * len(words) // n]) for i in range(n)]
             yield pd.DataFrame(rows, columns=["item_id", "words"])
 
-    return items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(into_pieces, "item_id long, words array<string>")
+    return items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(frugal(into_pieces), "item_id long, words array<string>")
 
 
 def build_index(rows: list[tuple[int, list[str]]], df: dict[str, int], n_pieces: int, mean_len: float, min_score: float) -> Index:
@@ -216,7 +216,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 rows = [(r, d, *x) for r, d, t in zip(pdf["row"], pdf["doc_id"], pdf["text"], strict=True) for x in leaks_of(t, index.value, min_question, min_answer, min_whole)]
                 yield pd.DataFrame(rows, columns=["row", "doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start"]).astype({"doc_id": "Int64"})
 
-        found.append(asked.mapInPandas(query, f"row long, {OUT}"))
+        found.append(asked.mapInPandas(frugal(query), f"row long, {OUT}"))
     if len(found) < 2:
         return found[0].drop("row") if found else docs.sparkSession.createDataFrame([], OUT)
     out = found[0]
@@ -232,8 +232,9 @@ def drop_leaking(docs: DataFrame, items: DataFrame, text_col: str = "text", min_
 
     def clean(index) -> Column:
         @F.pandas_udf("boolean")
-        def no_leak(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: not leaks_of(t, index.value, min_question, min_answer, min_whole)).astype(bool)
+        def no_leak(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            clear = lambda t: not leaks_of(t, index.value, min_question, min_answer, min_whole)
+            yield from frugal(lambda own: (texts.map(clear).astype(bool) for texts in own))(batches)
 
         return no_leak(F.col(text_col))
 

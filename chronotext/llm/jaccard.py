@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import WordHashes, cut, mix64, partitions, shingle_hashes, spent, word_bytes
+from .common import WordHashes, cut, frugal, mix64, partitions, shingle_hashes, spent, word_bytes
 from .components import components
 
 BLOCK, BLOCK_GRAMS = 256, 1_000_000
@@ -355,7 +355,7 @@ def _with_grams(rows: DataFrame, tasks: DataFrame, n_words: int, order: list[str
     """``key, member, node, grams`` for each of ``tasks(id, h1, h2, key, member)``, sorted within partitions."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, names = WordHashes(), ["key", "member", "node", "grams"]
+        hashes, names = WordHashes(200_000), ["key", "member", "node", "grams"]
         text, g, h, sent = None, np.empty(0, np.uint64), None, set()
         for pdf in batches:
             out = []
@@ -374,7 +374,7 @@ def _with_grams(rows: DataFrame, tasks: DataFrame, n_words: int, order: list[str
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    loaded = _perhaps(rows, tasks).join(tasks, "id").mapInPandas(grams, "key long, member boolean, node long, grams binary")
+    loaded = _perhaps(rows, tasks).join(tasks, "id").mapInPandas(frugal(grams), "key long, member boolean, node long, grams binary")
     return loaded.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions(*order)
 
 
@@ -391,14 +391,14 @@ def _star_links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n_words:
             ok = [near([np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)], np.array([m, n], np.int64), np.arange(2), p, q) for x, y, m, n in pair]
             yield pdf.loc[np.array([len(x) > 0 for x in ok], bool), ["node", "head", "node_h2", "node_id", "head_h2", "head_id"]]
 
-    edges = best.join(mine, "node").join(its, "head").mapInPandas(may_link, "node long, head long, node_h2 long, node_id long, head_h2 long, head_id long")
+    edges = best.join(mine, "node").join(its, "head").mapInPandas(frugal(may_link), "node long, head long, node_h2 long, node_id long, head_h2 long, head_id long")
     edges = cut(edges)
     many = edges.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
     dealt = edges.join(many, "head").withColumn("key", F.xxhash64("head", F.pmod(F.xxhash64("node"), "cuts")))
     nodes = dealt.select(F.col("node_id").alias("id"), F.col("node").alias("h1"), F.col("node_h2").alias("h2"), "key", F.lit(True).alias("member"))
     heads = dealt.select(F.col("head_id").alias("id"), F.col("head").alias("h1"), F.col("head_h2").alias("h2"), "key", F.lit(False).alias("member")).distinct()
     tasks = cut(nodes.unionByName(heads))
-    links = cut(_with_grams(rows, tasks, n_words, ["key", "member", "node"]).mapInPandas(_stars(p, q), "a long, b long"))
+    links = cut(_with_grams(rows, tasks, n_words, ["key", "member", "node"]).mapInPandas(frugal(_stars(p, q)), "a long, b long"))
     spent(edges, tasks)
     return links
 
@@ -419,12 +419,12 @@ def _block_links(rows: DataFrame, groups: DataFrame, classes: DataFrame, known:
     named = cut(groups.join(known, "node", "left").join(sets.select("node", "n"), "node").select("gid", "node", "n", F.coalesce("component", "node").alias("label")))
     mixed = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("gid")
     keyed = _blocks(named.join(cut(mixed), "gid"), "gid").select("key", "node", "label").join(sets.select("node", "n", "hist"), "node")
-    may = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInPandas(_bounded(p, q), "a long, b long").distinct())
+    may = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInPandas(frugal(_bounded(p, q)), "a long, b long").distinct())
     # What may link is near copies, so its components are small blocks; each set travels to one, however many signatures it shares.
     clusters = components(may)
     tasks = _blocks(clusters.join(sets.select("node", "n"), "node"), "component").select("key", "node").join(sets.select("node", "h2", "id"), "node")
     tasks = cut(tasks.select("id", F.col("node").alias("h1"), "h2", "key", F.lit(True).alias("member")))
-    links = cut(_with_grams(rows, tasks, n_words, ["key", "node"]).mapInPandas(_products(p, q), "a long, b long"))
+    links = cut(_with_grams(rows, tasks, n_words, ["key", "node"]).mapInPandas(frugal(_products(p, q)), "a long, b long"))
     spent(named, may, clusters, tasks)
     return links
 
@@ -433,14 +433,14 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, p: int = 80, q: int =
     """``doc_id, n_shingles, component_id`` for every row; sets link when q * intersection >= p * union."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    found = cut(rows.mapInPandas(_sets(n_words), "id long, n long, h1 long, h2 long, hist binary"))
+    found = cut(rows.mapInPandas(frugal(_sets(n_words)), "id long, n long, h1 long, h2 long, hist binary"))
     sets = found.where("n >= 0")
     often = found.where("n < 0").groupBy("h1").agg(F.sum("n").alias("n")).orderBy("n", "h1").limit(FREQUENT).select("h1").toPandas()
     frequent = spark.sparkContext.broadcast(np.sort(often["h1"].to_numpy(np.int64).view(np.uint64)))
     classes = cut(sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("hist").alias("hist")))
 
-    sigs = rows.select("text").mapInPandas(_signature_rows(n_words, p, q, frequent), "sig long, node long")
-    together = sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node").mapInPandas(_groups, "gid long, node long")
+    sigs = rows.select("text").mapInPandas(frugal(_signature_rows(n_words, p, q, frequent)), "sig long, node long")
+    together = sigs.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "node").mapInPandas(frugal(_groups), "gid long, node long")
     groups = cut(together.groupBy("gid", "node").agg(F.count(F.lit(1)).alias("n_sigs")))
     frequent.unpersist()
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import frugal, mix64
 
 SPACE = "▁"
 CHUNK = re.compile(rf"[\n{SPACE}]| *[^ \n{SPACE}]+| +")
@@ -304,7 +304,7 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
             keys = pdf["doc_id"].fillna(0).astype("int64")
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": [None if t is None else len(t) for t in pdf["text"]], "ids": of.encode_all(pdf["text"].tolist(), keys.tolist())}).astype({"doc_id": "Int64", "n_chars": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_chars long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(frugal(run), "doc_id long, n_chars long, ids binary")
 
 
 def decode_column(ids: Column, model_path: str) -> Column:

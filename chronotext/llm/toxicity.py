@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, frugal
 
 TOKEN = re.compile(r"\w+")
 LEXICONS, CORRELATED = 24, 0.3
@@ -102,7 +102,7 @@ def _word_counts(sample: DataFrame, weight: Callable[[str | None, int, set[str]]
         if n:
             yield pd.DataFrame({"word": list(n), "pos": [float(pos[w]) for w in n], "n": list(n.values())})
 
-    return sample.mapInPandas(count, "word string, pos double, n long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    return sample.mapInPandas(frugal(count), "word string, pos double, n long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 
 
 def _telling(counts: DataFrame, share: float, most: int, least: float) -> list:
@@ -178,7 +178,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
                 count += 1
         yield pd.DataFrame({"at": np.arange(m * m + 1), "n": [*total.ravel(), float(count)]})
 
-    summed = {r["at"]: r["n"] for r in texts.select("text").mapInPandas(moments, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    summed = {r["at"]: r["n"] for r in texts.select("text").mapInPandas(frugal(moments), "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     _label_model(model, np.array([summed[i] for i in range(m * m)]).reshape(m, m), summed[m * m])
 
     def belief(text: str | None, toxic: int, words: set[str]) -> float:
@@ -192,15 +192,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
             out = [(f := model.words_in(t), model.features(t, f), belief(t, 0, f))[1:] for t in pdf["text"]]
             yield pd.DataFrame(out, columns=["at", "y"])
 
-    got = sample.mapInPandas(rows, "at array<int>, y double").toPandas()
+    got = sample.mapInPandas(frugal(rows), "at array<int>, y double").toPandas()
     model.weights, model.bias = _logistic([list(r) for r in got["at"]], got["y"].to_numpy(), len(model.words) + len(PATTERNS))
     return model
 
 
 def score_column(model: ToxicityModel, text: Column) -> Column:
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(model.score).astype("float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from frugal(lambda own: (texts.map(model.score).astype("float64") for texts in own))(batches)
 
     return score(text)
 
