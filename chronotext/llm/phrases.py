@@ -14,9 +14,8 @@
 A word or language that holds most rows is at most one row for each block before it is counted, and a key one entry.
 
 Defined results: null and empty texts have no words; a null language is ``und``; repeated rows count each; an empty table
-gives no phrases; very long texts are cut into slices at white space, and a block goes on beyond its bound
-only until a piece ends. Other
-columns are ignored. Up to 2**32 - 2 frequent words can be numbered.
+gives no phrases; very long texts are cut into slices at white space, and a block goes on beyond its bound only until a piece
+ends. Other columns are ignored. Up to 2**32 - 2 frequent words can be numbered.
 """
 
 from __future__ import annotations
