@@ -154,9 +154,10 @@ def lyric_token_rows(spark, d):
 def with_words(lines):
     """Words between spaces with even shares of the line's time; a word keeps the space before it."""
     w = F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0))
-    t = lines.withColumn("__w", w).withColumn("__n", F.size("__w"))
-    at = lambda i: (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * i / F.col("__n"))).cast("long")
-    return t.withColumn("words", F.transform("__w", lambda x, i: F.struct(x.alias("text"), at(i).alias("start_ms"), at(i + 1).alias("end_ms")))).drop("__w", "__n")
+    at = lambda z, i: (z["a"] + F.floor((z["e"] - z["a"]) * i / F.size(z["w"]))).cast("long")
+    word = lambda z, x, i: F.struct(x.alias("text"), at(z, i).alias("start_ms"), at(z, i + 1).alias("end_ms"))
+    found = tx.once(F.struct(w.alias("w"), F.col("start_ms").alias("a"), F.col("end_ms").alias("e")), lambda z: F.transform(z["w"], lambda x, i: word(z, x, i)))
+    return lines.withColumn("words", found)
 
 
 @query(f"""{with_views('ref_line')}, x as (select *, len(regexp_extract_all(text, '\\s*\\S+')) as n from ref_line)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decode_udf, tokens_udf
+from ..functions.text import once
 from .formats import parse_log_json, parse_log_xml, parse_lrc, parse_plain
 
 # Fixed values.
@@ -101,12 +102,17 @@ _SEGMENT = f"array<struct<start:double,start_time:double,end:double,end_time:dou
 
 def letters(text: Column) -> Column:
     """A text's characters but its spaces."""
-    return F.filter(F.split(text, ""), lambda c: F.trim(c) != "")
+    return F.filter(F.split(_spaceless(text), ""), lambda c: c != "")
+
+
+def _spaceless(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit(""))
 
 
 def spread(chars: Column, start: Column, step: Column) -> Column:
     """Characters as words, one after the other, ``step`` each."""
-    return F.transform(chars, lambda c, i: F.struct(c.alias("text"), (start + step * i).alias("start"), (start + step * (i + 1)).alias("end"), F.lit(1.0).alias("prob")))
+    word = lambda z, c, i: F.struct(c.alias("text"), (z["a"] + z["d"] * i).alias("start"), (z["a"] + z["d"] * (i + 1)).alias("end"), F.lit(1.0).alias("prob"))
+    return once(F.struct(chars.alias("c"), start.alias("a"), step.alias("d")), lambda z: F.transform(z["c"], lambda c, i: word(z, c, i)))
 
 
 def parse_responses(texts: DataFrame, key: str, text: str, strict: bool = True) -> DataFrame:
@@ -116,13 +122,17 @@ def parse_responses(texts: DataFrame, key: str, text: str, strict: bool = True)
     is spread over its time; segments with neither go; sorted by start. An unknown shape is an error, or gives no rows if ``strict`` is off; null
     texts and empty lists give none.
     """
-    seg = F.coalesce(*[F.nullif(F.from_json(text, f"struct<{n}:{_SEGMENT}>")[n], F.array().cast(_SEGMENT)) for n in ("segments", "results", "data")], F.from_json(text, _SEGMENT))
+    names = ("segments", "results", "data")
+    held = F.from_json(text, f"struct<{','.join(f'{n}:{_SEGMENT}' for n in names)}>")
+    keyed = once(held, lambda o: F.coalesce(*[F.when(F.size(o[n]) > 0, o[n]) for n in names]))
+    listed = F.from_json(text, _SEGMENT)
     if strict:
         known = F.lit(False)
-        for n in ("segments", "results", "data"):
+        for n in names:
             known = known | F.coalesce(F.get_json_object(text, f"$.{n}").startswith("["), F.lit(False))
         known = known | F.col(text).rlike(r"^\s*\[") | F.col(text).isNull()
-        seg = F.when(known, seg).otherwise(F.raise_error(F.concat(F.lit("a recognition response of unknown shape: "), F.substring(text, 1, 60))))
+        listed = F.when(known, listed).otherwise(F.raise_error(F.concat(F.lit("a recognition response of unknown shape: "), F.substring(text, 1, 60))))
+    seg = F.coalesce(keyed, listed)
     s = texts.select(key, F.posexplode(seg).alias("ord", "s"))
     start = F.coalesce("s.start", "s.start_time", F.lit(0.0))
     s = s.withColumn("start", start).withColumn("end", F.coalesce("s.end", "s.end_time", "start")).withColumn("text", F.trim(F.coalesce(F.nullif(F.col("s.text"), F.lit("")), "s.sentence", F.lit(""))))
@@ -132,13 +142,15 @@ def parse_responses(texts: DataFrame, key: str, text: str, strict: bool = True)
         return F.struct(F.coalesce(F.nullif(w["text"], F.lit("")), w["word"], F.lit("")).alias("text"), at.alias("start"), F.coalesce(w["end"], at).alias("end"), F.coalesce(w["prob"], w["probability"], F.lit(1.0)).alias("prob"))
 
     own = F.filter(F.transform(F.coalesce("s.words", F.array().cast(f"array<{_WORD}>")), named), lambda w: w["text"] != "")
-    s = s.withColumn("__own", own).withColumn("__c", letters(F.col("text"))).withColumn("__step", F.greatest(F.lit(0.0), F.col("end") - F.col("start")) / F.greatest(F.lit(1), F.size("__c")))
-    words = F.when(F.size("__own") > 0, F.col("__own")).otherwise(spread(F.col("__c"), F.col("start"), F.col("__step")))
-    s = s.withColumn("words", words).where(F.size("words") > 0)
-    whole = F.when(F.col("text") != "", F.col("text")).otherwise(F.array_join(F.transform("words", lambda w: w["text"]), ""))
+    # Segments are numbered before a text is spread, so that no letters are sorted.
     n = F.row_number().over(Window.partitionBy(key).orderBy("start", "ord")) - 1
+    s = s.withColumn("__own", own).withColumn("__n", F.length(_spaceless(F.col("text")))).where((F.size("__own") > 0) | (F.col("__n") > 0)).withColumn("seg_idx", n.cast("long"))
+    step = F.greatest(F.lit(0.0), F.col("end") - F.col("start")) / F.greatest(F.lit(1), F.col("__n"))
+    words = F.when(F.size("__own") > 0, F.col("__own")).otherwise(spread(letters(F.col("text")), F.col("start"), step))
+    s = s.withColumn("words", words)
+    whole = F.when(F.col("text") != "", F.col("text")).otherwise(F.array_join(F.transform("words", lambda w: w["text"]), ""))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return s.select(key, n.cast("long").alias("seg_idx"), "start", "end", whole.alias("text"), "words", zero("s.avg_logprob").alias("avg_logprob"), zero("s.no_speech_prob").alias("no_speech_prob"))
+    return s.select(key, "seg_idx", "start", "end", whole.alias("text"), "words", zero("s.avg_logprob").alias("avg_logprob"), zero("s.no_speech_prob").alias("no_speech_prob"))
 
 
 def stamped_words(text: Column, times: Column) -> Column:
