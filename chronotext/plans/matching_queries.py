@@ -163,22 +163,36 @@ WORDS = [("the", ["tha", "thn"]), ("und", ["unn"]), ("que", ["ques", "qua"]), ("
 FORMS = mt.keyword_map(WORDS)
 
 
+#: The longest common run of x and y, the first of equals in x, then in y.
+RUN = """list_sort(flatten(list_transform(range(1, length(x) + 1), lambda i: flatten(list_transform(range(1, length(y) + 1), lambda j:
+ list_transform(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda n: substr(x, i, n) = substr(y, j, n)), lambda n: {'s': -n, 'i': i, 'j': j}))))))[1]"""
+
+
 def _folded() -> str:
-    """The dictionary's forms applied one after the other, each a step of common table expressions."""
-    steps, at = [f"k0 as (select rec_id, line_idx, text, text as fixed, {N2.format('text')} as n from ref_line)"], 0
+    """The dictionary's forms applied one after the other, each a step of common table expressions; then the whole words that an unchanged line is like, by matching blocks."""
+    steps, at = [f"k0 as (select rec_id, line_idx, text, text as fixed, {N2.format('text')} as n, {N2.format('text')} as n2 from ref_line)"], 0
     for form, word in FORMS:
         if form == word:
             continue
         hit = f"contains(n, '{form}') and not contains(text, '{word}') and contains(text, '{form}')"
         new = f"replace(text, '{form}', '{word}')"
-        steps.append(f"k{at + 1} as (select rec_id, line_idx, text, case when {hit} then {new} else fixed end as fixed, case when {hit} then {N2.format(new)} else n end as n from k{at})")
+        steps.append(f"k{at + 1} as (select rec_id, line_idx, text, case when {hit} then {new} else fixed end as fixed, case when {hit} then {N2.format(new)} else n end as n, n2 from k{at})")
         at += 1
-    return f"{REF}, {', '.join(steps)} select rec_id, line_idx, md5(fixed) as fixed_md5, fixed <> text as changed from k{at}"
+    words = ", ".join(f"('{w}')" for w, _ in WORDS)
+    return f"""{with_views("ref_line", recursive=True)}, {', '.join(steps)}, words as (select word, {N2.format('word')} as w from (values {words}) v(word)),
+near as (select distinct n2 as t, w from k{at}, words where fixed = text and length(n2) >= 2 and abs(length(n2) - length(w)) <= 4),
+parts(t, w, x, y, b) as (select t, w, x, y, {RUN} from (select t, w, t as x, w as y from near) z
+ union all select t, w, x, y, {RUN} from (select t, w, case when side = 0 then substr(x, 1, b.i - 1) else substr(x, b.i - b.s) end as x, case when side = 0 then substr(y, 1, b.j - 1) else substr(y, b.j - b.s) end as y
+  from parts cross join (values (0), (1)) v(side) where b is not null) z),
+alike as (select t, w, case when contains(t, w) or contains(w, t) then 1.0 else round(coalesce(sum(-b.s), 0) / least(length(t), (length(t) + length(w)) / 2.0), 4) end as score from parts group by t, w),
+best as (select t, word, row_number() over (partition by t order by score desc, word) as r from alike join words using (w) where score >= 0.72),
+done as (select rec_id, line_idx, text, case when fixed = text then coalesce(word, text) else fixed end as fixed from k{at} left join best on r = 1 and t = n2)
+select rec_id, line_idx, md5(fixed) as fixed_md5, fixed <> text as changed from done"""
 
 
 @query(_folded())
 def keyword_replace(spark, d):
-    """Known wrong forms become their words; no line here is like a whole word."""
+    """Known wrong forms become their words; else a line that is like a whole word becomes it."""
     return mt.correct_by_keywords(ref_line(spark, d), WORDS).select("rec_id", "line_idx", F.md5("fixed").alias("fixed_md5"), "changed")
 
 
