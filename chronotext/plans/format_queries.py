@@ -51,7 +51,7 @@ case kind when 'chat' then 'a < ' || term when 'sc' then term else '' end as "te
 def split_log_rows(spark, d):
     """The same logs as files, read by ranges of 64 KB."""
     folder = folders.fresh(spark, "logs")
-    _xml(spark, d).write.partitionBy("rec_id").text(folder)
+    fm.write_texts(_xml(spark, d), folder)
     ms, rec = F.floor(F.col("t") * 1000 + 0.5).cast("long"), F.regexp_extract("path", r"rec_id=(\d+)", 1).cast("long")
     return sp.read_log_rows(spark, folder, 1 << 16).select(rec.alias("rec_id"), ms.alias("t_ms"), "kind", "user_id", "user_name", "text", "count")
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,5 +150,29 @@ def documents(blocks: DataFrame, sep: str = "\n\n", head: str = "", tail: str =
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """One row of text per recording, partitioned by recording."""
-    texts.write.mode("overwrite").partitionBy("rec_id").text(path)
+    """One row of text per recording, in a folder ``rec_id=...`` of its own as partitioned tables have it, of any store that pyarrow opens.
+
+    With very many small files a table's commit and the settings of each file take longer than the bytes. So tasks write the files themselves: a file counts
+    once it has its name, which a second try of its task gives again.
+    """
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at)
+    store.delete_dir_contents(at)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = fs.FileSystem.from_uri(path)
+        task, seen = TaskContext.get(), Counter()
+        for pdf in batches:
+            for rec, text in zip(pdf["rec"], pdf["text"], strict=True):
+                folder = f"{at}/rec_id={'__HIVE_DEFAULT_PARTITION__' if rec is None else quote(rec, safe=' ')}"
+                name = f"part-{task.partitionId():05d}-{seen[rec]}.txt"
+                seen[rec] += 1
+                store.create_dir(folder)
+                with store.open_output_stream(draft := f"{folder}/_{name}.{task.taskAttemptId()}") as out:
+                    out.write(f"{text or ''}\n".encode())
+                store.move(draft, f"{folder}/{name}")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    texts.select(F.col("rec_id").cast("string").alias("rec"), "text").mapInPandas(write, "n long").agg(F.sum("n")).collect()

@@ -3,7 +3,7 @@
 ``log_nodes`` gives ``path, offset, tag, record`` for each complete node of a log, ``subtitle_blocks`` gives ``path, offset, record``
 for each block between blank lines. A record belongs to the range that holds its first byte: a reader starts at the first one that
 begins in its range and reads on past the end for the last one's rest, so one large file spreads over many tasks and no range needs
-another. Small files share a task. Only the bounds of records are found in Python; what is in them is parsed by expressions
+another. Small files share a task, and so do many small ranges. Only the bounds of records are found in Python; what is in them is parsed by expressions
 (:func:`read_log_rows`, :func:`read_subtitle_rows`).
 
 Filters on ``path`` and ``tag`` (``=`` and ``in``) reach the readers where ``spark.sql.python.filterPushdown.enabled`` is set: other files are not opened and other nodes not
@@ -30,7 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..functions.scalars import decode_bytes
 from .formats import log_fields, subtitle_fields
 
-PARTITION_BYTES, CHUNK = 64 << 20, 4 << 20
+PARTITION_BYTES, CHUNK, TASKS = 64 << 20, 4 << 20, 512
 # The nodes of a log.
 START = re.compile(rb"<(d|gift|sc|guard)\b")
 NODE = re.compile(rb"<(d|gift|sc|guard)\b[^>]*?(?:/>|>.*?</\1>)", re.DOTALL)
@@ -61,25 +61,35 @@ class ByteRange(InputPartition):
 
 
 def ranges(bounds: dict[str, tuple[int, int]], width: int) -> list[ByteRange]:
-    """Ranges of up to ``width`` bytes; those of small files together."""
+    """Ranges of up to ``width`` bytes; those of small files together, and beyond ``TASKS`` of them several to a task (of ``PARTITION_BYTES`` at most, or one)."""
+    total = sum(max(0, high - low) for low, high in bounds.values())
+    task = max(1, min(PARTITION_BYTES, total // TASKS) // width) * width
     out, held, used = [], [], 0
     for path, (low, high) in sorted(bounds.items()):
         while low < high:
-            take = min(width - used, high - low)
+            take = min(width - used % width, high - low)
             held.append((path, low, low + take))
             low, used = low + take, used + take
-            if used == width:
+            if used == task:
                 out.append(ByteRange(held))
                 held, used = [], 0
     return [*out, ByteRange(held)] if held else out
 
 
+def steps(low: int, high: int) -> Iterator[int]:
+    """How much to read next: first the range itself, then twice as much each time, so that a small range of a large file does not read all that follows."""
+    step = max(1 << 12, high - low)
+    while True:
+        yield min(CHUNK, step)
+        step *= 2
+
+
 def nodes_in(file, low: int, high: int) -> Iterator[tuple[int, str, bytes]]:
     """Complete nodes that start in [low, high): (offset, tag, bytes)."""
     file.seek(low)
-    held, at, more = b"", low, True
+    held, at, more, step = b"", low, True, steps(low, high)
     while more:
-        chunk = file.read(CHUNK)
+        chunk = file.read(next(step))
         more = bool(chunk)
         held += chunk
         starts = list(START.finditer(held))
@@ -121,9 +131,9 @@ def blocks_in(file, low: int, high: int) -> Iterator[tuple[int, str, bytes]]:
         at, before = at + skip, before[skip:]
     blank, block, begin = at == 0, [], 0
     file.seek(low)
-    held, more = before, True
+    held, more, step = before, True, steps(low, high)
     while more:
-        chunk = file.read(CHUNK)
+        chunk = file.read(next(step))
         more = bool(chunk)
         held += chunk
         lines = held.split(b"\n")
