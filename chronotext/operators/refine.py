@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import with_context
+from ..sources.folders import written
+from .blocks import group_by_group, with_context
 from .signals import refined_edges
 from .sweeps import split_at_middles
 
@@ -57,27 +58,35 @@ def edges(lines: DataFrame, frames: DataFrame, hop_ms: int, onset: tuple[int, in
     wanted = [F.struct(F.lit(k).alias("kind"), F.rint(F.col(c) / hop_ms).cast("long").alias("at")) for k, c, _ in kinds]
     asked = lines.select("rec_id", "line_idx", F.explode(F.array(*wanted)).alias("w")).select("rec_id", "line_idx", "w.kind", "w.at").withColumn("block", F.floor(F.col("at") / width).cast("long"))
     sound = frames.where("level is not null and frame_idx >= 0").groupBy("rec_id", F.col("frame_idx").cast("long").alias("frame_idx")).agg(F.max(F.col("level").cast("double")).alias("level"))
-    sound = with_context(sound, "frame_idx", width, halo).select(F.col("rec_id").alias("of"), F.col("block").alias("within"), "frame_idx", "level")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["rec_id", "line_idx", "kind", "frame"]
-        if not left.num_rows:
-            return pa.Table.from_pylist([], pa.schema([("rec_id", pa.int64()), ("line_idx", pa.int64()), ("kind", pa.string()), ("frame", pa.int64())]))
-        low = left["block"][0].as_py() * width - halo
+    sound = with_context(sound, "frame_idx", width, halo)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = asked.select("rec_id", "block", "line_idx", "kind", "at", none("double").alias("level")).unionByName(
+        sound.select("rec_id", "block", none("long").alias("line_idx"), none("string").alias("kind"), F.col("frame_idx").alias("at"), "level")
+    )
+    plain = pa.schema([("rec_id", pa.int64()), ("line_idx", pa.int64()), ("kind", pa.string()), ("frame", pa.int64())])
+    none_found = plain.empty_table()
+
+    def run(table: pa.Table) -> pa.Table:
+        if table["kind"].null_count == table.num_rows:
+            return none_found
+        low = table["block"][0].as_py() * width - halo
+        line = table["kind"].is_valid()
+        left, right = table.filter(line), table.filter(pc.invert(line))
         level, there = np.zeros(width + 2 * halo), np.zeros(width + 2 * halo, bool)
-        at = right["frame_idx"].to_numpy() - low
+        at = right["at"].to_numpy() - low
         level[at], there[at] = right["level"].to_numpy(), True
         parts = []
         for kind, _, (before, after, up, _) in kinds:
             own = left.filter(pc.equal(left["kind"], kind))
             found = found_edges(level, there, own["at"].to_numpy() - low, before, after, up, kind == "onset")
             frame = pa.array(found + low, pa.int64(), mask=found < 0)
-            parts.append(pa.Table.from_arrays([own["rec_id"], own["line_idx"], own["kind"], pa.chunked_array([frame])], names=names))
+            parts.append(pa.Table.from_arrays([own["rec_id"], own["line_idx"], own["kind"], pa.chunked_array([frame])], schema=plain))
         return pa.concat_tables(parts)
 
-    got = asked.groupBy("rec_id", "block").cogroup(sound.groupBy("of", "within")).applyInArrow(run, "rec_id long, line_idx long, kind string, frame long")
+    dealt = both.repartition("rec_id", "block").sortWithinPartitions("rec_id", "block")
+    got = dealt.mapInArrow(group_by_group(run, ["rec_id", "block"], plain), "rec_id long, line_idx long, kind string, frame long")
     timed = {k: F.max(F.when(F.col("kind") == k, F.col("frame") * hop_ms)).alias(f"{k}_ms") for k, _, _ in kinds}
-    found = got.groupBy("rec_id", "line_idx").agg(*timed.values())
+    found = written(got.groupBy("rec_id", "line_idx").agg(*timed.values()), "edges")  # read twice, as lines are parted after they are moved
     held = lambda k, c, most: F.when(F.abs(F.col(f"{k}_ms") - F.col(c)) <= most, F.col(f"{k}_ms")).alias(f"{k}_ms")
     near = lines.select("rec_id", "line_idx", "start_ms", "end_ms").join(found, ["rec_id", "line_idx"])
     out = near.select("rec_id", "line_idx", *[held(k, c, x[3]) for k, c, x in kinds])
