@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.scalars import decode_udf
+from ..functions.scalars import decoded
 from ..sources import folders
 from ..sources import formats as fm
 from ..sources import records as rc
@@ -103,7 +103,7 @@ def decoded_texts(spark, d):
     """Bytes with and without a mark, decoded."""
     raw = F.encode("text", "UTF-8")
     t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(raw).alias("raw"))
-    return t.select("doc_id", F.md5(decode_udf("raw")).alias("text_md5"))
+    return t.select("doc_id", F.md5(decoded(F.col("raw"))).alias("text_md5"))
 
 
 def _lyric_files(spark, d):
