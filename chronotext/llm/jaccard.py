@@ -8,18 +8,21 @@
    Shingles that many documents share (boilerplate; a bounded list) are left out of the parts, which adds no difference;
    a set of which too little is left emits the signatures of all its shingles too, and if even these are too few for an
    agreement on one that is not empty, a common one. This loses no link, whatever is on the list.
-3. Sets that share a signature are a group; groups of equal members are one. Each set first meets a single partner: of the
-   least members of its groups the one that it shares the most signatures with. What links so, a large group of near
-   copies above all, is one component already, and costs a comparison for each set.
+3. Sets that share a signature are a group; groups of equal members are one. A group's head is its member that shares
+   signatures with the most others in all groups: of near copies the one nearest to what they were copied from. Each set
+   first meets a single partner: of its groups' heads the one that it shares the most signatures with. What links so, a
+   large group of near copies above all, is one component already, and costs a comparison for each set.
 4. Groups that still hold several components are compared by histograms of the shingles, a 32nd of their bytes: two sets
    differ in at least the L1 distance of theirs, so nearly all pairs of different texts are beyond the bound. The
    components of the pairs that are not are the diagonal blocks of the matrix. A group or block of more than ``BLOCK`` sets
-   (or of more than ``BLOCK_GRAMS`` shingles) is cut, and each pair of cuts is a task of bounded size.
+   (or of more than ``BLOCK_GRAMS`` shingles) is cut, and each pair of cuts is a task of bounded size; cuts of its largest
+   component do not meet each other, so such a group costs in proportion to it. A task tells a pair only where the pairs
+   that it told before do not connect it.
 5. A block's task multiplies its rows with each other: columns that many rows share by a dense product, the others by
    counting pairs. Overlaps below the bound are dropped; the rest are links, and a spanning forest of them leaves the task.
 6. Components of all links; each document gets the smallest doc_id that it reaches.
 
-A large group of near copies that first partners leave in several components costs a product for each pair of its cuts.
+A large group of which most sets are not linked with first partners costs a product for each pair of its cuts.
 
 Defined results: null, empty or blank text has an empty set (0 shingles) and links with nothing; a text with fewer words
 than a shingle is one shingle; repeated rows are equal sets, and travel as one; a null doc_id sorts first, so what links
@@ -29,7 +32,7 @@ with it has a null component. Other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -39,27 +42,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import WordHashes, cut, frugal, mix64, partitions, shingle_hashes, spent, word_bytes
+from .common import cut, frugal, mix64, partitions, shingle_hashes, spent, word_hashes
 from .components import components
 
 BLOCK, BLOCK_GRAMS = 256, 1_000_000
 FREQUENT, LIST = 200_000, 50_000  # shingles on the list, nodes of a list at most
 BITMAP = 1 << 26  # bits of a filter of ids at most: 8 MB
+CHUNK = 1 << 20  # characters of texts that are cut into shingles at once, a whole text at least
+SEEN = 200_000  # nodes that a task remembers at most
 _NULL_ID = -(1 << 63)
 
 
-def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = word_bytes(text, lower=True)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes(words)
-    return np.unique(shingle_hashes(h, min(n, len(words))))
-
-
-def set_hash(grams: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        return tuple(int(x) for x in np.array([mix64(grams, 11).sum(dtype=np.uint64), mix64(grams, 13).sum(dtype=np.uint64)], np.uint64).view(np.int64))
+def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one text after another, and how many each has."""
+    h, words = word_hashes([t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts])
+    end = np.cumsum(words)
+    start = end - words
+    size = np.where(words >= n, words - n + 1, words > 0)
+    low = np.cumsum(size) - size
+    total = int(size.sum())
+    windows = shingle_hashes(h, n)
+    grams = np.zeros(total, np.uint64)
+    if len(windows):
+        grams = windows[np.minimum(np.repeat(start - low, size) + np.arange(total), len(windows) - 1)]
+    for i in np.flatnonzero((words > 0) & (words < n)).tolist():
+        grams[low[i]] = shingle_hashes(h[start[i] : end[i]], int(words[i]))[0]
+    for a, z in zip(low.tolist(), (low + size).tolist(), strict=True):
+        grams[a:z].sort()
+    keep = np.ones(total, bool)
+    keep[1:] = grams[1:] != grams[:-1]
+    keep[low[size > 0]] = True
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return grams[keep], before[low + size] - before[low]
+
+
+def chunks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Texts in runs of some ``CHUNK`` characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def set_hashes(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each set, as two rows."""
+    out, some = np.zeros((2, len(sizes)), np.uint64), sizes > 0
+    first = (np.cumsum(sizes) - sizes)[some]
+    if len(first):
+        for row, seed in zip(out, (11, 13), strict=True):
+            row[some] = np.add.reduceat(mix64(grams, seed), first)
+    return out.view(np.int64)
+
+
+def sets_of(texts: Iterable[str | None], n: int) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
+    """Each text's set and its hashes."""
+    for some in chunks(texts):
+        grams, sizes = shingle_sets(some, n)
+        yield from zip(np.split(grams, np.cumsum(sizes)[:-1]), zip(*set_hashes(grams, sizes).tolist(), strict=True), strict=True)
 
 
 class Bands:
@@ -83,32 +127,43 @@ class Bands:
         return most, most + most // 8 + 4
 
 
-def signatures(grams: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
-    """A set's signatures for its own band and for the one below; ``frequent`` is sorted."""
-    own, out = bands.of(len(grams)), []
-    rare = grams
+def signatures_of(grams: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets that are not empty, for their own bands and for those below, and the number of each one's set; ``frequent`` is sorted."""
+    m = len(sizes)
+    of = np.repeat(np.arange(m), sizes)
+    rare = np.ones(len(grams), bool)
     if len(frequent):
-        at = np.minimum(frequent.searchsorted(grams), len(frequent) - 1)
-        rare = grams[frequent[at] != grams]
-    sets = [(some, mix64(some, 17)) for some in ((rare, grams) if len(rare) < len(grams) else (grams,))]
+        rare = frequent[np.minimum(frequent.searchsorted(grams), len(frequent) - 1)] != grams
+    common = np.bincount(of[~rare], minlength=m) > 0
+    mixed = mix64(grams, 17)
+    own = np.array([bands.of(n) for n in sizes.tolist()], np.int64)
+    sigs, sets = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for band in (own, own - 1):
-        most, parts = bands.parts(band) if band >= 0 else (0, 0)
-        if most == 0:
-            continue  # only equal sets can link
-        for some, mixed in sets:
-            filled = 0
-            if len(some):
-                part = ((some >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the grams are sorted
-                first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                filled = len(first)
-                with np.errstate(over="ignore"):
-                    sums = np.add.reduceat(mixed, first)
-                    out.append(mix64(sums ^ mix64(part[first] + np.uint64(band << 40), 19), 23))
-            if filled > most:  # an agreement cannot be on empty parts alone
-                break
-        else:
-            out.append(mix64(np.array([band], np.uint64), 29))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        kinds, kind = np.unique(band, return_inverse=True)
+        most, parts = (x[kind] for x in np.array([bands.parts(b) if b >= 0 else (0, 0) for b in kinds.tolist()], np.int64).reshape(-1, 2).T)
+        left = most > 0  # else only equal sets can link
+        for some, whose in ((rare, left), (None, common)):
+            todo = left & whose
+            pick = todo[of] if some is None else todo[of] & some
+            which = of[pick]
+            if not len(which):
+                continue
+            part = ((grams[pick] >> np.uint64(32)) * parts.astype(np.uint64)[which]) >> np.uint64(32)  # ascending in a set, as its grams are sorted
+            new = np.ones(len(which), bool)
+            new[1:] = (part[1:] != part[:-1]) | (which[1:] != which[:-1])
+            first = np.flatnonzero(new)
+            sets.append(which[first])
+            place = part[first] + (band[sets[-1]].astype(np.uint64) << np.uint64(40))
+            sigs.append(mix64(np.add.reduceat(mixed[pick], first) ^ mix64(place, 19), 23))
+            left &= np.bincount(sets[-1], minlength=m) <= most  # an agreement cannot be on empty parts alone
+        sets.append(np.flatnonzero(left))
+        sigs.append(mix64(band[left].astype(np.uint64), 29))
+    return np.concatenate(sigs), np.concatenate(sets)
+
+
+def signatures(grams: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
+    """A single set's signatures."""
+    return signatures_of(grams, np.array([len(grams)]), bands, frequent)[0]
 
 
 def histogram(grams: np.ndarray) -> bytes:
@@ -120,8 +175,8 @@ def histogram(grams: np.ndarray) -> bytes:
     return h.astype(np.uint8).tobytes() if h.max(initial=0) < 256 else b""
 
 
-def near(hists: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with different labels that may link: their histograms are no farther apart than linked sets' can be."""
+def near(hists: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, p: int, q: int, tree: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with different labels that may link: their histograms are no farther apart than linked sets' can be. Sets of one number in ``tree`` are connected already."""
     out, m = [], len(sizes)
     if q * int(sizes.min()) < p * int(sizes.max()) and m == 2:
         return out
@@ -131,11 +186,11 @@ def near(hists: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, p: int,
     for i, h in enumerate(hists):
         if len(h):
             table[i] = h if len(h) == width else h.reshape(-1, width).sum(0, dtype=np.int16)
-    tree = np.arange(m)
+    tree = np.arange(m) if tree is None else tree.copy()
     rows = max(1, (1 << 20) // max(1, m * width))  # rows that are compared with all others at once
     for low in range(0, m - 1, rows):
         i = np.arange(low, min(low + rows, m))[:, None]
-        may = (np.arange(m) > i) & (label != label[i]) & (q * np.minimum(sizes, sizes[i]) >= p * np.maximum(sizes, sizes[i]))
+        may = (np.arange(m) > i) & (label != label[i]) & (tree != tree[i]) & (q * np.minimum(sizes, sizes[i]) >= p * np.maximum(sizes, sizes[i]))
         if not may.any():
             continue
         apart = np.abs(table[i] - table).sum(2, dtype=np.int64) * (bounded & bounded[i])
@@ -150,14 +205,12 @@ def near(hists: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, p: int,
 def _sets(n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each text; and for each shingle that at least 10 of some 2,000 sets hold, with how many as -n."""
-        hashes = WordHashes(200_000)
         names = ["id", "n", "h1", "h2", "hist"]
         for pdf in batches:
             for low in range(0, len(pdf), 2000):
                 rows, seen, grams = [], set(), []
-                for d, t in zip(pdf["id"][low : low + 2000], pdf["text"][low : low + 2000], strict=True):
-                    g = shingle_set(t, n_words, hashes)
-                    h = set_hash(g)
+                ids, texts = pdf["id"][low : low + 2000], pdf["text"][low : low + 2000]
+                for d, (g, h) in zip(ids, sets_of(texts, n_words), strict=True):
                     rows.append((d, len(g), *h, histogram(g)))
                     if h not in seen:
                         seen.add(h)
@@ -172,24 +225,20 @@ def _sets(n_words: int):
 
 def _signature_rows(n_words: int, p: int, q: int, frequent: Broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bands, seen = WordHashes(200_000), Bands(p, q), set()
+        bands, seen = Bands(p, q), set()
         for pdf in batches:
-            sigs, nodes = [], []
-            for t in pdf["text"]:
-                g = shingle_set(t, n_words, hashes)
-                if not len(g) or (node := set_hash(g)[0]) in seen:
-                    continue  # an equal set of this task has emitted the same rows
-                if len(seen) > 200_000:
+            for texts in chunks(pdf["text"]):
+                grams, sizes = shingle_sets(texts, n_words)
+                node = set_hashes(grams, sizes)[0]
+                if len(seen) > SEEN:
                     seen.clear()
-                seen.add(node)
-                s = signatures(g, bands, frequent.value)
-                sigs.append(s.view(np.int64))
-                nodes.append(np.full(len(s), node, np.int64))
-                if len(sigs) >= 500:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs), "node": np.concatenate(nodes)})
-                    sigs, nodes = [], []
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "node": np.concatenate(nodes)})
+                fresh = np.zeros(len(sizes), bool)
+                for i in np.flatnonzero(sizes).tolist():
+                    if (h := int(node[i])) not in seen:  # else an equal set of this task has emitted the same rows
+                        seen.add(h)
+                        fresh[i] = True
+                sigs, sets = signatures_of(grams[np.repeat(fresh, sizes)], sizes[fresh], bands, frequent.value)
+                yield pd.DataFrame({"sig": sigs.view(np.int64), "node": node[fresh][sets]})
 
     return run
 
@@ -318,12 +367,33 @@ def _tasks(columns: list[str], names: list[str], of_task):
     return run
 
 
+def _root(tree: dict[int, int], x: int) -> int:
+    while (y := tree.get(x, x)) != x:
+        tree[x] = tree.get(y, y)
+        x = y
+    return x
+
+
 def _bounded(p: int, q: int):
-    def of_task(key: int, rows: list) -> list[tuple]:
-        pairs = near([np.frombuffer(r[2], np.uint8) for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), p, q)
-        return [(rows[i][0], rows[j][0]) for i, j in pairs]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree: dict[int, int] = {}  # what the pairs told so far connect
+
+        def of_task(key: int, rows: list) -> list[tuple]:
+            if len(tree) > SEEN:
+                tree.clear()
+            roots = [_root(tree, r[0]) for r in rows]
+            if roots.count(roots[0]) == len(roots):
+                return []
+            joined = np.unique(np.array(roots, np.int64), return_inverse=True)[1]
+            pairs = near([np.frombuffer(r[2], np.uint8) for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), p, q, joined)
+            out = [(rows[i][0], rows[j][0]) for i, j in pairs]
+            for a, b in out:
+                tree[_root(tree, a)] = _root(tree, b)
+            return out
+
+        yield from _tasks(["node", "n", "hist", "label"], ["a", "b"], of_task)(batches)
 
-    return _tasks(["node", "n", "hist", "label"], ["a", "b"], of_task)
+    return run
 
 
 def _products(p: int, q: int):
@@ -355,17 +425,18 @@ def _with_grams(rows: DataFrame, tasks: DataFrame, n_words: int, order: list[str
     """``key, member, node, grams`` for each of ``tasks(id, h1, h2, key, member)``, sorted within partitions."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, names = WordHashes(200_000), ["key", "member", "node", "grams"]
-        text, g, h, sent = None, np.empty(0, np.uint64), None, set()
+        names, sent = ["key", "member", "node", "grams"], set()
         for pdf in batches:
-            out = []
-            for t, h1, h2, k, member in zip(*(pdf[c] for c in ("text", "h1", "h2", "key", "member")), strict=True):
-                if t != text:
-                    text, g = t, shingle_set(t, n_words, hashes)
-                    h = set_hash(g)
+            texts, out = pdf["text"], []
+            fresh = (texts != texts.shift()).to_numpy()
+            fresh[:1] = True
+            sets = sets_of(texts[fresh], n_words)
+            for new, h1, h2, k, member in zip(fresh.tolist(), *(pdf[c] for c in ("h1", "h2", "key", "member")), strict=True):
+                if new:
+                    g, h = next(sets)
                 if h != (h1, h2) or (k, h1) in sent:
                     continue  # another row shares the id
-                if len(sent) > 200_000:
+                if len(sent) > SEEN:
                     sent.clear()
                 sent.add((k, h1))
                 out.append((k, member, h1, g.tobytes()))
@@ -380,8 +451,10 @@ def _with_grams(rows: DataFrame, tasks: DataFrame, n_words: int, order: list[str
 
 def _star_links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
     """``a, b``: each node's link with its first partner, if there is one."""
-    least = groups.groupBy("gid").agg(F.min("node").alias("head"))
-    shared = groups.join(least, "gid").where("node <> head").groupBy("node", "head").agg(F.sum("n_sigs").alias("n"))
+    held = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
+    others = groups.join(held, "gid").groupBy("node").agg(F.sum(F.col("m") * F.col("n_sigs")).alias("others"))
+    central = groups.join(others, "node").groupBy("gid").agg(F.max_by("node", F.struct("others", "node")).alias("head"))
+    shared = groups.join(central, "gid").where("node <> head").groupBy("node", "head").agg(F.sum("n_sigs").alias("n"))
     best = shared.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
     mine, its = (classes.select(F.col("h1").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("h2", "id", "n", "hist")]) for k in ("node", "head"))
 
@@ -404,12 +477,19 @@ def _star_links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n_words:
 
 
 def _blocks(members: DataFrame, by: str) -> DataFrame:
-    """``node, key`` from ``by, node, n``: each group is a task, or is cut by hash of the node, with a task for each pair of cuts."""
+    """``node, label, key`` from ``by, node, n, label``: each group is a task, or is cut by hash of the node, with a task for each pair of cuts that may hold different labels."""
+    cuts = lambda m, grams: F.greatest(F.ceil(m / BLOCK), F.ceil(grams / BLOCK_GRAMS), F.lit(1)).cast("int")
     sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
-    cuts = cut(sizes.where("m > 1").select(by, F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("cuts")))
-    mine = F.pmod(F.xxhash64("node"), "cuts").cast("int")
-    placed = members.join(cuts, by).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    return placed.withColumn("key", F.xxhash64(by, F.least("i", "j"), F.greatest("i", "j"))).drop("i", "j", "cuts")
+    sizes = cut(sizes.where("m > 1"))
+    large = sizes.where(cuts(F.col("m"), F.col("grams")) > 1)
+    shares = members.join(large.select(by), by).groupBy(by, "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
+    most = shares.groupBy(by).agg(F.max(F.struct("m", "label", "grams")).alias("top"))  # its sets are not compared with each other
+    dealt = sizes.join(most, by, "left").select(by, F.col("top.label").alias("top"), *[F.when(F.col("top").isNull(), alone).otherwise(cuts(*x)).alias(c) for c, alone, x in (("rest", 1, (F.col("m") - F.col("top.m"), F.col("grams") - F.col("top.grams"))), ("tops", 0, (F.col("top.m"), F.col("top.grams"))))])
+    dealt = cut(dealt)
+    at_top, hashed = F.coalesce(F.col("label") == F.col("top"), F.lit(False)), F.xxhash64("node")
+    placed = members.join(dealt, by).withColumn("i", F.when(at_top, F.col("rest") + F.pmod(hashed, F.greatest("tops", F.lit(1)))).otherwise(F.pmod(hashed, "rest")).cast("int"))
+    placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(at_top, F.col("rest")).otherwise(F.col("rest") + F.col("tops")) - 1)))
+    return placed.select("node", "label", F.xxhash64(by, F.least("i", "j"), F.greatest("i", "j")).alias("key"))
 
 
 def _block_links(rows: DataFrame, groups: DataFrame, classes: DataFrame, known: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
@@ -418,11 +498,12 @@ def _block_links(rows: DataFrame, groups: DataFrame, classes: DataFrame, known:
     sets = classes.select(F.col("h1").alias("node"), "n", "h2", "id", "hist")
     named = cut(groups.join(known, "node", "left").join(sets.select("node", "n"), "node").select("gid", "node", "n", F.coalesce("component", "node").alias("label")))
     mixed = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("gid")
-    keyed = _blocks(named.join(cut(mixed), "gid"), "gid").select("key", "node", "label").join(sets.select("node", "n", "hist"), "node")
+    keyed = _blocks(named.join(cut(mixed), "gid"), "gid").join(sets.select("node", "n", "hist"), "node")
     may = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInPandas(frugal(_bounded(p, q)), "a long, b long").distinct())
     # What may link is near copies, so its components are small blocks; each set travels to one, however many signatures it shares.
     clusters = components(may)
-    tasks = _blocks(clusters.join(sets.select("node", "n"), "node"), "component").select("key", "node").join(sets.select("node", "h2", "id"), "node")
+    labelled = clusters.join(known.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tasks = _blocks(labelled.join(sets.select("node", "n"), "node"), "component").select("key", "node").join(sets.select("node", "h2", "id"), "node")
     tasks = cut(tasks.select("id", F.col("node").alias("h1"), "h2", "key", F.lit(True).alias("member")))
     links = cut(_with_grams(rows, tasks, n_words, ["key", "node"]).mapInPandas(frugal(_products(p, q)), "a long, b long"))
     spent(named, may, clusters, tasks)

@@ -20,7 +20,7 @@ from chronotext.llm import secrets as sc
 from chronotext.llm import substrings as ss
 from chronotext.llm import toxicity as tx
 from chronotext.llm import url_filters as uf
-from chronotext.llm.common import words_of
+from chronotext.llm.common import word_hashes, words_of
 from chronotext.llm.components import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -503,3 +503,32 @@ def test_toxicity(spark):
     assert few.weights is not None and tx.score_documents(many, few).count() == len(docs) + 505
     none = tx.fit_toxicity(df, lab.limit(0))
     assert {x.score for x in tx.score_documents(df, none).collect()} == {0.0}
+
+
+def test_repeated_groups_tell_a_pair_once():
+    """Groups of the same near copies, as each signature makes one, tell a forest of them, not one for each group."""
+    sets = [np.arange(k, 200 + k).astype(np.uint64) for k in range(12)]
+    rows = [(key, i, len(s), jc.histogram(s), i) for key in range(50) for i, s in enumerate(sets)]
+    got = pd.concat(jc._bounded(85, 100)(iter([pd.DataFrame(rows, columns=["key", "node", "n", "hist", "label"])])))
+    assert len(got) == 11
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    """A large group costs in proportion to it where one component holds most of it; sets of different components meet."""
+    monkeypatch.setattr(jc, "BLOCK", 4)
+    rows = [(1, i, 5, i if i < 6 else 0) for i in range(1, 201)] + [(2, i, 5, i) for i in range(1, 4)]
+    got = jc._blocks(spark.createDataFrame(rows, "gid long, node long, n long, label long"), "gid").collect()
+    assert len(got) < 700
+    keys = {}
+    for r in got:
+        keys.setdefault(r.key, set()).add(r.node)
+    met = {(a, b) for nodes in keys.values() for a in nodes for b in nodes}
+    assert all((a, b) in met for a in range(1, 6) for b in range(1, 201))
+
+
+def test_word_hashes_follow_words():
+    texts = [b"", b" ", b"a b", b"\x1fa\xc2\x85b c", b"x" * 300 + b"\x0by " + b"x" * 300, b"qqqqqqqq qqqqqqqqq", b"e\te\r\nE"]
+    h, n = word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
