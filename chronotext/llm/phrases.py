@@ -6,7 +6,8 @@
    words by a join, so no dictionary is broadcast or held whole anywhere; other words become breaks.
 3. For k = 2 to ``longest``: k consecutive ids are a binary key of 4k bytes. A block sorts its keys by radix and counts runs.
    Mixed keys are spread evenly, so equal slices of their range are even ranges without a sample; a block sends each range its
-   keys and counts as one row. A task sorts a range by radix again and adds up its runs. Frequent keys return to the blocks that
+   keys and counts as one row. Numbers are written and travel as compressed byte planes, ascending ones as differences; which
+   key stands where is not written but sorted out again at the next length. A task sorts a range by radix again and adds up its runs. Frequent keys return to the blocks that
    hold them, and a longer key is made only where both its ends are frequent, which every frequent phrase fulfils. Stretches
    without one leave the blocks.
 4. All parts of a frequent phrase are frequent, so the counts of both sides of each cut are found by joins on keys.
@@ -39,7 +40,7 @@ RANGE_WORDS = 2_000_000  # a range for each so many words: more than it gets key
 #: A-Z lower-cased, a tab as a space, piece ends as a byte that UTF-8 never holds.
 BREAK = b"\xff"
 TABLE = bytes.maketrans(UPPER.encode() + b"\t" + b".,;:!?\n\x0b\x0c\r", LOWER.encode() + b" " + BREAK * 10)
-BLOCK = "block long, words binary, runs binary, lang string, word binary, local int, n long, range int, keys binary, counts binary, locals binary"
+BLOCK = "block long, words binary, marks binary, lang string, word binary, local int, n long, range int, keys binary"
 
 
 def tokens(raw: bytes) -> Iterator[list[bytes]]:
@@ -90,6 +91,18 @@ def packed(keys: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((np.arange(len(keys) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(flat)])
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as compressed planes of their first, second, third and fourth bytes, after how many they are."""
+    planes = np.ascontiguousarray(numbers.astype("<u4", copy=False).reshape(-1).view(np.uint8).reshape(-1, 4).T)
+    return numbers.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, size).T).view("<u4").reshape(size)
+
+
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     """The slice of the mixed keys' range that each key lies in."""
     mixed = np.zeros(len(keys), np.uint64)
@@ -99,8 +112,7 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _batch(size: int, **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "words": pa.binary(), "runs": pa.binary(), "lang": pa.string(), "word": pa.binary(), "local": pa.int32(), "n": pa.int64(), "range": pa.int32()}
-    kinds |= dict.fromkeys(("keys", "counts", "locals"), pa.binary())
+    kinds = {"block": pa.int64(), "words": pa.binary(), "marks": pa.binary(), "lang": pa.string(), "word": pa.binary(), "local": pa.int32(), "n": pa.int64(), "range": pa.int32(), "keys": pa.binary()}
     return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds))
 
 
@@ -125,7 +137,7 @@ class _Block:
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         codes = np.concatenate(self.codes)
         n = np.bincount(codes, minlength=1)
-        yield _batch(1, block=pa.array([block]), words=pa.array([codes.tobytes()], pa.binary()))
+        yield _batch(1, block=pa.array([block]), words=pa.array([squeezed(codes)], pa.binary()))
         for lang, known in self.known.items():
             del known[BREAK]
             if not (m := len(known)):
@@ -177,46 +189,49 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return out
 
 
-def keys_at(words: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, keys) of the k-word phrases both of whose (k - 1)-word ends are frequent; ``ends`` says so of each place."""
-    at = np.flatnonzero(ends[:-1] & ends[1:]).astype(np.int32)
-    return at, np.stack([words[at + j] for j in range(k)], 1)
+def keys_at(ends: np.ndarray) -> np.ndarray:
+    """Places of the phrases both of whose ends, shorter by a word, are frequent; ``ends`` says so of each place."""
+    return np.flatnonzero(ends[:-1] & ends[1:]).astype(np.int32)
 
 
-def shorter(words: np.ndarray, at: np.ndarray, runs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and runs of the stretches that hold a key, with a break between them."""
-    keep = np.zeros(len(words) + 1, bool)
-    for j in range(k):
-        keep[at + j] = True
-    keep[1:] |= keep[:-1]  # the break
-    keep = keep[:-1]
-    inside = np.zeros(len(words), bool)
+def dealt(words: np.ndarray, at: np.ndarray, k: int, ranges: int) -> tuple[np.ndarray, ...]:
+    """(order of the k-word keys at the places, how often each distinct one occurs, the distinct ones, their ranges, the order in which they are sent)."""
+    keys = np.stack([words[at + j] for j in range(k)], 1)
+    order, first = runs_of(keys)
+    own = keys[order[first]]
+    to = range_of(own, ranges)
+    return order, np.diff(np.append(first, len(order))), own, to, np.argsort(to, kind="stable").astype(np.int32)
+
+
+def shorter(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the stretches that hold a key, with a break between them, and whether a key starts there."""
+    inside, marks = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    marks[at] = True
     for j in range(k):
         inside[at + j] = True
-    return np.where(inside, words, 0)[keep].astype(np.uint32), runs[keep]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]  # the break
+    return np.where(inside, words, 0)[keep].astype(np.uint32), marks[keep]
 
 
 def counted_block(block: int, words: np.ndarray, ends: np.ndarray, k: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """What remains of a block at length k, and a row for each range that it has keys in: keys, counts and the block's numbers of them."""
-    at, keys = keys_at(words, ends, k)
+    """What remains of a block at length k, and a row for each range that it has keys in: keys and counts, and the block's number of the first of them."""
+    at = keys_at(ends)
     if not len(at):
         return
-    order, first = runs_of(keys)
-    n = np.diff(np.append(first, len(order)))
-    runs = np.full(len(words), -1, np.int32)
-    runs[at[order]] = np.repeat(np.arange(len(first), dtype=np.int32), n)
-    words, runs = shorter(words, at, runs, k)
-    yield _batch(1, block=pa.array([block]), words=pa.array([words.tobytes()], pa.binary()), runs=pa.array([runs.tobytes()], pa.binary()))
-    own = keys[order[first]]
-    to = range_of(own, ranges)
-    by = np.argsort(to, kind="stable").astype(np.int32)
+    _, n, own, to, by = dealt(words, at, k, ranges)
+    words, marks = shorter(words, at, k)
+    yield _batch(1, block=pa.array([block]), words=pa.array([squeezed(words)], pa.binary()), marks=pa.array([np.packbits(marks).tobytes()], pa.binary()))
     cut_at = np.flatnonzero(np.diff(to[by], prepend=-1))
     parts = list(zip(cut_at.tolist(), np.append(cut_at[1:], len(by)).tolist(), strict=True))
+    sent = np.concatenate([own.T, n[None].astype(np.uint32)])[:, by]
+    sent[0] = np.diff(sent[0], prepend=np.uint32(0))  # keys ascend in a range
+    sent[0, cut_at] = own[by[cut_at], 0]
     for low in range(0, len(parts), 1000):
         some = parts[low : low + 1000]
-        sent = [pa.array([x[by[a:z]].tobytes() for a, z in some], pa.binary()) for x in (own, n.astype(np.int64))]
-        local = pa.array([by[a:z].tobytes() for a, z in some], pa.binary())
-        yield _batch(len(some), block=pa.array(np.full(len(some), block)), range=pa.array(to[by[[a for a, _ in some]]]), keys=sent[0], counts=sent[1], locals=local)
+        keys = pa.array([squeezed(sent[:, a:z]) for a, z in some], pa.binary())
+        first = pa.array([a for a, _ in some], pa.int32())
+        yield _batch(len(some), block=pa.array(np.full(len(some), block)), range=pa.array(to[by[[a for a, _ in some]]]), keys=keys, local=first)
 
 
 def by_block(hits: DataFrame) -> DataFrame:
@@ -233,16 +248,18 @@ def next_blocks(held: DataFrame, hits: DataFrame, k: int, ranges: int) -> DataFr
         local, ids = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
         for row in left.to_pylist():
             if k == 2:
-                codes = np.frombuffer(row["words"], np.int32)
+                codes = unsqueezed(row["words"])
                 table = np.zeros(int(max(codes.max(initial=0), local.max(initial=0))) + 1, np.uint32)
                 table[local] = ids
                 words = table[codes]
                 ends = words > 0
             else:
-                words, runs = np.frombuffer(row["words"], np.uint32), np.frombuffer(row["runs"], np.int32)
-                table = np.zeros(int(max(runs.max(initial=0), local.max(initial=0))) + 2, bool)
-                table[local] = True
-                ends = table[runs]  # -1, no key, is the last entry
+                words = unsqueezed(row["words"])
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(row["marks"], np.uint8), count=len(words))).astype(np.int32)
+                order, n, _, _, by = dealt(words, at, k - 1, ranges)
+                often, ends = np.zeros(len(n), bool), np.zeros(len(words), bool)
+                often[by[local]] = True
+                ends[at[order]] = np.repeat(often, n)
             out += counted_block(row["block"], words, ends, k, ranges)
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch(0)])
 
@@ -253,10 +270,13 @@ def run_length_counts(rows: DataFrame, k: int, least: int, ranges: int) -> DataF
     """Keys with ``least`` occurrences: ``key, n`` for each, and ``of, pairs`` (see :func:`by_block`) for each block of a range that holds some."""
 
     def one(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([np.frombuffer(r[2], np.uint32).reshape(-1, k) for r in held])
-        n = np.concatenate([np.frombuffer(r[3], np.int64) for r in held])
-        local = np.concatenate([np.frombuffer(r[4], np.int32) for r in held])
-        sizes = [len(r[4]) // 4 for r in held]
+        sent = [unsqueezed(r[2]).reshape(k + 1, -1) for r in held]
+        sizes = [x.shape[1] for x in sent]
+        local = np.concatenate([np.arange(r[3], r[3] + size, dtype=np.int64) for r, size in zip(held, sizes, strict=True)])
+        for x in sent:
+            x[0] = np.cumsum(x[0], dtype=np.uint32)
+        sent = np.concatenate(sent, axis=1)
+        keys, n = sent[:k].T, sent[k].astype(np.int64)
         order, first = runs_of(keys)
         total = np.add.reduceat(n[order], first)
         often = total >= least
@@ -272,7 +292,7 @@ def run_length_counts(rows: DataFrame, k: int, least: int, ranges: int) -> DataF
             low += size
             if len(mine):
                 blocks_.append(r[1])
-                pairs.append(mine.astype(np.int64) << 32)
+                pairs.append(mine << 32)
         m = len(blocks_)
         if m:
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(blocks_, pa.int64()), pa.array(pairs, pa.list_(pa.int64()))], names=names)
@@ -288,7 +308,7 @@ def run_length_counts(rows: DataFrame, k: int, least: int, ranges: int) -> DataF
         if held:
             yield from one(held)
 
-    dealt = rows.select("range", "block", "keys", "counts", "locals").repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
+    dealt = rows.select("range", "block", "keys", "local").repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
     return dealt.mapInArrow(run, "key binary, n long, of long, pairs array<long>")
 
 
@@ -310,7 +330,7 @@ def mine_phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int |
     levels, spare = [words.select(F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("key"), F.col("f").alias("a"))], []
     ranges = max(partitions(docs.sparkSession), -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS))
     for k in range(2, longest + 1):
-        after = cut(next_blocks(held.where("words is not null").select("block", "words", "runs"), hits, k, ranges))
+        after = cut(next_blocks(held.where("words is not null").select("block", "words", "marks"), hits, k, ranges))
         spent(held)
         held = after
         found = cut(run_length_counts(held.where("keys is not null"), k, least, ranges))

@@ -206,3 +206,21 @@ def test_packed_pieces(spark, monkeypatch):
     flat = {s.sequence_id: np.frombuffer(bytes(s.ids), "<u4") for s in sequences}
     assert all(zlib.crc32(flat[g.sequence_id][g.offset : g.offset + g.length].tobytes()) == g.ids_crc32 for g in got) and len(got) == sum(len(s.pieces) for s in sequences)
     assert bp.pieces_of(bp.pack_balanced(docs.limit(0), RANKS)).count() == 0
+
+
+def test_blocks_send_few_bytes():
+    """Keys travel in a few bytes each, with the block's numbers of them implied, and come back as they were."""
+    r = np.random.default_rng(5)
+    words = np.minimum(r.zipf(1.3, 200_000), 40_000).astype(np.uint32)
+    words[r.integers(0, len(words), 9_000)] = 0
+    assert (ph.unsqueezed(ph.squeezed(words)) == words).all() and len(ph.unsqueezed(ph.squeezed(words[:0]))) == 0
+    rows = [x for batch in ph.counted_block(7, words, words > 0, 2, 16) for x in batch.to_pylist()]
+    sent = sorted((x for x in rows if x["keys"]), key=lambda x: x["local"])
+    assert sum(len(x["keys"]) for x in sent) + len(rows[0]["words"]) + len(rows[0]["marks"]) < 4 * len(words)
+    got = {}
+    for x in sent:
+        first, second, n = ph.unsqueezed(x["keys"]).reshape(3, -1)
+        assert x["local"] == len(got)
+        got |= dict(zip(zip(np.cumsum(first, dtype=np.uint32).tolist(), second.tolist(), strict=True), n.tolist(), strict=True))
+    pairs = [(a, b) for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True) if a and b]
+    assert got == Counter(pairs)
